@@ -18,6 +18,21 @@ WIDTHS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 BLOCK = 1024
 
 
+_BITS16 = np.array([k.bit_length() for k in range(1 << 16)], np.uint8)
+
+
+def _bits(v: np.ndarray) -> np.ndarray:
+    """Bit length of each value."""
+    out = _BITS16[(v & np.uint64(0xFFFF)).astype(np.uint16)]
+    for k in (16, 32, 48):
+        high = v >> np.uint64(k)
+        big = np.flatnonzero(high)
+        if not len(big):
+            break
+        out[big] = _BITS16[(high[big] & np.uint64(0xFFFF)).astype(np.uint16)] + k
+    return out
+
+
 def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """(words uint64, first word of each block uint32); the last block may be short."""
     v = np.ascontiguousarray(values, dtype=np.uint64)
@@ -25,19 +40,20 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
     end_of_block = np.minimum((np.arange(n) // block + 1) * block, n)
-    room = end_of_block - np.arange(n)
-    # peak[i] = largest of the next COUNTS[s] values, from the narrowest count up
+    room = (end_of_block - np.arange(n)).astype(np.int32)
+    # top[i]: bits of the widest of the next ``have`` values, widened run by run
+    top, have = _bits(v), 1
     choice = np.zeros(n, np.uint8)
-    top = v.copy()
-    have = 1
     for s in range(14, 0, -1):
         want = int(COUNTS[s])
-        while have < want:  # widen by at most what is known already
+        while have < want:
             step = min(have, want - have)
-            top[: n - step] = np.maximum(top[: n - step], top[step:]) if n > step else top[: n - step]
+            np.maximum(top[: n - step], top[step:], out=top[: n - step])
             have += step
-        fits = (room >= want) & (top < (np.uint64(1) << np.uint64(WIDTHS[s])))
+        fits = (top <= WIDTHS[s]) & (room >= want)
         choice[fits] = s
+        if s < 14 and not fits.any():
+            break  # longer runs have narrower widths
     step_of = np.where(choice == 0, 1, COUNTS[choice])
     # all blocks walk at once from their first value
     n_blocks = -(-n // block)

@@ -20,51 +20,58 @@ import numpy as np
 
 #: Pieces that stay cached in a worker, and those learnt later, which are dropped together
 #: (memory bounds, not limits on input).
-STAY, PASSING = 600_000, 150_000
+STAY, PASSING = 300_000, 100_000
 
 _L = "A-Za-zÀ-ÖØ-öø-ɏ"
 _OTHER = re.compile(rf"[^\x00-\x7f{_L}]")
 _PIECES = re.compile(rf" ?[{_L}]+|[^{_L}]+?(?:(?<=')[{_L}]+|(?= ?[{_L}])|\Z)")
+_RUN = re.compile(rf" ?[{_L}]+")
 _CUT = re.compile(rf"(?<=[!-~{_L}])(?= [!-~{_L}])")
 #: The string of the vocabulary's special token; texts that hold it are cut at spaces only.
 _SPECIAL = "<|"
 
 
-class PieceEncoder:
-    """``encode(texts)`` gives a uint32 array per text, equal to the library's own ids."""
+class _Pieces(dict):
+    """Piece -> its ids as bytes; a missing piece is encoded when it is asked for."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        super().__init__()
+        self.whole = Tokenizer.from_file(path)
+        # a run of letters is one pre-token already, so the splitting pattern needs no second look
+        self.run = Tokenizer.from_file(path)
+        self.run.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.run.model._resize_cache(0)
         self.passing: list[str] = []
 
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.passing) > PASSING:
-            for p in self.passing:
-                del self.cache[p]
-            self.passing = []
-        new = list(pieces.difference(self.cache))
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[p] = array("I", e.ids).tobytes()
-        if len(self.cache) > STAY:
-            self.passing += new
+    def __missing__(self, piece: str) -> bytes:
+        if _RUN.fullmatch(piece):
+            e = self.run.encode(piece, add_special_tokens=False)
+        else:
+            e = self.whole.encode(piece, add_special_tokens=False)
+        out = self[piece] = array("I", e.ids).tobytes()
+        if len(self) > STAY:
+            self.passing.append(piece)
+            if len(self.passing) > PASSING:
+                for p in self.passing:
+                    del self[p]
+                self.passing = []
+        return out
+
+
+class PieceEncoder:
+    """``encode(texts)`` gives a uint32 array per text, equal to the library's own ids."""
+
+    def __init__(self, path: str):
+        self.pieces = _Pieces(path)
+        self.tokenizer = self.pieces.whole
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out, k = [], 0
-        while k < len(texts):
-            group, n = [], 0
-            while k < len(texts) and n < 1_000_000:
-                t = texts[k]
-                group.append(_CUT.split(t) if _SPECIAL in t or _OTHER.search(t) else _PIECES.findall(t))
-                n += len(group[-1])
-                k += 1
-            self._learn(set().union(*group))
-            get = self.cache.__getitem__
-            out += [np.frombuffer(b"".join(map(get, g)), dtype="<u4") for g in group]
+        get, out = self.pieces.__getitem__, []
+        for t in texts:
+            cut = _CUT.split(t) if _SPECIAL in t or _OTHER.search(t) else _PIECES.findall(t)
+            out.append(np.frombuffer(b"".join(map(get, cut)), dtype="<u4"))
         return out
 
 
