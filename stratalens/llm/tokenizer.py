@@ -20,7 +20,7 @@ import numpy as np
 
 #: Pieces that stay cached in a worker, and those learnt later, which are dropped together
 #: (memory bounds, not limits on input).
-STAY, PASSING = 300_000, 100_000
+STAY, PASSING = 500_000, 100_000
 
 _L = "A-Za-zÀ-ÖØ-öø-ɏ"
 _OTHER = re.compile(rf"[^\x00-\x7f{_L}]")
