@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracles, packing, quality, token_output
+from . import decontaminate, oracles, packing, pii, quality, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,11 +16,21 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in every document."""
+    return decontaminate.decontamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("spans", "items")
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, written Simple-8b coded and read back."""
     return token_output.token_output(_table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and disclosing terms in every document."""
+    return pii.pii(_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids in windows of 2048."""
     return packing.pack(_table(spark, sf_dir, "documents"))
@@ -28,10 +38,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op5_decontamination": op5_decontamination,
     "op6_token_output": op6_token_output,
+    "op8_pii": op8_pii,
     "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": oracles.quality_sql(),
+    "op5_decontamination": oracles.decontamination_sql(),
 }
