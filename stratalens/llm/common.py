@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
-#: Rows per Arrow batch handed to Python; texts can be long, so batches stay short.
-BATCH_ROWS = 512
+#: Rows and bytes per Arrow batch handed to Python; texts can be long, so batches stay short.
+BATCH_ROWS, BATCH_BYTES = 512, "8m"
 
 
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds (a session setting; results do not depend on it)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,11 +52,11 @@ def cleanup(spark: SparkSession | None = None) -> None:
 atexit.register(cleanup)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

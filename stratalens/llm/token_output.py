@@ -68,14 +68,18 @@ def encode_documents(docs: DataFrame, tokenizer_path: str | None = None, end_id:
 
 def write_ids(docs: DataFrame, path: str, **options) -> None:
     """Write the segments of :func:`encode_documents` under ``path``."""
-    encode_documents(docs, **options).write.option("compression", "zstd").parquet(path)
+    encode_documents(docs, **options).write.option("compression", "snappy").parquet(path)
+
+
+def segment_ids(row) -> np.ndarray:
+    """All ids of one segment row (or dict)."""
+    words, offsets = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["offsets"], "<u4")
+    return simple8b.decode(words, offsets, row["n_ids"]).astype("<u4")
 
 
 def decode_segment(row) -> list[np.ndarray]:
     """The ids of each document of one segment row (or dict)."""
-    words, offsets = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["offsets"], "<u4")
-    ids = simple8b.decode(words, offsets, row["n_ids"]).astype("<u4")
-    return np.split(ids, np.cumsum(row["lengths"])[:-1])
+    return np.split(segment_ids(row), np.cumsum(row["lengths"])[:-1])
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -93,9 +97,10 @@ def document_ids(segments: DataFrame) -> DataFrame:
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                each = decode_segment(row)
+                ids = memoryview(segment_ids(row).tobytes())
                 n = np.array(row["lengths"], np.int64)
-                yield from to_batches({"part": np.full(len(n), row["part"], np.int32), "doc_id": row["doc_ids"], "place": row["ids_before"] + np.cumsum(n) - n, "n_tokens": n, "ids_crc32": [zlib.crc32(x.tobytes()) for x in each]}, _DOCS)
+                end = 4 * np.cumsum(n)
+                yield from to_batches({"part": np.full(len(n), row["part"], np.int32), "doc_id": row["doc_ids"], "place": row["ids_before"] + np.cumsum(n) - n, "n_tokens": n, "ids_crc32": [zlib.crc32(ids[a:b]) for a, b in zip((end - 4 * n).tolist(), end.tolist(), strict=True)]}, _DOCS)
 
     spark = segments.sparkSession
     sizes = sorted((r["part"], r["n"]) for r in segments.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
@@ -110,4 +115,4 @@ def document_ids(segments: DataFrame) -> DataFrame:
 
 def token_output(docs: DataFrame, **options) -> DataFrame:
     """Encode, write to the shared folder, read back: one row per document."""
-    return document_ids(saved(encode_documents(docs, **options), "token-ids"))
+    return document_ids(saved(encode_documents(docs, **options), "token-ids", "snappy"))

@@ -20,7 +20,7 @@ import numpy as np
 
 #: Pieces that stay cached in a worker, and those learnt later, which are dropped together
 #: (memory bounds, not limits on input).
-STAY, PASSING = 500_000, 100_000
+STAY, PASSING = 300_000, 100_000
 
 _L = "A-Za-zÀ-ÖØ-öø-ɏ"
 _OTHER = re.compile(rf"[^\x00-\x7f{_L}]")
@@ -47,7 +47,7 @@ class _Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         if _RUN.fullmatch(piece):
-            e = self.run.encode(piece, add_special_tokens=False)
+            e = self.run.encode_batch_fast([piece], add_special_tokens=False)[0]
         else:
             e = self.whole.encode(piece, add_special_tokens=False)
         out = self[piece] = array("I", e.ids).tobytes()
@@ -70,7 +70,7 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         get, out = self.pieces.__getitem__, []
         for t in texts:
-            cut = _CUT.split(t) if _SPECIAL in t or _OTHER.search(t) else _PIECES.findall(t)
+            cut = _CUT.split(t) if _SPECIAL in t or not t.isascii() and _OTHER.search(t) else _PIECES.findall(t)
             out.append(np.frombuffer(b"".join(map(get, cut)), dtype="<u4"))
         return out
 
