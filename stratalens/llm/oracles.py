@@ -56,3 +56,18 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY ite
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN its ON d.doc_id = its.doc_id
 """
+
+
+def substring_sql(depth: int = 100) -> str:
+    """Hex digits stand for bytes: two for each."""
+    return rf"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, s, substr(h, 2 * s + 1, {2 * depth}) AS w FROM (SELECT doc_id, h, unnest(range(0, CAST(len(h) // 2 - {depth} + 1 AS BIGINT))) AS s FROM d)),
+later AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY w ORDER BY doc_id, s) AS r FROM win) WHERE r > 1),
+runs AS (SELECT doc_id, min(s) AS a, max(s) + {depth} AS b FROM (SELECT doc_id, s, sum(CASE WHEN s > p + {depth} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM (SELECT doc_id, s, lag(s, 1, s) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM later)) GROUP BY doc_id, g),
+kept AS (SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS x, a AS y FROM runs UNION ALL SELECT doc_id, max(b), NULL FROM runs GROUP BY doc_id),
+text AS (SELECT d.doc_id, string_agg(substr(h, 2 * x + 1, 2 * (coalesce(y, len(h) // 2) - x)), '' ORDER BY x) AS k FROM kept JOIN d ON kept.doc_id = d.doc_id GROUP BY d.doc_id),
+n AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN text ON d.doc_id = text.doc_id
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import class_lm, decontaminate, oracles, packing, pii, quality, token_output
+from . import class_lm, decontaminate, oracles, packing, pii, quality, substring_dedup, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.class_scores(_table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated 100-byte strings removed from every document."""
+    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in every document."""
     return decontaminate.decontamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("spans", "items")
@@ -44,6 +49,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_class_lm": op2_class_lm,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_token_output": op6_token_output,
     "op8_pii": op8_pii,
@@ -52,5 +58,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": oracles.quality_sql(),
+    "op4_substring_dedup": oracles.substring_sql(),
     "op5_decontamination": oracles.decontamination_sql(),
 }
