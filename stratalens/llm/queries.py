@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import class_lm, decontaminate, oracles, packing, pii, quality, substring_dedup, token_output
+from . import class_lm, decontaminate, ngram_join, oracles, packing, pii, quality, substring_dedup, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.class_scores(_table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated 100-byte strings removed from every document."""
     return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
@@ -49,6 +54,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_class_lm": op2_class_lm,
+    "op3_ngram_join": op3_ngram_join,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_token_output": op6_token_output,
