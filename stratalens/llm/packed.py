@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 ROWS = "bucket int, payload binary"
-BUCKETS_A_PARTITION = 8
+BUCKETS_A_PARTITION = 4
 
 
 def n_buckets(spark: SparkSession) -> int:
