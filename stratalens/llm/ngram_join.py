@@ -41,7 +41,9 @@ SMALL, RATIO = 16, 16 / 9
 SHARE = 0.4
 #: A link to a busy signature's first holder is tried if so many signatures speak for it.
 SUPPORT = 4
-HOLD = 3_000_000
+HOLD = 1_000_000
+#: Counts of elements by cell that are compared before sets are.
+CELLS = 256
 
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -336,12 +338,25 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).take(pa.array(keep))
 
 
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose cell counts do not differ by more than links may: equal elements fall in equal cells."""
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int32) for i in (2, 3))
+        n = b.column(4).to_numpy() + b.column(5).to_numpy()
+        keep = np.flatnonzero(7 * np.abs(x - y).sum(1) <= n)
+        yield b.select(["a", "b"]).take(pa.array(keep))
+
+
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` that are links. Sizes are compared before sets travel."""
-    size = F.length("set")
-    small = sets.select("doc", size.alias("n"))
-    fit = pairs.join(small.select(F.col("doc").alias("a"), F.col("n").alias("na")), "a").join(small.select(F.col("doc").alias("b"), F.col("n").alias("nb")), "b")
-    fit = fit.where((4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb"))).select("a", "b")
+    """The (a, b) of ``pairs`` that are links.
+
+    Sizes and cell counts are compared before whole sets travel, which sorts out most
+    pairs that only share a passage, and no link.
+    """
+    a = sets.select(F.col("doc").alias("a"), F.col("cells").alias("x"), F.col("n").alias("na"))
+    b = sets.select(F.col("doc").alias("b"), F.col("cells").alias("y"), F.col("n").alias("nb"))
+    fit = pairs.join(a, "a").join(b, "b").where(4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb"))
+    fit = saved(fit.select("a", "b", "x", "y", "na", "nb").mapInArrow(_close, "a long, b long"), "close")
     j = fit.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("y")), "b")
     return j.select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long")
 
@@ -349,8 +364,9 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _Words()
     for b in batches:
-        x = [shingles(words_of(t), hashes).astype("<u8").tobytes() for t in texts(b, "_text")]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], names=["doc", "set"])
+        x = [shingles(words_of(t), hashes).astype("<u8") for t in texts(b, "_text")]
+        cells = [np.minimum(np.bincount((_mix(s) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes() for s in x]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in x], pa.int64()), pa.array(cells, pa.binary()), pa.array([s.tobytes() for s in x], pa.binary())], names=["doc", "n", "cells", "set"])
 
 
 def _need():
@@ -377,7 +393,7 @@ def links(d: DataFrame, busy: int = BUSY) -> tuple[DataFrame, DataFrame]:
     short = saved(short, "short")
     first = saved(pairs.unionByName(stars).distinct(), "pairs")
     wanted = first.select(F.col("a").alias("doc")).unionByName(first.select(F.col("b").alias("doc"))).unionByName(short.select(F.col("a").alias("doc"))).distinct()
-    sets = saved(d.join(wanted, "doc", "left_semi").select("doc", "_text").mapInArrow(_set_rows, "doc long, set binary"), "sets")
+    sets = saved(d.join(wanted, "doc", "left_semi").select("doc", "_text").mapInArrow(_set_rows, "doc long, n long, cells binary, set binary"), "sets")
 
     # one-deletion neighbourhoods
     by_doc = short.groupBy(F.col("a").alias("doc")).agg(F.collect_list("b").alias("ks"))
@@ -406,7 +422,7 @@ def _crossing(sets: DataFrame, comp: DataFrame) -> DataFrame:
     Exact for whatever is left. An element whose holders are all in one component gives
     no pair; otherwise each holder meets the holders of other components.
     """
-    p = sets.mapInArrow(_prefixes, "doc long, element long, size long")
+    p = sets.select("doc", "set").mapInArrow(_prefixes, "doc long, element long, size long")
     p = saved(p.join(comp, "doc", "left").select("doc", "element", "size", F.coalesce("component", "doc").alias("component")), "prefixes")
     # each element's largest component is the side that is not enumerated against itself
     share = p.groupBy("element", "component").agg(F.count("*").alias("k"))
