@@ -35,11 +35,11 @@ from . import packed
 from .common import runs_of, saved, small_batches
 
 K = 32
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 #: Different blocks of one anchor in one task beyond which it is busy.
 BUSY = 64
 #: Blocks that a task gathers before it settles and deals them.
-HOLD = 1_000_000
+HOLD = 200_000
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
