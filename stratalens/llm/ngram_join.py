@@ -73,8 +73,9 @@ def shingles(words: list[bytes], hashes: _Words, width: int = WIDTH) -> np.ndarr
     w = min(width, n)
     key = np.full(n - w + 1, w, np.uint64)
     for j in range(w):
-        key = _mix(key * _MUL[j % 5] + h[j : j + n - w + 1])
-    return np.unique(key)
+        key = key * _MUL[0] + h[j : j + n - w + 1]
+    key = np.sort(_mix(key))
+    return key[np.r_[True, key[1:] != key[:-1]]]
 
 
 def band(size: np.ndarray | int) -> np.ndarray:
@@ -105,20 +106,31 @@ def schemes(size: int) -> range:
     return range(int(band(least)), int(band(size)) + 1)
 
 
+def _segment(x: np.ndarray, k: int) -> np.ndarray:
+    m = segments(k)
+    return x if m == 0 else _mix(x ^ _mix(np.array([k + 1], np.uint64))) % np.uint64(m)
+
+
 def split(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(segment, element) sorted by segment, then element."""
-    m = segments(k)
-    seg = x if m == 0 else _mix(x ^ _mix(np.array([k + 1], np.uint64))) % np.uint64(m)
+    seg = _segment(x, k)
     order = np.lexsort((x, seg))
     return seg[order], x[order]
 
 
 def signatures(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(signature, elements) of each segment of ``x`` that has any; equal segments have equal signatures."""
-    seg, e = split(x, k)
-    start, n = runs_of(seg)
-    total = np.add.reduceat(_mix(e ^ _MUL[1]), start)  # order-free
-    return _mix(_mix(total + n.astype(np.uint64) * _MUL[2]) ^ _mix(seg[start] * _MUL[0] + np.uint64(k))), n
+    m, each = segments(k), _mix(x ^ _MUL[1])
+    if m == 0:
+        seg, total, n = x, each, np.ones(len(x), np.int64)
+    else:
+        of = _segment(x, k).astype(np.int64)
+        count = np.bincount(of, minlength=m)
+        # sums of 32-bit halves are exact in doubles, and do not depend on the order
+        low, high = (np.bincount(of, half.astype(np.float64), m).astype(np.uint64) for half in (each & np.uint64(0xFFFFFFFF), each >> np.uint64(32)))
+        held = np.flatnonzero(count)
+        seg, total, n = held.astype(np.uint64), (low + (high << np.uint64(32)))[held], count[held]
+    return _mix(_mix(total + n.astype(np.uint64) * _MUL[2]) ^ _mix(seg * _MUL[0] + np.uint64(k))), n
 
 
 def neighbourhoods(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
