@@ -228,27 +228,25 @@ def _signed(n_buckets: int):
     return run
 
 
-def _pairs_within(order: np.ndarray, start: np.ndarray, length: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs inside each run (runs are short)."""
-    a, b = [], []
+def _pairs_within(order: np.ndarray, start: np.ndarray, length: np.ndarray, doc: np.ndarray, scheme: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs inside each run (runs are short), with their scheme."""
+    parts = [(np.zeros(0, np.int64),) * 3]
     for n in np.unique(length[length > 1]).tolist():
-        rows = doc[order[start[length == n][:, None] + np.arange(n)]]
+        at = order[start[length == n][:, None] + np.arange(n)]
         i, j = np.triu_indices(n, 1)
-        a.append(rows[:, i].ravel())
-        b.append(rows[:, j].ravel())
-    if not a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = np.concatenate(a), np.concatenate(b)
-    return np.minimum(a, b), np.maximum(a, b)
+        a, b = doc[at[:, i]].ravel(), doc[at[:, j]].ravel()
+        parts.append((np.minimum(a, b), np.maximum(a, b), np.repeat(scheme[at[:, 0]], len(i))))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
-def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if not len(a):
-        return a, b, np.zeros(0, np.int64)
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    return a[new], b[new], np.diff(np.r_[new, len(a)])
+def _count(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct rows and how often each occurs."""
+    if not len(columns[0]):
+        return (*columns, np.zeros(0, np.int64))
+    order = np.lexsort(columns[::-1])
+    c = [x[order] for x in columns]
+    new = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in c], axis=0)])
+    return (*(x[new] for x in c), np.diff(np.r_[new, len(order)]))
 
 
 def _meet(level: int, most: int):
@@ -274,17 +272,17 @@ def _meet(level: int, most: int):
         fresh = np.r_[True, (key_s[1:] != key_s[:-1]) | (d_s[1:] != d_s[:-1])]
         once = order[fresh]
         start, length = runs_of(key[once])
-        a, b, _n = _unique_pairs(*_pairs_within(once, start[length <= most], length[length <= most], d))
-        yield from _rows(PAIR, a, b, np.ones(len(a), np.int64))
+        a, b, q, n = _count(*_pairs_within(once, start[length <= most], length[length <= most], d, k))
+        yield from _rows(PAIR, a, b, (q << 40) | n)
         busy = length > most
         if busy.any():
             first = np.repeat(d[once[start[busy]]], length[busy])
             member = d[once[np.concatenate([np.arange(s, s + n) for s, n in zip(start[busy].tolist(), length[busy].tolist(), strict=True)])]]
-            a, b, n = _unique_pairs(first[member != first], member[member != first])
+            a, b, n = _count(first[member != first], member[member != first])
             yield from _rows(STAR, a, b, n)
             dear = np.isin(key, key[once[start[busy]]])
             if level == 1:  # signatures lost, by document and scheme
-                a, b, n = _unique_pairs(d[dear], k[dear])
+                a, b, n = _count(d[dear], k[dear])
                 yield from _rows(DEAR, a, b, n)
             else:  # marks of the signatures lost
                 yield from _rows(DEAR, d[dear], k[dear], m[dear])
@@ -381,11 +379,30 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in x], pa.int64()), pa.array(cells, pa.binary()), pa.array([s.tobytes() for s in x], pa.binary())], names=["doc", "n", "cells", "set"])
 
 
+def _band(n):
+    """Column: band of a size."""
+    return (F.array_position(F.transform(F.array(*[F.lit(top(k)) for k in range(64)]), lambda t: t >= n), True) - 1).cast("long")
+
+
 def _need():
-    """Column: segments that a set of n elements needs in scheme b (may_differ + 1, without the bands' rounding)."""
+    """Column: segments that a set of n elements needs in scheme b; may_differ and one more."""
     tops = F.array(*[F.lit(top(k)) for k in range(64)])
-    own = F.array_position(F.transform(tops, lambda t: t >= F.col("n")), True) - 1
-    return F.when(F.col("b") == own, F.expr("(n + 4 * n div 3) div 7 + 1")).otherwise(F.floor((F.col("n") + F.least(F.col("n"), F.element_at(tops, (F.col("b") + 1).cast("int")))) / 7) + 1)
+    return F.when(F.col("b") == _band(F.col("n")), F.expr("(n + 4 * n div 3) div 7 + 1")).otherwise(F.floor((F.col("n") + F.least(F.col("n"), F.element_at(tops, (F.col("b") + 1).cast("int")))) / 7) + 1)
+
+
+def _likely(rows: DataFrame, usable: DataFrame, weight: int) -> DataFrame:
+    """(a, b) of the pairs that share as many signatures as links must.
+
+    ``usable`` holds (doc, scheme, n, usable): at most (na + nb) // 7 of the segments that
+    count for a set can differ, the others are equal in a link (or, with ``weight`` 2,
+    near enough), and each of those is a signature shared.
+    """
+    p = rows.where(F.col("kind") == PAIR).select("a", "b", F.shiftright("c", 40).alias("scheme"), F.expr("c & 1099511627775L").alias("shared"))
+    p = p.groupBy("a", "b", "scheme").agg(F.sum("shared").alias("shared"))
+    side = lambda x: usable.select(F.col("doc").alias(x), "scheme", F.col("n").alias(f"n{x}"), F.col("usable").alias(f"u{x}"))
+    j = p.join(side("a"), ["a", "scheme"]).join(side("b"), ["b", "scheme"])
+    j = j.where((4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & (F.col("scheme") == _band(F.least("na", "nb"))))
+    return j.where(weight * F.col("shared") >= F.greatest("ua", "ub") - F.floor((F.col("na") + F.col("nb")) / 7)).select("a", "b")
 
 
 def links(d: DataFrame, busy: int = BUSY) -> tuple[DataFrame, DataFrame]:
@@ -395,14 +412,16 @@ def links(d: DataFrame, busy: int = BUSY) -> tuple[DataFrame, DataFrame]:
     rows = saved(packed.through(d.mapInArrow(_signed(n), packed.ROWS), _SIGNED, _meet(1, busy), ROWS), "join1")
     sizes = rows.where((F.col("kind") == INFO) & (F.col("b") == -1)).select(F.col("a").alias("doc"), F.col("c").alias("n"))
     equal = rows.where(F.col("kind") == EQUAL).select("a", "b")
-    pairs = rows.where(F.col("kind") == PAIR).select("a", "b").distinct()
-    stars = rows.where(F.col("kind") == STAR).groupBy("a", "b").agg(F.sum("c").alias("s")).where(F.col("s") >= SUPPORT).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-    # sets that lack segments in a scheme
+    # what each set holds in each scheme, less what is too dear
     lost = rows.where(F.col("kind") == DEAR).groupBy("a", "b").agg(F.sum("c").alias("lost"))
     held = rows.where((F.col("kind") == INFO) & (F.col("b") >= 0)).select("a", "b", F.col("c").alias("held"))
-    short = held.join(lost, ["a", "b"], "left").join(sizes.select(F.col("doc").alias("a"), "n"), "a").where(F.col("held") - F.coalesce("lost", F.lit(0)) < _need()).select("a", "b", "n", "held")
-    short = saved(short, "short")
+    usable = held.join(lost, ["a", "b"], "left").join(sizes.select(F.col("doc").alias("a"), "n"), "a")
+    usable = saved(usable.select("a", "b", "n", (F.col("held") - F.coalesce("lost", F.lit(0))).alias("usable")), "usable")
+    short = saved(usable.where(F.col("usable") < _need()).select("a", "b", "n"), "short")
+    pairs = _likely(rows, usable.select(F.col("a").alias("doc"), F.col("b").alias("scheme"), "n", "usable"), 1)
+    stars = rows.where(F.col("kind") == STAR).groupBy("a", "b").agg(F.sum("c").alias("s")).where(F.col("s") >= SUPPORT).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    stars = stars.join(sizes.select(F.col("doc").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("doc").alias("b"), F.col("n").alias("nb")), "b")
+    stars = stars.where(4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")).select("a", "b")
     first = saved(pairs.unionByName(stars).distinct(), "pairs")
     wanted = first.select(F.col("a").alias("doc")).unionByName(first.select(F.col("b").alias("doc"))).unionByName(short.select(F.col("a").alias("doc"))).distinct()
     sets = saved(d.join(wanted, "doc", "left_semi").select("doc", "_text").mapInArrow(_set_rows, "doc long, n long, cells binary, set binary"), "sets")
@@ -411,15 +430,17 @@ def links(d: DataFrame, busy: int = BUSY) -> tuple[DataFrame, DataFrame]:
     by_doc = short.groupBy(F.col("a").alias("doc")).agg(F.collect_list("b").alias("ks"))
     near = sets.join(by_doc, "doc").select("doc", "set", "ks").mapInArrow(_again(n), packed.ROWS)
     rows2 = saved(packed.through(near, _SIGNED, _meet(2, busy), ROWS), "join2")
-    pairs2 = rows2.where(F.col("kind") == PAIR).select("a", "b").distinct()
+    # a segment whose whole is lost gives nothing; one that loses a neighbour counts once
+    lost2 = rows2.where(F.col("kind") == DEAR).groupBy("a", "b", F.expr("c div 4").alias("segment")).agg(F.max(F.expr("CASE WHEN c % 2 = 1 THEN 1 + c % 4 div 2 ELSE 1 END")).alias("lost")).groupBy("a", "b").agg(F.sum("lost").alias("lost"))
+    credit = rows2.where((F.col("kind") == INFO) & (F.col("b") >= 0)).select("a", "b", F.col("c").alias("credit"))
+    credit = short.join(credit, ["a", "b"]).join(lost2, ["a", "b"], "left")
+    credit = saved(credit.select("a", "b", "n", (F.col("credit") - F.coalesce("lost", F.lit(0))).alias("usable")), "credit")
+    pairs2 = _likely(rows2, credit.select(F.col("a").alias("doc"), F.col("b").alias("scheme"), "n", "usable"), 2)
 
     found = saved(verify(first.unionByName(pairs2).distinct(), sets), "links")
     comp = components(found.unionByName(equal))
 
-    # a segment whose whole is lost gives nothing; one that loses a neighbour counts once
-    lost2 = rows2.where(F.col("kind") == DEAR).groupBy("a", "b", F.expr("c div 4").alias("segment")).agg(F.max(F.expr("CASE WHEN c % 2 = 1 THEN 1 + c % 4 div 2 ELSE 1 END")).alias("lost")).groupBy("a", "b").agg(F.sum("lost").alias("lost"))
-    credit = rows2.where((F.col("kind") == INFO) & (F.col("b") >= 0)).select("a", "b", F.col("c").alias("credit"))
-    credit = short.join(credit, ["a", "b"]).join(lost2, ["a", "b"], "left").where(F.col("credit") - F.coalesce("lost", F.lit(0)) < _need())
+    credit = credit.where(F.col("usable") < _need())
     rest = credit.select(F.col("a").alias("doc")).distinct()
     third = _crossing(sets.join(rest, "doc", "left_semi"), comp)
     if not third.isEmpty():
