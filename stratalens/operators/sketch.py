@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # FNV-1a, 64 and 32 bits.
 FNV64_BASIS, FNV64_PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -186,7 +187,7 @@ def ctph(text: str, block_size: int = 0) -> str:
     return f"{size}:{digest(size)}:{digest(2 * size)}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ctph_column(s: pd.Series) -> pd.Series:
     return s.map(ctph)
 
@@ -220,7 +221,7 @@ def tlsh(text: str) -> str:
     return f"T1{zlib.crc32(data.astype(np.uint8).tobytes()) & 255:02x}{min(255, int(math.log(len(data), 1.3))):02x}{body}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def tlsh_column(s: pd.Series) -> pd.Series:
     return s.map(tlsh)
 
@@ -236,7 +237,7 @@ def tlsh_distance(a: Column, b: Column) -> Column:
 def compression_distance(a: Column, b: Column, level: int = 6) -> Column:
     """Normalised compression distance with zlib."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def ncd(x: pd.Series, y: pd.Series) -> pd.Series:
         def one(p: str, q: str) -> float:
             u, v = (p or "").encode(), (q or "").encode()

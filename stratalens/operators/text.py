@@ -12,12 +12,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 TOKEN = r"([\p{L}\p{Mn}\p{Nd}\p{Pc}]+)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
@@ -30,11 +31,19 @@ def tokens(text: Column, ignore_case: bool = True, fold: bool = False, min_lengt
     return F.filter(t, lambda x: F.length(x) >= min_length) if min_length > 1 else t
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: inside a lambda, an expression would be computed for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def shingles(words: Column, width: int = 2, separator: str = " ") -> Column:
     """Word n-grams; fewer words than ``width`` give none."""
-    n = F.size(words) - width
-    grams = F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.array_join(F.slice(words, i, F.lit(width)), separator))
-    return F.when(n >= 0, grams).otherwise(F.array().cast("array<string>"))
+
+    def grams(w: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.array_join(F.slice(w, i, F.lit(width)), separator))
+        return F.when(F.size(w) >= width, every).otherwise(F.array().cast("array<string>"))
+
+    return bound(words, grams)
 
 
 def shingle_set(words: Column, width: int = 2, separator: str = " ") -> Column:
