@@ -13,8 +13,9 @@ not allotted: it gives nothing to the count of segments that a set needs (its ho
 are only linked to one of them, so that groups of near copies come together early).
 Sets left with too few segments are allotted the one-deletion neighbourhood of theirs
 (elements of a segment but one), which counts double. What lacks segments even then -
-mostly members of large groups of near copies - joins on its smallest elements (a
-quarter of the set and one more), only between different components.
+mostly members of large groups of near copies - meets by its smallest elements (a
+quarter of the set and one more) and is compared in blocks, for links between
+different components only.
 
 Every candidate is verified on the whole sets. Shingles are compared by 64-bit hashes.
 """
@@ -44,6 +45,8 @@ SUPPORT = 4
 HOLD = 1_000_000
 #: Counts of elements by cell that are compared before sets are.
 CELLS = 256
+#: Sets in a block of the last comparison.
+LEFT_BLOCK = 1024
 
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -324,15 +327,14 @@ def _again(n_buckets: int):
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Mapper: the smallest elements of each set; linked sets share one of them."""
     for b in batches:
-        docs, elements, sizes = [], [], []
+        docs, elements = [], []
         for d, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             x = np.frombuffer(raw, "<u8")
             p = x[: len(x) - -(-3 * len(x) // 4) + 1]
             docs.append(np.full(len(p), d, np.int64))
             elements.append(p.astype(np.int64))
-            sizes.append(np.full(len(p), len(x), np.int64))
         if docs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (docs, elements, sizes)], names=["doc", "element", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (docs, elements)], names=["doc", "element"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,30 +444,81 @@ def links(d: DataFrame, busy: int = BUSY) -> tuple[DataFrame, DataFrame]:
 
     credit = credit.where(F.col("usable") < _need())
     rest = credit.select(F.col("a").alias("doc")).distinct()
-    third = _crossing(sets.join(rest, "doc", "left_semi"), comp)
-    if not third.isEmpty():
-        more = saved(verify(third, sets), "links")
+    more = _leftover_links(sets.join(rest, "doc", "left_semi"), comp)
+    if not more.isEmpty():
         comp = components(found.unionByName(equal).unionByName(more))
     return sizes, comp
 
 
-def _crossing(sets: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs of ``sets`` in different components that share one of their smallest elements.
+def _leftover_links(sets: DataFrame, comp: DataFrame) -> DataFrame:
+    """(a, b): the links between different components of the sets that are left.
 
-    Exact for whatever is left. An element whose holders are all in one component gives
-    no pair; otherwise each holder meets the holders of other components.
+    Linked sets share one of their smallest elements, and so meet at that element's first
+    holder; sets are gathered by such holders. A holder's sets are compared in blocks of
+    ``LEFT_BLOCK``: each pair of blocks is a task's work of bounded size, which counts
+    common elements by a matrix product and gives out links only.
     """
-    p = sets.select("doc", "set").mapInArrow(_prefixes, "doc long, element long, size long")
-    p = saved(p.join(comp, "doc", "left").select("doc", "element", "size", F.coalesce("component", "doc").alias("component")), "prefixes")
-    # each element's largest component is the side that is not enumerated against itself
-    share = p.groupBy("element", "component").agg(F.count("*").alias("k"))
-    most = share.groupBy("element").agg(F.max_by("component", F.struct("k", "component")).alias("most"), F.count("*").alias("components")).where("components > 1").select("element", "most")
-    q = p.join(most, "element")
-    x = q.where("component <> most").select([F.col(c).alias(f"{c}1") for c in p.columns])
-    y = q.select([F.col(c).alias(f"{c}2") for c in q.columns])
-    j = x.join(y, (F.col("element1") == F.col("element2")) & (F.col("component1") != F.col("component2")) & ((F.col("component2") == F.col("most2")) | (F.col("doc1") < F.col("doc2"))) & (4 * F.least("size1", "size2") >= 3 * F.greatest("size1", "size2")))
-    j = j.select(F.least("doc1", "doc2").alias("doc1"), F.greatest("doc1", "doc2").alias("doc2"))
-    return saved(j.select(F.col("doc1").alias("a"), F.col("doc2").alias("b")).distinct(), "crossing")
+    p = sets.select("doc", "set").mapInArrow(_prefixes, "doc long, element long")
+    p = saved(p.join(comp, "doc", "left").select("doc", "element", F.coalesce("component", "doc").alias("component")), "prefixes")
+    holder = p.groupBy("element").agg(F.min("doc").alias("holder"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("element", "holder")
+    met = p.join(holder, "element").select("holder", "doc", "component").distinct()
+    n = met.groupBy("holder").agg(F.ceil(F.count("*") / LEFT_BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+    cells = met.join(n, "holder").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("holder", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "component")
+    cells = cells.join(sets.select("doc", "set"), "doc").repartition("holder", "i", "j").sortWithinPartitions("holder", "i", "j", "own")
+    return saved(cells.select("holder", "i", "j", "own", "doc", "component", "set").mapInArrow(_compared, "a long, b long"), "links")
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within each pair of blocks; rows come sorted by pair of blocks."""
+    key, held = None, []
+
+    def compare() -> Iterator[pa.RecordBatch]:
+        if len({r[1] for r in held}) < 2:
+            return
+        i, j = key[1:]
+        left = [r for r in held if r[0] == i]
+        right = [r for r in held if r[0] == j]
+        a, b = _links_between(left, right)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    for batch in batches:
+        for h, i, j, own, doc, component, raw in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+            if (h, i, j) != key:
+                if held:
+                    yield from compare()
+                key, held = (h, i, j), []
+            held.append((own, component, doc, raw))
+    if held:
+        yield from compare()
+
+
+def _links_between(left: list[tuple], right: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Documents of linked sets in different components, from (block, component, doc, set) rows."""
+    sides = []
+    for rows in (left, right):
+        each = [np.frombuffer(r[3], "<u8") for r in rows]
+        sides.append((np.array([r[2] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.array([len(x) for x in each], np.int64), np.concatenate(each) if each else np.zeros(0, np.uint64)))
+    (da, ca, na, xa), (db, cb, nb, xb) = sides
+    both = np.intersect1d(xa, xb)  # elements on one side only are common to no pair
+    shared = np.zeros((len(da), len(db)), np.float32)
+    row_a, row_b = np.repeat(np.arange(len(da)), na), np.repeat(np.arange(len(db)), nb)
+    at_a, at_b = np.searchsorted(both, xa), np.searchsorted(both, xb)
+    in_a, in_b = (at < len(both) for at in (at_a, at_b))
+    in_a[in_a] = both[at_a[in_a]] == xa[in_a]
+    in_b[in_b] = both[at_b[in_b]] == xb[in_b]
+    for lo in range(0, len(both), 4096):  # elements a slice at a time: bounded memory
+        p, q = in_a & (at_a >= lo) & (at_a < lo + 4096), in_b & (at_b >= lo) & (at_b < lo + 4096)
+        width = min(4096, len(both) - lo)
+        m, k = np.zeros((len(da), width), np.float32), np.zeros((len(db), width), np.float32)
+        m[row_a[p], at_a[p] - lo] = 1
+        k[row_b[q], at_b[q] - lo] = 1
+        shared += m @ k.T
+    common = shared.astype(np.int64)
+    i, j = np.nonzero((100 * common >= 75 * (na[:, None] + nb[None] - common)) & (ca[:, None] != cb[None]))
+    return da[i], db[j]
 
 
 def ngram_join(docs: DataFrame, busy: int = BUSY) -> DataFrame:
