@@ -1,5 +1,70 @@
+"""Queries over events and orders: ranks, monitors, moments and fits."""
+
 from __future__ import annotations
 
-from . import Registry
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import monitor
+from . import Registry, table
+from .graph import points
 
 R = Registry()
+
+_S = "s AS (SELECT event_type AS stratum, event_id AS seq, value AS score, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events WHERE value IS NOT NULL)"
+_RANK = f"{_S}, k AS (SELECT a.stratum, a.seq, a.score, a.n, count(CASE WHEN b.score < a.score THEN 1 END) AS below, count(CASE WHEN b.score = a.score THEN 1 END) AS tied FROM s a JOIN s b ON a.stratum = b.stratum AND b.seq <= a.seq GROUP BY ALL)"
+
+
+def stream(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select(F.col("event_type").alias("stratum"), F.col("event_id").alias("seq"), F.col("value").alias("score"))
+
+
+@R.add(f"WITH {_RANK} SELECT stratum, seq, CAST(n AS INT) AS n, below, tied, round((below + tied) / n, 9) AS p FROM k")
+def smoothed_pvalue_counts(spark: SparkSession, d: str) -> DataFrame:
+    return monitor.smoothed_p_values(monitor.running_rank(stream(spark, d))).select("stratum", "seq", "n", "below", "tied", F.round("p", 9).alias("p"))
+
+
+@R.add(f"WITH {_RANK} SELECT stratum, seq, round(sum(ln(0.5) - 0.5 * ln((below + 0.5 * tied) / n)) OVER (PARTITION BY stratum ORDER BY seq), 6) AS log_capital FROM k")
+def power_martingale(spark: SparkSession, d: str) -> DataFrame:
+    m = monitor.power_martingale(monitor.smoothed_p_values(monitor.running_rank(stream(spark, d)), 0.5))
+    return m.withColumn("log_capital", F.round("log_capital", 6))
+
+
+@R.add("WITH s AS (SELECT event_type AS stratum, value AS score, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT stratum, n, CAST(max(floor(0.1 * (n + 1))) AS BIGINT) AS k, max(CASE WHEN i = floor(0.1 * (n + 1)) THEN score END) AS threshold FROM s GROUP BY stratum, n")
+def split_conformal_quantile(spark: SparkSession, d: str) -> DataFrame:
+    return monitor.split_conformal(stream(spark, d), 0.1)
+
+
+@R.add("WITH m AS (SELECT event_type, avg(value) AS m FROM events GROUP BY event_type) SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(var_pop(value), 6) AS variance, round(avg(pow(value - m, 3)) / pow(avg(pow(value - m, 2)), 1.5), 6) AS skewness, round(avg(pow(value - m, 4)) / pow(avg(pow(value - m, 2)), 2) - 3, 6) AS kurtosis FROM events JOIN m USING (event_type) GROUP BY event_type")
+def running_moments(spark: SparkSession, d: str) -> DataFrame:
+    m = monitor.moments(table(spark, d, "events"), ["event_type"], "value")
+    return m.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "variance", "skewness", "kurtosis")])
+
+
+@R.add("WITH g AS (SELECT l_returnflag, sum(l_quantity) AS w, sum(l_quantity * l_quantity) AS w2, sum(l_quantity * l_discount) AS wx, sum(l_quantity * l_discount * l_discount) AS wxx FROM lineitem GROUP BY l_returnflag) SELECT l_returnflag, round(wx / w, 9) AS mean, round(wxx / w - (wx / w) * (wx / w), 9) AS variance, round(w * w / w2, 4) AS effective FROM g")
+def weighted_moments(spark: SparkSession, d: str) -> DataFrame:
+    m = monitor.weighted_moments(table(spark, d, "lineitem"), ["l_returnflag"], "l_discount", "l_quantity")
+    return m.select("l_returnflag", F.round("mean", 9).alias("mean"), F.round("variance", 9).alias("variance"), F.round("effective", 4).alias("effective"))
+
+
+@R.add("WITH x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT i, j, v[i + 1] AS x, v[j + 1] AS y FROM x, range(0, (SELECT max(len(v)) FROM x)) a(i), range(0, (SELECT max(len(v)) FROM x)) b(j)) SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(avg(x * y) - avg(x) * avg(y), 9) AS cov FROM p GROUP BY i, j")
+def covariance_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return monitor.covariance(points(spark, d)).withColumn("cov", F.round("cov", 9))
+
+
+@R.add()
+def principal_components(spark: SparkSession, d: str) -> DataFrame:
+    values, vectors = monitor.pca(points(spark, d), 5)
+    return spark.createDataFrame([(k, float(v), [float(x) for x in vec]) for k, (v, vec) in enumerate(zip(values, vectors, strict=True))], "component int, variance double, direction array<double>")
+
+
+@R.add("SELECT l_returnflag, count(*) AS n, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope FROM lineitem GROUP BY l_returnflag")
+def price_regression(spark: SparkSession, d: str) -> DataFrame:
+    r = monitor.linear_regression(table(spark, d, "lineitem"), ["l_quantity"], "l_extendedprice", ["l_returnflag"])
+    return r.select("l_returnflag", "n", F.round(F.col("coefficients")[0], 4).alias("intercept"), F.round(F.col("coefficients")[1], 4).alias("slope"))
+
+
+@R.add("WITH h AS (SELECT user_id % 4 AS chain, event_type AS name, value, row_number() OVER (PARTITION BY user_id % 4, event_type ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id % 4, event_type) AS n FROM events), c AS (SELECT name, chain, i > n // 2 AS half, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM h WHERE i <= 2 * (n // 2) GROUP BY ALL), g AS (SELECT name, avg(n) AS n, avg(v) AS within, var_samp(m) AS b FROM c GROUP BY name) SELECT name, round(sqrt((n - 1) / n + b / within), 6) AS r_hat FROM g")
+def split_r_hat(spark: SparkSession, d: str) -> DataFrame:
+    draws = table(spark, d, "events").select((F.col("user_id") % 4).alias("chain"), F.col("event_id").alias("draw"), F.col("event_type").alias("name"), "value")
+    return monitor.split_r_hat(draws).withColumn("r_hat", F.round("r_hat", 6))
