@@ -17,7 +17,9 @@ mostly members of large groups of near copies - meets by its smallest elements (
 quarter of the set and one more) and is compared in blocks, for links between
 different components only.
 
-Every candidate is verified on the whole sets. Shingles are compared by 64-bit hashes.
+Every candidate is verified on the whole sets. Joins that move texts or sets are
+sort-merge joins at every size: none of their sides has a bound that would allow a
+broadcast. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -367,9 +369,9 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """
     a = sets.select(F.col("doc").alias("a"), F.col("cells").alias("x"), F.col("n").alias("na"))
     b = sets.select(F.col("doc").alias("b"), F.col("cells").alias("y"), F.col("n").alias("nb"))
-    fit = pairs.join(a, "a").join(b, "b").where(4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb"))
+    fit = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb"))
     fit = saved(fit.select("a", "b", "x", "y", "na", "nb").mapInArrow(_close, "a long, b long"), "close")
-    j = fit.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("y")), "b")
+    j = fit.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("x")).hint("merge"), "a").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
     return j.select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long")
 
 
@@ -426,11 +428,11 @@ def links(d: DataFrame, busy: int = BUSY) -> tuple[DataFrame, DataFrame]:
     stars = stars.where(4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")).select("a", "b")
     first = saved(pairs.unionByName(stars).distinct(), "pairs")
     wanted = first.select(F.col("a").alias("doc")).unionByName(first.select(F.col("b").alias("doc"))).unionByName(short.select(F.col("a").alias("doc"))).distinct()
-    sets = saved(d.join(wanted, "doc", "left_semi").select("doc", "_text").mapInArrow(_set_rows, "doc long, n long, cells binary, set binary"), "sets")
+    sets = saved(d.join(wanted.hint("merge"), "doc", "left_semi").select("doc", "_text").mapInArrow(_set_rows, "doc long, n long, cells binary, set binary"), "sets")
 
     # one-deletion neighbourhoods
     by_doc = short.groupBy(F.col("a").alias("doc")).agg(F.collect_list("b").alias("ks"))
-    near = sets.join(by_doc, "doc").select("doc", "set", "ks").mapInArrow(_again(n), packed.ROWS)
+    near = sets.join(by_doc.hint("merge"), "doc").select("doc", "set", "ks").mapInArrow(_again(n), packed.ROWS)
     rows2 = saved(packed.through(near, _SIGNED, _meet(2, busy), ROWS), "join2")
     # a segment whose whole is lost gives nothing; one that loses a neighbour counts once
     lost2 = rows2.where(F.col("kind") == DEAR).groupBy("a", "b", F.expr("c div 4").alias("segment")).agg(F.max(F.expr("CASE WHEN c % 2 = 1 THEN 1 + c % 4 div 2 ELSE 1 END")).alias("lost")).groupBy("a", "b").agg(F.sum("lost").alias("lost"))
@@ -444,7 +446,7 @@ def links(d: DataFrame, busy: int = BUSY) -> tuple[DataFrame, DataFrame]:
 
     credit = credit.where(F.col("usable") < _need())
     rest = credit.select(F.col("a").alias("doc")).distinct()
-    more = _leftover_links(sets.join(rest, "doc", "left_semi"), comp)
+    more = _leftover_links(sets.join(rest.hint("merge"), "doc", "left_semi"), comp)
     if not more.isEmpty():
         comp = components(found.unionByName(equal).unionByName(more))
     return sizes, comp
@@ -466,7 +468,7 @@ def _leftover_links(sets: DataFrame, comp: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
     cells = met.join(n, "holder").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("holder", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "component")
-    cells = cells.join(sets.select("doc", "set"), "doc").repartition("holder", "i", "j").sortWithinPartitions("holder", "i", "j", "own")
+    cells = cells.join(sets.select("doc", "set").hint("merge"), "doc").repartition("holder", "i", "j").sortWithinPartitions("holder", "i", "j", "own")
     return saved(cells.select("holder", "i", "j", "own", "doc", "component", "set").mapInArrow(_compared, "a long, b long"), "links")
 
 
