@@ -114,9 +114,9 @@ def prediction_intervals(pairs: DataFrame, alpha: float) -> DataFrame:
 def moments(values: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, mean, population variance, skewness and excess kurtosis: mergeable partial sums."""
     v = F.col(value)
-    m = values.where(v.isNotNull() & ~F.isnan(v)).groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_pop(v).alias("variance"), F.skewness(v).alias("s"), F.kurtosis(v).alias("k"))
+    m = values.where(v.isNotNull() & ~F.isnan(v)).groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_pop(v).alias("variance"), F.skewness(v).alias("_skewness"), F.kurtosis(v).alias("_kurtosis"))
     flat = F.col("variance") < 1e-12
-    return m.select(*by, "n", "mean", "variance", F.when(flat, 0.0).otherwise(F.col("s")).alias("skewness"), F.when(flat, 0.0).otherwise(F.col("k")).alias("kurtosis"))
+    return m.select(*by, "n", "mean", "variance", F.when(flat, 0.0).otherwise(F.col("_skewness")).alias("skewness"), F.when(flat, 0.0).otherwise(F.col("_kurtosis")).alias("kurtosis"))
 
 
 def weighted_moments(values: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:

@@ -169,6 +169,8 @@ def ctph(text: str, block_size: int = 0) -> str:
     """Context-triggered piecewise hash ``size:h1:h2``: pieces end where a rolling sum over 7 bytes triggers."""
     data = np.frombuffer((text or "").encode(), np.uint8).astype(np.int64)
     size = block_size or 3
+    if not len(data):
+        return f"{size}::"
     while not block_size and size * 64 < len(data):
         size *= 2
     window = np.cumsum(np.r_[np.zeros(7, np.int64), data])
