@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import saved
-from .graph import components, minimum_spanning_forest
+from .graph import components, minimum_spanning_forest, roots
 from .neighbours import knn, union_edges
 
 #: Leaves of a merge tree that one group may hold.
@@ -367,7 +367,7 @@ def potts_sweep(edges: DataFrame, nodes: DataFrame, temperatures: list[float], q
         chi, clusters, mag, energy = [], [], [], []
         for c in range(cycles):
             on = (spin[a] == spin[b]) & (rng.random(len(w)) < p)
-            root = _roots(n, a[on], b[on])
+            root = roots(n, a[on], b[on])
             spin = rng.integers(0, q, n)[root]
             if c >= burn:
                 size = np.bincount(root, minlength=n)
@@ -381,24 +381,6 @@ def potts_sweep(edges: DataFrame, nodes: DataFrame, temperatures: list[float], q
     return grid.groupBy("t").applyInPandas(run, "t double, susceptibility double, mean_clusters double, magnetisation double, energy double")
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest node of each one's component: hooking and pointer jumping over whole arrays."""
-    r = np.arange(n)
-    while len(a):
-        lo, hi = np.minimum(r[a], r[b]), np.maximum(r[a], r[b])
-        live = lo != hi
-        if not live.any():
-            break
-        a, b = a[live], b[live]
-        np.minimum.at(r, hi[live], lo[live])
-        while True:
-            jump = r[r]
-            if (jump == r).all():
-                break
-            r = jump
-    return r
-
-
 def clustering_temperature(profile: list[tuple[float, float]], drop: float = 0.8) -> float:
     """From (t, susceptibility): smoothed by threes; midway between the peak and the first later fall below ``drop`` of it."""
     t, x = (np.array(c, float) for c in zip(*sorted(profile), strict=True))

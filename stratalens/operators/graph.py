@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,11 +43,64 @@ def triangles(edges: DataFrame) -> DataFrame:
     return t.select(s[0].alias("a"), s[1].alias("b"), s[2].alias("c"))
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+#: Up to so many edges, a graph is finished in one task: rounds of jobs would cost more.
+SMALL = 200_000
+
+
+def _is_small(edges: DataFrame, small: int) -> bool:
+    return small > 0 and edges.limit(small + 1).count() <= small
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest node of each one's component among 0..n-1: hooking and pointer jumping over whole arrays."""
+    r = np.arange(n)
+    while len(a):
+        lo, hi = np.minimum(r[a], r[b]), np.maximum(r[a], r[b])
+        live = lo != hi
+        a, b = a[live], b[live]
+        np.minimum.at(r, hi[live], lo[live])
+        while True:
+            jump = r[r]
+            if (jump == r).all():
+                break
+            r = jump
+    return r
+
+
+def _components_of_group(g: pd.DataFrame) -> pd.DataFrame:
+    ids, at = np.unique(np.r_[g["src"], g["dst"]], return_inverse=True)
+    r = roots(len(ids), at[: len(g)], at[len(g) :])
+    return pd.DataFrame({"id": ids, "v": ids[r]})
+
+
+def _forest_of_group(g: pd.DataFrame) -> pd.DataFrame:
+    g = g.sort_values(["w", "src", "dst"], kind="stable")
+    ids, at = np.unique(np.r_[g["src"], g["dst"]], return_inverse=True)
+    root, keep = list(range(len(ids))), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, (a, b) in enumerate(zip(at[: len(g)].tolist(), at[len(g) :].tolist(), strict=True)):
+        p, q = find(a), find(b)
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            keep.append(i)
+    return g.iloc[keep][["src", "dst", "w"]]
+
+
+def components(edges: DataFrame, nodes: DataFrame, small: int = SMALL) -> DataFrame:
     """(id, component): the smallest node each one reaches; isolated nodes are their own.
 
-    Large-star and small-star steps, each a grouped minimum and an equi-join.
+    Large-star and small-star steps, each a grouped minimum and an equi-join; a graph of
+    up to ``small`` edges takes one task instead.
     """
+    if _is_small(edges, small):
+        own = edges.select("src", "dst").groupBy().applyInPandas(_components_of_group, "id long, v long")
+        return nodes.select("id").join(own, "id", "left").select("id", F.coalesce("v", "id").alias("component"))
     e = saved(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges")
     while not e.isEmpty():
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -60,8 +115,14 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("id").join(e.select(F.col("u").alias("id"), "v"), "id", "left").select("id", F.coalesce("v", "id").alias("component"))
 
 
-def minimum_spanning_forest(edges: DataFrame, nodes: DataFrame, weight: str = "d") -> DataFrame:
-    """(src, dst, weight): Boruvka rounds; ties by (weight, src, dst), so the forest is unique."""
+def minimum_spanning_forest(edges: DataFrame, nodes: DataFrame, weight: str = "d", small: int = SMALL) -> DataFrame:
+    """(src, dst, weight): Boruvka rounds; ties by (weight, src, dst), so the forest is unique.
+
+    A graph of up to ``small`` edges takes one task instead, with the same result.
+    """
+    if _is_small(edges, small):
+        rows = edges.select("src", "dst", F.col(weight).cast("double").alias("w"))
+        return rows.groupBy().applyInPandas(_forest_of_group, "src long, dst long, w double").withColumnRenamed("w", weight)
     label = saved(nodes.select("id", F.col("id").alias("c")), "labels")
     live = saved(edges.select("src", "dst", F.col(weight).alias("w")), "live")
     forest = None
@@ -73,7 +134,7 @@ def minimum_spanning_forest(edges: DataFrame, nodes: DataFrame, weight: str = "d
         best = live.select(F.explode(F.array("cs", "cd")).alias("c"), "src", "dst", "w").groupBy("c").agg(F.min(F.struct("w", "src", "dst")).alias("e"))
         chosen = saved(best.select("e.src", "e.dst", "e.w").distinct(), "chosen")
         forest = chosen if forest is None else saved(forest.unionByName(chosen), "forest")
-        merged = components(chosen.join(label.select(F.col("id").alias("src"), F.col("c").alias("a")), "src").join(label.select(F.col("id").alias("dst"), F.col("c").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst")), label.select(F.col("c").alias("id")).distinct())
+        merged = components(chosen.join(label.select(F.col("id").alias("src"), F.col("c").alias("a")), "src").join(label.select(F.col("id").alias("dst"), F.col("c").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst")), label.select(F.col("c").alias("id")).distinct(), small)
         label = saved(label.join(merged.select(F.col("id").alias("c"), "component"), "c").select("id", F.col("component").alias("c")), "labels")
         live = live.select("src", "dst", "w")
     empty = edges.limit(0).select("src", "dst", F.col(weight).alias(weight))

@@ -62,24 +62,23 @@ def roots(n, edges):
     return {x: find(x) for x in range(n)}
 
 
-def test_graph_algorithms(spark):
+@pytest.mark.parametrize("small", [0, graph.SMALL])
+def test_components_and_forest(spark, small):
     rows, e, nodes = random_graph(spark)
-    assert {r["id"]: r["component"] for r in graph.components(e, nodes).collect()} == roots(40, rows)
-    tri = {t for t in itertools.combinations(range(40), 3) if all(p in {(a, b) for a, b, _ in rows} for p in itertools.combinations(t, 2))}
-    assert {tuple(r) for r in graph.triangles(e).collect()} == tri
-    weight, own = 0.0, {}
-    for a, b, w in sorted(rows, key=lambda r: (r[2], r[0], r[1])):
-        r = roots(40, own)
-        if r[a] != r[b]:
-            own[a, b] = w
-            weight += w
-    own = {}
+    assert {r["id"]: r["component"] for r in graph.components(e, nodes, small).collect()} == roots(40, rows)
     kruskal = []
     for a, b, w in sorted(rows, key=lambda r: (r[2], r[0], r[1])):
         r = roots(40, kruskal)
         if r[a] != r[b]:
             kruskal.append((a, b, w))
-    assert {tuple(r) for r in graph.minimum_spanning_forest(e, nodes).collect()} == set(kruskal)
+    assert {tuple(r) for r in graph.minimum_spanning_forest(e, nodes, small=small).collect()} == set(kruskal)
+    assert graph.minimum_spanning_forest(e.limit(0), nodes, small=small).count() == 0
+
+
+def test_graph_algorithms(spark):
+    rows, e, nodes = random_graph(spark)
+    tri = {t for t in itertools.combinations(range(40), 3) if all(p in {(a, b) for a, b, _ in rows} for p in itertools.combinations(t, 2))}
+    assert {tuple(r) for r in graph.triangles(e).collect()} == tri
     dist = {0: 0}
     frontier = [0]
     while frontier:
