@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs_of, saved, small_batches, texts, words_of
+from .common import lean, runs_of, saved, small_batches, texts, words_of
 
 #: Distinct words or pairs that a task holds before it passes their counts on.
 FLUSH = 400_000
@@ -63,7 +63,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                 yield from out()
         yield from out()
 
-    return docs.select("_text").mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("_text").mapInArrow(lean(counted), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -149,7 +149,7 @@ def count_pairs(docs: DataFrame, v: Vocabulary) -> DataFrame:
         fold()
         yield from out()
 
-    return docs.select("_text").mapInArrow(counted, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return docs.select("_text").mapInArrow(lean(counted), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -206,7 +206,7 @@ def exchange(pairs: DataFrame, v: Vocabulary, classes: int, rounds: int) -> tupl
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(m[at].astype(np.int64))], names=["cell", "n"])
 
         m = np.zeros(size * size)
-        for r in table.mapInArrow(summed, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most size * size rows
+        for r in table.mapInArrow(lean(summed), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most size * size rows
             m[r["cell"]] = r["n"]
         return m.reshape(size, size)
 
@@ -235,7 +235,7 @@ def exchange(pairs: DataFrame, v: Vocabulary, classes: int, rounds: int) -> tupl
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["gain", "w", "to"])
 
-        return sorted(tuple(r) for r in table.mapInArrow(tried, "gain double, w long, to long").collect())[::-1]  # at most 1 / cluster_share rows
+        return sorted(tuple(r) for r in table.mapInArrow(lean(tried), "gain double, w long, to long").collect())[::-1]  # at most 1 / cluster_share rows
 
     m = matrix(of)
     share = 0.5
@@ -305,7 +305,7 @@ def _scan(docs: DataFrame, model: Model) -> DataFrame:
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, f.type) for x, f in zip(cols, list(_SCORED)[2:], strict=True))], schema=_SCORED)
 
-    return docs.select("doc_id", "held_out", "_text").mapInArrow(scored, "doc_id long, held_out boolean, uid long, n_tokens long, known long, base double, own double, tail array<struct<word:binary,k:bigint>>")
+    return docs.select("doc_id", "held_out", "_text").mapInArrow(lean(scored), "doc_id long, held_out boolean, uid long, n_tokens long, known long, base double, own double, tail array<struct<word:binary,k:bigint>>")
 
 
 def class_scores(docs: DataFrame, known_share: float = 2e-6, cluster_share: float = 5e-5, classes: int = 32, rounds: int = 6) -> DataFrame:

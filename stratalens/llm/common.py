@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -129,5 +130,22 @@ def words_of(text: str) -> list[bytes]:
     return ascii_lower(text).split()
 
 
-def doc_column(name: str = "doc_id"):
-    return F.col(name).cast("long").alias(name)
+def _trim() -> None:
+    """Give freed memory back: workers are reused, and theirs adds up on an executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(f: Callable) -> Callable:
+    """A ``mapInArrow`` function that leaves no freed memory with its worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            _trim()
+
+    return run

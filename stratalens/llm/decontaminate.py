@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import merge_spans, small_batches, texts
+from .common import lean, merge_spans, small_batches, texts
 
 #: Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z: everything else becomes a space.
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -164,7 +164,7 @@ def _scan(docs: DataFrame, keep: list[str], probe: Probe) -> DataFrame:
             new = [pa.array(x, t) for x, t in zip((sizes, spans, items), _ARROW, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep))), *new], names=[*keep, "n_words", "spans", "items"])
 
-    return docs.select(*keep, "_text").mapInArrow(scanned, schema)
+    return docs.select(*keep, "_text").mapInArrow(lean(scanned), schema)
 
 
 def _merged(docs: DataFrame, keep: list[str], probes: list[Probe]) -> DataFrame:
@@ -213,7 +213,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_words:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-        one = d.mapInArrow(found, "doc_id bigint, item_id string, item_start bigint, doc_start bigint, n_words bigint")
+        one = d.mapInArrow(lean(found), "doc_id bigint, item_id string, item_start bigint, doc_start bigint, n_words bigint")
         out = one if out is None else out.unionByName(one)
     return out
 

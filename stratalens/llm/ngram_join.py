@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
-from .common import runs_of, saved, small_batches, texts, words_of
+from .common import lean, runs_of, saved, small_batches, texts, words_of
 from .components import components
 
 WIDTH = 5
@@ -370,9 +370,9 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     a = sets.select(F.col("doc").alias("a"), F.col("cells").alias("x"), F.col("n").alias("na"))
     b = sets.select(F.col("doc").alias("b"), F.col("cells").alias("y"), F.col("n").alias("nb"))
     fit = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb"))
-    fit = saved(fit.select("a", "b", "x", "y", "na", "nb").mapInArrow(_close, "a long, b long"), "close")
+    fit = saved(fit.select("a", "b", "x", "y", "na", "nb").mapInArrow(lean(_close), "a long, b long"), "close")
     j = fit.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("x")).hint("merge"), "a").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
-    return j.select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long")
+    return j.select("a", "b", "x", "y").mapInArrow(lean(_linked), "a long, b long")
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,7 +413,7 @@ def links(d: DataFrame, busy: int = BUSY) -> tuple[DataFrame, DataFrame]:
     """(sizes, components) of ``d`` (doc, _text), where doc is unique: (doc, n), and (doc, component) of those with links."""
     spark = d.sparkSession
     n = packed.n_buckets(spark)
-    rows = saved(packed.through(d.mapInArrow(_signed(n), packed.ROWS), _SIGNED, _meet(1, busy), ROWS), "join1")
+    rows = saved(packed.through(d.mapInArrow(lean(_signed(n)), packed.ROWS), _SIGNED, _meet(1, busy), ROWS), "join1")
     sizes = rows.where((F.col("kind") == INFO) & (F.col("b") == -1)).select(F.col("a").alias("doc"), F.col("c").alias("n"))
     equal = rows.where(F.col("kind") == EQUAL).select("a", "b")
     # what each set holds in each scheme, less what is too dear
@@ -428,11 +428,11 @@ def links(d: DataFrame, busy: int = BUSY) -> tuple[DataFrame, DataFrame]:
     stars = stars.where(4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")).select("a", "b")
     first = saved(pairs.unionByName(stars).distinct(), "pairs")
     wanted = first.select(F.col("a").alias("doc")).unionByName(first.select(F.col("b").alias("doc"))).unionByName(short.select(F.col("a").alias("doc"))).distinct()
-    sets = saved(d.join(wanted.hint("merge"), "doc", "left_semi").select("doc", "_text").mapInArrow(_set_rows, "doc long, n long, cells binary, set binary"), "sets")
+    sets = saved(d.join(wanted.hint("merge"), "doc", "left_semi").select("doc", "_text").mapInArrow(lean(_set_rows), "doc long, n long, cells binary, set binary"), "sets")
 
     # one-deletion neighbourhoods
     by_doc = short.groupBy(F.col("a").alias("doc")).agg(F.collect_list("b").alias("ks"))
-    near = sets.join(by_doc.hint("merge"), "doc").select("doc", "set", "ks").mapInArrow(_again(n), packed.ROWS)
+    near = sets.join(by_doc.hint("merge"), "doc").select("doc", "set", "ks").mapInArrow(lean(_again(n)), packed.ROWS)
     rows2 = saved(packed.through(near, _SIGNED, _meet(2, busy), ROWS), "join2")
     # a segment whose whole is lost gives nothing; one that loses a neighbour counts once
     lost2 = rows2.where(F.col("kind") == DEAR).groupBy("a", "b", F.expr("c div 4").alias("segment")).agg(F.max(F.expr("CASE WHEN c % 2 = 1 THEN 1 + c % 4 div 2 ELSE 1 END")).alias("lost")).groupBy("a", "b").agg(F.sum("lost").alias("lost"))
@@ -460,7 +460,7 @@ def _leftover_links(sets: DataFrame, comp: DataFrame) -> DataFrame:
     ``LEFT_BLOCK``: each pair of blocks is a task's work of bounded size, which counts
     common elements by a matrix product and gives out links only.
     """
-    p = sets.select("doc", "set").mapInArrow(_prefixes, "doc long, element long")
+    p = sets.select("doc", "set").mapInArrow(lean(_prefixes), "doc long, element long")
     p = saved(p.join(comp, "doc", "left").select("doc", "element", F.coalesce("component", "doc").alias("component")), "prefixes")
     holder = p.groupBy("element").agg(F.min("doc").alias("holder"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("element", "holder")
     met = p.join(holder, "element").select("holder", "doc", "component").distinct()
@@ -469,7 +469,7 @@ def _leftover_links(sets: DataFrame, comp: DataFrame) -> DataFrame:
     cells = met.join(n, "holder").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("holder", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "component")
     cells = cells.join(sets.select("doc", "set").hint("merge"), "doc").repartition("holder", "i", "j").sortWithinPartitions("holder", "i", "j", "own")
-    return saved(cells.select("holder", "i", "j", "own", "doc", "component", "set").mapInArrow(_compared, "a long, b long"), "links")
+    return saved(cells.select("holder", "i", "j", "own", "doc", "component", "set").mapInArrow(lean(_compared), "a long, b long"), "links")
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -540,7 +540,7 @@ def ngram_join(docs: DataFrame, busy: int = BUSY) -> DataFrame:
     one = d.where(F.col("doc").isNotNull()).groupBy("doc").agg(F.min_by("_text", F.sha2(F.coalesce("_text", F.lit("")), 256)).alias("_text"))
     _, comp = links(saved(one, "documents"), busy)
     own = d.select(F.coalesce("doc", F.lit(0)).alias("doc"), "_text", F.col("doc").isNull().alias("none"))
-    own = own.mapInArrow(_sizes, "doc long, n long, none boolean").select(F.when(~F.col("none"), F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"))
+    own = own.mapInArrow(lean(_sizes), "doc long, n long, none boolean").select(F.when(~F.col("none"), F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"))
     return own.join(comp.withColumnRenamed("doc", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import lean
+
 ROWS = "bucket int, payload binary"
 BUCKETS_A_PARTITION = 4
 
@@ -87,4 +89,4 @@ def through(dealt: DataFrame, types: list[str], reduce: Callable[[list[np.ndarra
         for columns, data in buckets(batches, types, blob):
             yield from reduce(columns, data)
 
-    return shuffled(dealt).mapInArrow(run, schema)
+    return shuffled(dealt).mapInArrow(lean(run), schema)

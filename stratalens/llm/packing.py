@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches, texts, to_batches
+from .common import lean, saved, small_batches, texts, to_batches
 from .tokenizer import default_path, encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -142,8 +142,8 @@ def pack(docs: DataFrame, size: int = 2048, n_open: int = 64, end_id: int = 1, t
         yield from rows.take()
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = saved(d.mapInArrow(place, PIECES), "packing")
+    first = saved(d.mapInArrow(lean(place), PIECES), "packing")
     done = first.where(F.col("sequence_id").isNotNull())
     # longest first, so that best fit has small pieces to fill gaps with
     left = first.where(F.col("sequence_id").isNull()).repartition("doc_id", "start").sortWithinPartitions(F.desc("length"), "doc_id", "start")
-    return done.unionByName(left.mapInArrow(merge, PIECES)).drop("ids")
+    return done.unionByName(left.mapInArrow(lean(merge), PIECES)).drop("ids")

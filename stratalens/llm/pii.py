@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import saved, small_batches, texts
+from .common import lean, saved, small_batches, texts
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -127,7 +127,7 @@ def find(docs: DataFrame, keep: list[str], reach: int) -> DataFrame:
             uid += n
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep))), *new], names=[*keep, "uid", "spans", "near"])
 
-    return docs.select(*keep, "_text").mapInArrow(found, schema)
+    return docs.select(*keep, "_text").mapInArrow(lean(found), schema)
 
 
 def term_documents(docs: DataFrame, terms: DataFrame, closure_terms: int = 500_000) -> DataFrame:
@@ -154,7 +154,7 @@ def term_documents(docs: DataFrame, terms: DataFrame, closure_terms: int = 500_0
                 yield out()
         yield out()
 
-    n = docs.select("_text").mapInArrow(counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    n = docs.select("_text").mapInArrow(lean(counted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     return n if wanted is not None else n.join(terms, "term", "left_semi")
 
 
@@ -207,7 +207,7 @@ def pii(docs: DataFrame, reach: int = 8, theta: float = 0.9, support: int = 3) -
     found = saved(find(d, ["doc_id"], reach), "pii")
     terms = _with_terms(found, disclosing(found, d, theta, support))
     rows = found.select("doc_id", "uid", "spans").join(terms, "uid", "left").select("doc_id", "spans", "terms")
-    return rows.mapInArrow(_digest, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return rows.mapInArrow(lean(_digest), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def rewrite(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -260,7 +260,7 @@ def sanitise(docs: DataFrame, reach: int = 8, theta: float = 0.9, support: int =
                     new.append(rewrite(t, [*spans, *terms]) if spans else t)
                 yield put(b, new)
 
-        return docs.mapInArrow(swept, docs.schema)
+        return docs.mapInArrow(lean(swept), docs.schema)
 
     names = [f"_in{k}" for k in range(len(docs.columns))]
     inner = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col("text").cast("string").alias("_text"))
@@ -273,4 +273,4 @@ def sanitise(docs: DataFrame, reach: int = 8, theta: float = 0.9, support: int =
             new = [rewrite(t, [(x["kind"], x["s"], x["e"]) for x in [*base, *(more or [])]]) if t else t for t, base, more in zip(b.column(text).to_pylist(), b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True)]
             yield put(b, new)
 
-    return j.mapInArrow(joined, docs.schema)
+    return j.mapInArrow(lean(joined), docs.schema)

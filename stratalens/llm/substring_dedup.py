@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
-from .common import runs_of, saved, small_batches
+from .common import lean, runs_of, saved, small_batches
 
 K = 32
 CHUNK = 1 << 17
@@ -361,11 +361,11 @@ def removed_spans(d: DataFrame, depth: int) -> DataFrame:
     """(doc, a, b): byte spans to remove, from ``numbered`` documents; they may overlap."""
     spark = d.sparkSession
     n = packed.n_buckets(spark)
-    first = saved(packed.through(d.select("doc", "raw").mapInArrow(_anchored(depth, n), packed.ROWS), _BLOCKS, _by_anchor(depth), ROWS), "blocks")
+    first = saved(packed.through(d.select("doc", "raw").mapInArrow(lean(_anchored(depth, n)), packed.ROWS), _BLOCKS, _by_anchor(depth), ROWS), "blocks")
     spans = first.where(F.col("kind") == SPAN).select("doc", "a", "b")
     named = first.where(F.col("kind") == BLOCK).groupBy("doc").agg(F.collect_list(F.struct("a", "b", "key", "busy")).alias("want"))
     # rows that repeat a document fetch the same bytes of the same places again, which changes nothing
-    fetched = d.select("doc", "raw").join(named, "doc").select("doc", "raw", "want").mapInArrow(_fetch(depth, n), packed.ROWS)
+    fetched = d.select("doc", "raw").join(named, "doc").select("doc", "raw", "want").mapInArrow(lean(_fetch(depth, n)), packed.ROWS)
     second = saved(packed.through(fetched, _WINDOWS, _compare(depth), ROWS, blob=True), "windows")
     return spans.unionByName(second.select("doc", "a", "b"))
 
@@ -407,4 +407,4 @@ def substring_dedup(docs: DataFrame, depth: int = 100, text: bool = False) -> Da
     d = numbered(docs)
     spans = removed_spans(d, depth).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     last = "kept binary" if text else "kept_sha256 string"
-    return d.join(spans, "doc", "left").select("doc_id", "raw", "spans").mapInArrow(_applied(text), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")
+    return d.join(spans, "doc", "left").select("doc_id", "raw", "spans").mapInArrow(lean(_applied(text)), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import saved, small_batches, texts, to_batches
+from .common import lean, saved, small_batches, texts, to_batches
 from .tokenizer import default_path, encoder
 
 #: Ids after which a segment is closed; a longer document makes a longer segment.
@@ -63,7 +63,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str | None = None, end_id:
         yield from close()
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return d.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(coded, SEGMENTS)
+    return d.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(lean(coded), SEGMENTS)
 
 
 def write_ids(docs: DataFrame, path: str, **options) -> None:
@@ -109,7 +109,7 @@ def document_ids(segments: DataFrame) -> DataFrame:
         before.append((part, total))
         total += n
     bases = spark.createDataFrame(before, "part int, base long")
-    docs = segments.mapInArrow(decoded, "part int, doc_id long, place long, n_tokens long, ids_crc32 long")
+    docs = segments.mapInArrow(lean(decoded), "part int, doc_id long, place long, n_tokens long, ids_crc32 long")
     return docs.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 
