@@ -4,9 +4,9 @@ always cuts, and each distinct piece is encoded once per Python worker, by the l
 A byte-level pre-tokeniser ends a run of letters at any other character, and starts
 a new piece at a letter (with the single space before it) unless an apostrophe
 stands there; nothing before a cut changes what follows. So the ids of a text are
-the ids of its pieces in order. This needs to know which characters are letters:
-texts with others than ASCII and Latin ones are cut only at a space between two
-such characters.
+the ids of its pieces in order. This needs to know which characters are letters and
+which are white space: texts with others than visible ASCII, Latin letters and the six
+ASCII white-space characters are cut only at a space between two of the former.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ import numpy as np
 STAY, PASSING = 300_000, 100_000
 
 _L = "A-Za-zÀ-ÖØ-öø-ɏ"
-_OTHER = re.compile(rf"[^\x00-\x7f{_L}]")
-_PIECES = re.compile(rf" ?[{_L}]+|[^{_L}]+?(?:(?<=')[{_L}]+|(?= ?[{_L}])|\Z)")
+_OTHER = re.compile(rf"[^\t-\r -~{_L}]")
+# The last of several white-space characters before a letter is a token of its own.
+_PIECES = re.compile(rf" ?[{_L}]+|[^{_L}]+?(?:(?<=')[{_L}]+|(?=[\t-\r ]?[{_L}])|\Z)")
 _RUN = re.compile(rf" ?[{_L}]+")
 _CUT = re.compile(rf"(?<=[!-~{_L}])(?= [!-~{_L}])")
 #: The string of the vocabulary's special token; texts that hold it are cut at spaces only.
@@ -70,7 +71,7 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         get, out = self.pieces.__getitem__, []
         for t in texts:
-            cut = _CUT.split(t) if _SPECIAL in t or not t.isascii() and _OTHER.search(t) else _PIECES.findall(t)
+            cut = _CUT.split(t) if _SPECIAL in t or _OTHER.search(t) else _PIECES.findall(t)
             out.append(np.frombuffer(b"".join(map(get, cut)), dtype="<u4"))
         return out
 

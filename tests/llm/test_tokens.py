@@ -31,6 +31,13 @@ def test_pieces_equal_library(texts):
     assert [x.tolist() for x in e.encode(texts)] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["a", "Bc", "é", " ", "  ", "\n", "\n\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "'", "'s", ".", "12", "日", "<|endoftext|>", "́"]), max_size=14).map("".join))
+def test_pieces_around_white_space(text):
+    e = encoder(default_path())
+    assert e.encode([text])[0].tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_pieces_on_odd_texts():
     e = encoder(default_path())
     texts = [t or "" for t in TEXTS]
