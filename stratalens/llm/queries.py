@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import class_lm, decontaminate, ngram_join, oracles, packing, pii, quality, substring_dedup, token_output
+from . import class_lm, decontaminate, licenses, ngram_join, oracles, packing, pii, quality, substring_dedup, token_counts, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,11 +41,21 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(_table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document, before and after its personal data is edited out."""
+    return token_counts.edited_counts(_table(spark, sf_dir, "documents")).drop("leaf_chars", "leaf_tokens")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data and disclosing terms in every document."""
     return pii.pii(_table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every document."""
+    return licenses.license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids in windows of 2048."""
     return packing.pack(_table(spark, sf_dir, "documents"))
@@ -58,7 +68,9 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_token_output": op6_token_output,
+    "op7_token_counts": op7_token_counts,
     "op8_pii": op8_pii,
+    "op9_license_scan": op9_license_scan,
     "op10_packing": op10_packing,
 }
 
