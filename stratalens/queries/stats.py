@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import monitor
+from ..functions import distributions, information
+from ..operators import monitor, sampling
 from . import Registry, table
 from .graph import points
 
@@ -68,3 +69,46 @@ def price_regression(spark: SparkSession, d: str) -> DataFrame:
 def split_r_hat(spark: SparkSession, d: str) -> DataFrame:
     draws = table(spark, d, "events").select((F.col("user_id") % 4).alias("chain"), F.col("event_id").alias("draw"), F.col("event_type").alias("name"), "value")
     return monitor.split_r_hat(draws).withColumn("r_hat", F.round("r_hat", 6))
+
+
+@R.add("WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), p AS (SELECT user_id, n / sum(n) OVER (PARTITION BY user_id) AS p FROM c) SELECT user_id, round(-sum(p * ln(p)), 9) + 0.0 AS entropy FROM p GROUP BY user_id")
+def event_entropy(spark: SparkSession, d: str) -> DataFrame:
+    """Entropy of each user's event types."""
+    c = table(spark, d, "events").groupBy("user_id", "event_type").count()
+    p = c.groupBy("user_id").agg(F.collect_list(F.col("count").cast("double")).alias("p"))
+    return p.select("user_id", (F.round(information.shannon(F.col("p")), 9) + 0.0).alias("entropy"))
+
+
+@R.add("WITH c AS (SELECT n_nationkey AS k, coalesce(n, 0) AS n, seg FROM nation CROSS JOIN (SELECT DISTINCT c_mktsegment AS seg FROM customer) LEFT JOIN (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL) ON c_nationkey = n_nationkey AND c_mktsegment = seg), p AS (SELECT k, seg, n / sum(n) OVER (PARTITION BY seg) AS p FROM c), j AS (SELECT a.seg AS first, b.seg AS second, a.p AS p, b.p AS q, (a.p + b.p) / 2 AS m FROM p a JOIN p b ON a.k = b.k AND a.seg < b.seg) SELECT first, second, round(sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * ln(p / m) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(q / m) ELSE 0 END) / 2)), 6) AS distance FROM j GROUP BY ALL")
+def segment_divergence(spark: SparkSession, d: str) -> DataFrame:
+    """Jensen-Shannon distances between the market segments' distributions over nations."""
+    nations, c = table(spark, d, "nation").select(F.col("n_nationkey").alias("k")), table(spark, d, "customer")
+    segments = c.select(F.col("c_mktsegment").alias("seg")).distinct()
+    n = c.groupBy(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("seg")).agg(F.count("*").cast("double").alias("n"))
+    full = nations.join(segments).join(n, ["k", "seg"], "left").na.fill(0.0, ["n"])  # nations by segments: both fixed
+    p = full.groupBy("seg").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "n"))), lambda s: s["n"]).alias("p")).select("seg", information.normalised(F.col("p")).alias("p"))
+    j = p.select(F.col("seg").alias("first"), "p").join(p.select(F.col("seg").alias("second"), F.col("p").alias("q")), F.col("first") < F.col("second"))
+    return j.select("first", "second", F.round(information.jensen_shannon(F.col("p"), F.col("q")), 6).alias("distance"))
+
+
+@R.add()
+def order_changepoints(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of the monthly mean order value, by priority."""
+    o = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("stratum"), (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("long").alias("seq")).agg(F.avg("o_totalprice").alias("value"))
+    return sampling.changepoints(o, 2e8)
+
+
+@R.add()
+def order_process(spark: SparkSession, d: str) -> DataFrame:
+    """Gaussian process over the same series, with leave-one-out predictions."""
+    o = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("stratum"), (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("long").alias("seq")).agg((F.avg("o_totalprice") / 1e5).alias("y"))
+    return sampling.gaussian_process(o.withColumn("x", F.col("seq").cast("double")), 6.0, 0.1)
+
+
+@R.add()
+def normal_tails(spark: SparkSession, d: str) -> DataFrame:
+    """Each event's value under the normal law of its type."""
+    e = table(spark, d, "events")
+    m = monitor.moments(e, ["event_type"], "value").select("event_type", "mean", "variance")
+    z = e.join(m, "event_type").select("event_id", "event_type", ((F.col("value") - F.col("mean")) / F.sqrt("variance")).alias("z"))
+    return z.withColumn("below", distributions.Normal().below_column(F.col("z")))
