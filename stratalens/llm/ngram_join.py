@@ -554,5 +554,5 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The row of ``docs`` with the smallest doc_id of each component, with its columns (equal rows: one of them)."""
     joined = saved(ngram_join(docs).where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    once = docs.join(joined.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    once = docs.join(joined.withColumnRenamed("doc_id", "_kept").hint("merge"), F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(docs.where(F.col("doc_id").isNull()))
