@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, runs_of, saved, small_batches, texts, words_of
+from .common import lean, runs_of, saved, shared_dir, small_batches, texts, words_of
 
 #: Distinct words or pairs that a task holds before it passes their counts on.
 FLUSH = 400_000
@@ -194,7 +194,9 @@ def exchange(pairs: DataFrame, v: Vocabulary, classes: int, rounds: int) -> tupl
     of = np.r_[np.arange(v.clustered) % k, k + np.arange(fixed)]
     both = pairs.select(F.col("a").alias("w"), F.col("b").alias("x"), F.lit(True).alias("right"), "n").unionByName(pairs.where(F.col("b") < v.clustered).select(F.col("b").alias("w"), F.col("a").alias("x"), F.lit(False).alias("right"), "n"))
     # all rows of a word in one partition; a word has at most two rows for each unit
-    table = both.repartition("w").sortWithinPartitions("w").checkpoint() if spark.sparkContext.getCheckpointDir() else saved(both, "pairs")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    table = both.repartition("w").sortWithinPartitions("w").checkpoint()
 
     def matrix(of: np.ndarray) -> np.ndarray:
         def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
