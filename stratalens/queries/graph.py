@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics
-from ..operators import graph, neighbours
+from ..operators import graph, neighbours, spectral
+from ..plans.compiler import compile_graph
 from . import Registry, table
 
 R = Registry()
@@ -161,3 +162,31 @@ def metric_columns(spark: SparkSession, d: str) -> DataFrame:
     j = p.join(p.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
     names = {"minkowski3": "minkowski:p=3"} | {n: n for n in ("euclidean", "manhattan", "chebyshev", "canberra", "cosine", "angular")}
     return j.select("vec_id", *[F.round(metrics.metric(m)(F.col("a"), F.col("b")), 6).alias(n) for n, m in names.items()])
+
+
+@R.add(f"WITH {WL}, a AS (SELECT w.src, w.dst, abs(hash_a - hash_b) AS x FROM (SELECT src, dst, src % 3 AS hash_a, dst % 3 AS hash_b FROM w) w) SELECT round(avg(CASE WHEN (x = 0) = (ls = ld) THEN 1.0 ELSE 0 END), 9) AS overlap, count(*) AS edges FROM wl JOIN a ON wl.src = a.src AND wl.dst = a.dst")
+def link_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Agreement on edges of the labels with a partition by id modulo three."""
+    thirds = points(spark, d).select("id", (F.col("id") % 3).alias("label"))
+    r = graph.link_overlap(coupled(spark, d), labels(spark, d), thirds)
+    return r.select(F.round("overlap", 9).alias("overlap"), "edges")
+
+
+@R.add(f"WITH {EDGES} SELECT (SELECT count(*) FROM e) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(DISTINCT src) FROM halves) AS touched")
+def graph_size(spark: SparkSession, d: str) -> DataFrame:
+    e = edges(spark, d)
+    t = neighbours.symmetric(e).select("src").distinct().count()
+    return spark.createDataFrame([(points(spark, d).count(), e.count(), t)], "nodes long, edges long, touched long")
+
+
+@R.add()
+def algebraic_connectivity(spark: SparkSession, d: str) -> DataFrame:
+    """Of each label's own part of the neighbour graph."""
+    e = graph.labelled(coupled(spark, d), labels(spark, d)).where("ls = ld").select(F.col("ls").cast("long").alias("group"), "src", "dst", "w")
+    return spectral.algebraic_connectivity(e)
+
+
+@R.add()
+def compiled_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of the planner's graph with its automatic choices."""
+    return compile_graph(points(spark, d)).edges
