@@ -41,19 +41,21 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
     end_of_block = np.minimum((np.arange(n) // block + 1) * block, n)
     room = (end_of_block - np.arange(n)).astype(np.int32)
-    # top[i]: bits of the widest of the next ``have`` values, widened run by run
+    # top[i]: bits of the widest of the next ``have`` values, widened run by run. A longer
+    # run has a narrower width, so what fits one selector fits all with shorter runs: the
+    # choice is 14 less the number of further selectors that fit.
     top, have = _bits(v), 1
-    choice = np.zeros(n, np.uint8)
-    for s in range(14, 0, -1):
+    choice = np.where(top <= int(WIDTHS[14]), np.uint8(14), np.uint8(0))
+    for s in range(13, 0, -1):
         want = int(COUNTS[s])
         while have < want:
             step = min(have, want - have)
             np.maximum(top[: n - step], top[step:], out=top[: n - step])
             have += step
-        fits = (top <= WIDTHS[s]) & (room >= want)
-        choice[fits] = s
-        if s < 14 and not fits.any():
-            break  # longer runs have narrower widths
+        fits = (top <= int(WIDTHS[s])) & (room >= want)
+        if not fits.any():
+            break
+        choice -= fits.view(np.uint8)
     step_of = np.where(choice == 0, 1, COUNTS[choice])
     # all blocks walk at once from their first value
     n_blocks = -(-n // block)
