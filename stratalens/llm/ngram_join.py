@@ -44,7 +44,9 @@ SMALL, RATIO = 16, 16 / 9
 SHARE = 0.4
 #: A link to a busy signature's first holder is tried if so many signatures speak for it.
 SUPPORT = 4
-HOLD = 1_000_000
+HOLD = 300_000
+#: Signatures of a bucket that are compared at a time.
+PART = 40_000
 #: Counts of elements by cell that are compared before sets are.
 CELLS = 256
 #: Sets in a block of the last comparison.
@@ -63,7 +65,7 @@ class _Words(dict):
     """Word -> 64-bit hash, remembered within bounds."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -215,7 +217,7 @@ def _signed(n_buckets: int):
                 if not len(x):
                     continue
                 name = xxhash.xxh3_128_digest(x.tobytes())
-                twin = seen.setdefault(name, d) if len(seen) < 200_000 else d
+                twin = seen.setdefault(name, d) if len(seen) < 100_000 else d
                 if twin != d:
                     notes.append((d, 1, twin & 0xFFFFFFFF, twin >> 32))
                     continue
@@ -258,7 +260,13 @@ def _meet(level: int, most: int):
     """Reducer: pairs that share a signature; for busy signatures only links to the first holder, and what they cost."""
 
     def reduce(columns, _) -> Iterator[pa.RecordBatch]:
-        lo, hi, doc, scheme, mark = columns
+        # equal signatures have equal low words: a bucket is worked off in parts
+        parts = -(-len(columns[0]) // PART)
+        for p in range(parts):
+            own = np.flatnonzero(columns[0] % np.uint32(parts) == p)
+            yield from part(*(c[own] for c in columns))
+
+    def part(lo, hi, doc, scheme, mark) -> Iterator[pa.RecordBatch]:
         note = hi == 255
         if note.any():
             d, what, value, far = doc[note], scheme[note].astype(np.int64), lo[note].astype(np.int64), mark[note].astype(np.int64)
