@@ -110,3 +110,17 @@ def test_scan_query(spark):
     got = sorted((r["doc_id"], r["n_licenses"], r["licenses"], r["spans"]) for r in li.license_scan(frame(spark, rows)).collect())
     assert got == [(1, 0, [], ""), (2, 0, [], ""), (3, 0, [], ""), (3, 2, ["CC-BY-NC-4.0", "MIT"], "MIT:6:36:100,CC-BY-NC-4.0:44:71:100"), (4, 0, [], "")]
     assert li.license_scan(frame(spark, [])).count() == 0
+
+
+def test_full_texts_and_headers(spark):
+    """Whole texts are one find from their first word to their last; one changed word does not shrink it."""
+    texts = [(n, "\n\n".join(parts)) for n, parts in li.full_texts()]
+    docs = [f"Noise before it. {t}" for _, t in texts] + [f"Noise. {t} noise" for _, t in li.HEADERS]
+    docs.append(docs[li.TEXTS.index("MIT")].replace("obtaining", "getting"))
+    got = {r["doc_id"]: r for r in li.license_scan(frame(spark, list(enumerate(docs)))).collect()}
+    for k, name in enumerate([*li.TEXTS, *(n for n, _ in li.HEADERS), "MIT"]):
+        n, s, e, c = got[k]["spans"].rsplit(":", 3)
+        assert (got[k]["n_licenses"], n) == (1, name), (name, got[k]["spans"])
+        assert int(s) <= 60 and int(e) > len(docs[k]) - 60 and int(c) >= 98, (name, got[k]["spans"], len(docs[k]))
+    broken = docs[li.TEXTS.index("BSD-2-Clause")].replace("Redistributions in binary form", "Copies in binary form").replace("COPYRIGHT HOLDERS", "REGENTS")
+    assert [f[0] for f in li.scan(li.Index([*li.TEMPLATES, *li.HEADERS], li.full_texts()), broken, 0.8)] == ["BSD-2-Clause"]
