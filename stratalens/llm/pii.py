@@ -5,9 +5,11 @@ if the corpus says so: with n(e) and n(t) documents that hold the entity and the
 and n(t,e) documents in which the term stands within ``reach`` words of it, the term's
 pointwise mutual information with the entity, log2(N n(t,e) / (n(t) n(e))), is compared
 with the entity's own information, log2(N / n(e)). A term that conveys at least the
-share ``theta`` of it, in at least ``support`` different contexts (copies of a context
-count once), exceeds the disclosure threshold: beside that entity it is marked, and
-generalised when the text is rewritten.
+share ``theta`` of it exceeds the disclosure threshold: beside that entity it is marked,
+and generalised when the text is rewritten. That is, n(t,e) / n(t) has to reach
+(n(e) / N) ** (1 - theta). Copies of a context count once; with fewer than ``support``
+contexts the exact lower confidence bound of that ratio has to reach it, so that rare
+entities are judged too, but no word is marked just for being as rare as its entity.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: Of the bound for terms with few contexts.
+CONFIDENCE = 0.9
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 
@@ -158,19 +162,35 @@ def term_documents(docs: DataFrame, terms: DataFrame, closure_terms: int = 500_0
     return n if wanted is not None else n.join(terms, "term", "left_semi")
 
 
+def _bounded(k, n, p, support: int):
+    """Column: whether the lower bound of k of n, with k < ``support``, is at least p: k or more are unlikely below p."""
+    below, choose = F.lit(0.0), F.lit(1.0)
+    for i in range(support - 1):
+        below = below + F.when(k > i, choose * p**i * (1 - p) ** (n - i)).otherwise(0.0)
+        choose = choose * (n - i) / (i + 1)
+    return (k < support) & (1 - below <= 1 - CONFIDENCE)
+
+
 def disclosing(found: DataFrame, docs: DataFrame, theta: float, support: int) -> DataFrame:
-    """(entity, term): pairs whose term exceeds the entity's disclosure threshold."""
+    """(entity, term): pairs whose term exceeds the entity's disclosure threshold.
+
+    Entities with so few contexts that no term could are left out before terms are counted.
+    """
+    n = found.count()
     near = found.select("uid", F.explode("near").alias("x")).select("uid", "x.entity", "x.term", "x.context")
-    pairs = near.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("uid").alias("n_both")).where(F.col("contexts") >= support)
+    least = F.pow(F.col("c_entity") / F.lit(float(max(n, 1))), F.lit(1 - theta))
+    entities = near.groupBy("entity").agg(F.countDistinct("context").alias("c_entity"), F.countDistinct("uid").alias("n_entity")).withColumn("least", least)
+    entities = saved(entities.where((F.col("c_entity") >= support) | _bounded(F.col("c_entity"), F.col("c_entity"), F.col("least"), support)), "pii-entities")
+    pairs = near.join(entities.select("entity"), "entity", "left_semi").groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("uid").alias("n_both"))
     pairs = saved(pairs, "pii-pairs")
     if pairs.isEmpty():
         return pairs.select("entity", "term")
-    n = found.count()
-    n_entity = near.groupBy("entity").agg(F.countDistinct("uid").alias("n_entity"))
     n_term = term_documents(docs, pairs.select("term").distinct())
     info = F.log2(F.lit(float(n)) / F.col("n_entity"))
     pmi = F.log2(F.lit(float(n)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    return pairs.join(n_entity, "entity").join(n_term, "term").where((info > 0) & (pmi >= theta * info)).select("entity", "term")
+    seen = F.col("contexts") + F.greatest(F.col("n_term") - F.col("n_both"), F.lit(0))  # copies beside the entity count once
+    enough = F.when(F.col("contexts") >= support, pmi >= theta * info).otherwise(_bounded(F.col("contexts"), seen, F.col("least"), support))
+    return pairs.join(entities, "entity").join(n_term, "term").where((info > 0) & enough).select("entity", "term")
 
 
 def _with_terms(found: DataFrame, pairs: DataFrame) -> DataFrame:

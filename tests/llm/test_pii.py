@@ -109,3 +109,15 @@ def test_sanitise(spark, closure_pairs):
     assert got[900] is None and got[901] == "call [PHONE] now"
     assert "Zorro" not in got[401] and "[NAME]" in got[401] and "[EMAIL]" in got[401]
     assert sum(got[d] == t for d, t in corpus()) == 400  # rows come in any order
+
+
+def test_rare_entities_are_judged(spark):
+    """Two contexts are enough where the corpus is large; one is not, nor are words that stand elsewhere too."""
+    rows = [(k, f"filler word{chr(97 + k % 26)} elsewhere") for k in range(2000)]
+    rows += [(3000 + k, f"{w} Zorro z@zorro.org {w} elsewhere") for k, w in enumerate(["aa", "bb"])]
+    rows += [(4000, "hapax once@other.com words"), (4001, "hapax once@other.com words")]
+    d = pii._inner(frame(spark, rows))
+    found = pii.saved(pii.find(d, ["doc_id"], 8), "t")
+    got = {tuple(r) for r in pii.disclosing(found, d, 0.8, 3).collect()}
+    assert got == {("email:z@zorro.org", "zorro")}
+    assert pii.disclosing(found, d, 0.9, 3).count() == 0  # the bound of two of two is 0.32, (2 / 2004) ** 0.1 is 0.50
