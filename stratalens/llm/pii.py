@@ -1,13 +1,14 @@
 """Information-theoretic sanitisation.
 
-Four patterns give the protected entities of a text. A term near an entity betrays it
-if the corpus says so: with n(e) and n(t) documents that hold the entity and the term,
-and n(t,e) documents in which the term stands within ``reach`` words of it, the term's
+Four patterns give the protected entities of a text. A term betrays an entity if the
+corpus says so: with n(e) and n(t) documents that hold the entity and the term, and
+n(t,e) documents that hold both, however far apart, the term's
 pointwise mutual information with the entity, log2(N n(t,e) / (n(t) n(e))), is compared
 with the entity's own information, log2(N / n(e)). A term that conveys at least the
-share ``theta`` of it exceeds the disclosure threshold: beside that entity it is marked,
-and generalised when the text is rewritten. That is, n(t,e) / n(t) has to reach
-(n(e) / N) ** (1 - theta). Copies of a context count once; with fewer than ``support``
+share ``theta`` of it exceeds the disclosure threshold: in documents that hold the entity
+it is marked wherever it stands, and generalised when the text is rewritten. That is, n(t,e) / n(t) has to reach
+(n(e) / N) ** (1 - theta). A context is what stands within ``reach`` words of an entity:
+copies of it count once, and a term farther off has the entity's first one. With fewer than ``support``
 contexts the exact lower confidence bound of that ratio has to reach it, so that rare
 entities are judged too, but no word is marked just for being as rare as its entity.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import lean, saved, small_batches, texts
+from .common import lean, merge_spans, saved, small_batches, texts
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -108,28 +109,45 @@ def contexts(text: str, spans: list[tuple[str, int, int]], reach: int) -> list[t
     return out
 
 
-_FOUND = "uid bigint, spans array<struct<kind:string,s:int,e:int>>, near array<struct<entity:string,term:string,s:int,e:int,context:bigint>>"
+def free_words(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of every word of the text outside its spans."""
+    out, k, taken = [], 0, merge_spans([(s, e) for _, s, e in spans])
+    for m in _WORD.finditer(text):
+        while k < len(taken) and taken[k][1] <= m.start():
+            k += 1
+        if k == len(taken) or m.end() <= taken[k][0]:
+            out.append((m[0].lower(), *m.span()))
+    return out
+
+
+_FOUND = "uid bigint, spans array<struct<kind:string,s:int,e:int>>, near array<struct<entity:string,term:string,s:int,e:int,context:bigint>>, held array<struct<entity:string,context:bigint>>, words array<struct<term:string,s:int,e:int>>"
 _SPAN = pa.struct([("kind", pa.string()), ("s", pa.int32()), ("e", pa.int32())])
 _NEAR = pa.struct([("entity", pa.string()), ("term", pa.string()), ("s", pa.int32()), ("e", pa.int32()), ("context", pa.int64())])
+_HELD = pa.struct([("entity", pa.string()), ("context", pa.int64())])
+_TERM = pa.struct([("term", pa.string()), ("s", pa.int32()), ("e", pa.int32())])
 
 
 def find(docs: DataFrame, keep: list[str], reach: int) -> DataFrame:
-    """``keep``, a number for each row, its base spans and the words near them. The number holds once saved."""
+    """``keep``, a number for each row, its base spans, the words near them, its entities with their first contexts and, if there are any, all words. The number holds once saved."""
     small_batches(docs.sparkSession)
     schema = StructType([*docs.select(*keep).schema.fields, *StructType.fromDDL(_FOUND).fields])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 36
         for b in batches:
-            spans, near = [], []
+            spans, near, held, words = [], [], [], []
             for t in texts(b, "_text"):
                 s = base_spans(t)
                 spans.append([{"kind": k, "s": x, "e": y} for k, x, y in s])
-                near.append([dict(zip(("entity", "term", "s", "e", "context"), c, strict=True)) for c in contexts(t, s, reach)] if s else [])
+                by = contexts(t, s, reach) if s else []
+                near.append([dict(zip(("entity", "term", "s", "e", "context"), c, strict=True)) for c in by])
+                first = {entity_of(k, t[x:y]): 0 for k, x, y in s} | {c[0]: c[4] for c in reversed(by)}
+                held.append([{"entity": x, "context": c} for x, c in first.items()])
+                words.append([{"term": w, "s": x, "e": y} for w, x, y in free_words(t, s)] if s else [])
             n = len(spans)
-            new = [pa.array(range(uid, uid + n), pa.int64()), pa.array(spans, pa.list_(_SPAN)), pa.array(near, pa.list_(_NEAR))]
+            new = [pa.array(range(uid, uid + n), pa.int64()), pa.array(spans, pa.list_(_SPAN)), pa.array(near, pa.list_(_NEAR)), pa.array(held, pa.list_(_HELD)), pa.array(words, pa.list_(_TERM))]
             uid += n
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep))), *new], names=[*keep, "uid", "spans", "near"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep))), *new], names=[*keep, "uid", "spans", "near", "held", "words"])
 
     return docs.select(*keep, "_text").mapInArrow(lean(found), schema)
 
@@ -177,12 +195,19 @@ def disclosing(found: DataFrame, docs: DataFrame, theta: float, support: int) ->
     Entities with so few contexts that no term could are left out before terms are counted.
     """
     n = found.count()
-    near = found.select("uid", F.explode("near").alias("x")).select("uid", "x.entity", "x.term", "x.context")
+    near = found.select(F.explode("near").alias("x")).select("x.entity", "x.term", "x.context")
+    held = found.select("uid", F.explode("held").alias("x")).select("uid", "x.entity", "x.context")
     least = F.pow(F.col("c_entity") / F.lit(float(max(n, 1))), F.lit(1 - theta))
-    entities = near.groupBy("entity").agg(F.countDistinct("context").alias("c_entity"), F.countDistinct("uid").alias("n_entity")).withColumn("least", least)
-    entities = saved(entities.where((F.col("c_entity") >= support) | _bounded(F.col("c_entity"), F.col("c_entity"), F.col("least"), support)), "pii-entities")
-    pairs = near.join(entities.select("entity"), "entity", "left_semi").groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("uid").alias("n_both"))
-    pairs = saved(pairs, "pii-pairs")
+    might = lambda c: (F.col(c) >= support) | _bounded(F.col(c), F.col(c), F.col("least"), support)
+    each = near.groupBy("entity").agg(F.countDistinct("context").alias("c"))
+    entities = held.groupBy("entity").agg(F.countDistinct("uid").alias("n_entity"), F.countDistinct("context").alias("c_held")).join(each, "entity", "left").withColumn("c_entity", F.greatest("c_held", F.coalesce("c", F.lit(0))))
+    entities = saved(entities.withColumn("least", least).where(might("c_entity")).select("entity", "n_entity", "c_entity", "least"), "pii-entities")
+    some = entities.select("entity")
+    terms = found.where(F.size("words") > 0).select("uid", F.array_distinct("words.term").alias("terms"))
+    both = held.join(some, "entity", "left_semi").join(terms, "uid").select("entity", F.explode("terms").alias("term"), F.col("context").alias("first"), F.lit(None).cast("long").alias("context"))
+    beside = near.join(some, "entity", "left_semi").select("entity", "term", F.lit(None).cast("long").alias("first"), "context")
+    pairs = both.unionByName(beside).groupBy("entity", "term").agg(F.greatest(F.countDistinct("first"), F.countDistinct("context")).alias("contexts"), F.count("first").alias("n_both"))
+    pairs = saved(pairs.join(entities, "entity").where(might("contexts")), "pii-pairs")
     if pairs.isEmpty():
         return pairs.select("entity", "term")
     n_term = term_documents(docs, pairs.select("term").distinct())
@@ -190,13 +215,14 @@ def disclosing(found: DataFrame, docs: DataFrame, theta: float, support: int) ->
     pmi = F.log2(F.lit(float(n)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     seen = F.col("contexts") + F.greatest(F.col("n_term") - F.col("n_both"), F.lit(0))  # copies beside the entity count once
     enough = F.when(F.col("contexts") >= support, pmi >= theta * info).otherwise(_bounded(F.col("contexts"), seen, F.col("least"), support))
-    return pairs.join(entities, "entity").join(n_term, "term").where((info > 0) & enough).select("entity", "term")
+    return pairs.join(n_term, "term").where((info > 0) & enough).select("entity", "term")
 
 
 def _with_terms(found: DataFrame, pairs: DataFrame) -> DataFrame:
     """(uid, terms): the marked term spans of each row that has any; the join is on the pair, the rows are small."""
-    near = found.select("uid", F.explode("near").alias("x")).select("uid", "x.entity", "x.term", "x.s", "x.e")
-    return near.join(pairs, ["entity", "term"]).groupBy("uid").agg(F.collect_set(F.struct(F.lit("term").alias("kind"), "s", "e")).alias("terms"))
+    held = found.select("uid", F.explode("held.entity").alias("entity")).join(pairs, "entity").select("uid", "term").distinct()
+    words = found.select("uid", F.explode("words").alias("x")).select("uid", "x.term", "x.s", "x.e")
+    return words.join(held, ["uid", "term"]).groupBy("uid").agg(F.collect_set(F.struct(F.lit("term").alias("kind"), "s", "e")).alias("terms"))
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,14 +295,17 @@ def sanitise(docs: DataFrame, reach: int = 8, theta: float = 0.9, support: int =
 
     if pairs.count() <= closure_pairs:
         small_batches(spark)
-        known = frozenset((r[0], r[1]) for r in pairs.toLocalIterator())
+        known: dict[str, set[str]] = {}
+        for entity, term in pairs.toLocalIterator():
+            known.setdefault(entity, set()).add(term)
 
         def swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 new = []
                 for t in b.column(text).to_pylist():
                     spans = base_spans(t) if t else []
-                    terms = [("term", s, e) for x, w, s, e, _ in contexts(t, spans, reach) if (x, w) in known] if spans and known else []
+                    own = set().union(*(known.get(entity_of(k, t[s:e]), ()) for k, s, e in spans)) if known else ()
+                    terms = [("term", s, e) for w, s, e in free_words(t, spans) if w in own] if own else []
                     new.append(rewrite(t, [*spans, *terms]) if spans else t)
                 yield put(b, new)
 
@@ -285,7 +314,7 @@ def sanitise(docs: DataFrame, reach: int = 8, theta: float = 0.9, support: int =
     names = [f"_in{k}" for k in range(len(docs.columns))]
     inner = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col("text").cast("string").alias("_text"))
     rows = saved(find(inner, names, reach), "pii-rows")
-    j = rows.drop("near").join(_with_terms(rows, pairs), "uid", "left").select(*names, "spans", "terms")
+    j = rows.drop("near", "held", "words").join(_with_terms(rows, pairs), "uid", "left").select(*names, "spans", "terms")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(names)

@@ -121,3 +121,17 @@ def test_rare_entities_are_judged(spark):
     got = {tuple(r) for r in pii.disclosing(found, d, 0.8, 3).collect()}
     assert got == {("email:z@zorro.org", "zorro")}
     assert pii.disclosing(found, d, 0.9, 3).count() == 0  # the bound of two of two is 0.32, (2 / 2004) ** 0.1 is 0.50
+
+
+def test_terms_far_from_the_entity(spark):
+    """A name in the greeting is tied to the address in the signature, and marked wherever it stands there."""
+    rng = random.Random(1)
+    fill = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(n))
+    letters = [(1000 + k, f"Dear Zorro, {fill(20)} zorro {fill(20)} z@other.org {fill(9)}") for k in range(4)]
+    docs = frame(spark, [*((k, fill(60)) for k in range(400)), *letters])
+    spans = {r["doc_id"]: r["spans"].split(",") for r in pii.pii(docs).collect()}
+    for d, t in letters:
+        assert {f"term:{m.start()}:{m.end()}" for m in re.finditer("(?i)zorro", t)} <= set(spans[d])
+    for closure_pairs in (200_000, 0):
+        got = {r["doc_id"]: r["text"] for r in pii.sanitise(docs, closure_pairs=closure_pairs).where("doc_id >= 1000").collect()}
+        assert all("zorro" not in t.lower() and "[NAME], " in t and "[TERM]" in t and "[EMAIL]" in t for t in got.values())
