@@ -1,6 +1,6 @@
 """Information-theoretic sanitisation.
 
-Four patterns give the protected entities of a text. A term betrays an entity if the
+Four patterns give the protected entities of a text, in time that grows with its length. A term betrays an entity if the
 corpus says so: with n(e) and n(t) documents that hold the entity and the term, and
 n(t,e) documents that hold both, however far apart, the term's
 pointwise mutual information with the entity, log2(N n(t,e) / (n(t) n(e))), is compared
@@ -10,13 +10,18 @@ it is marked wherever it stands, and generalised when the text is rewritten. Tha
 (n(e) / N) ** (1 - theta). A context is what stands within ``reach`` words of an entity:
 copies of it count once, and a term farther off has the entity's first one. With fewer than ``support``
 contexts the exact lower confidence bound of that ratio has to reach it, so that rare
-entities are judged too, but no word is marked just for being as rare as its entity.
+entities are judged too, but no word is marked just for being as rare as its entity. An
+entity with a single context has no terms: every word that stands nowhere else would be one.
+
+From the threshold follows how frequent a term may be at most. Words are counted over
+the whole corpus first, and only those rare enough are paired with entities.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,10 +35,15 @@ from pyspark.sql.types import StructType
 from .common import lean, merge_spans, saved, small_batches, texts
 
 KINDS = ["email", "ip", "card", "phone", "term"]
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+#: The patterns are those of the contract, written so that no run of characters is tried from each of its
+#: places: an address is looked for from its "@", numbers begin at the first digit of a run.
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: Contexts that a disclosing term has at least.
+FEWEST = 2
 #: Of the bound for terms with few contexts.
 CONFIDENCE = 0.9
 _NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -51,13 +61,29 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str) -> Iterator[tuple[str, int, int]]:
+    """Leftmost addresses: the part before an "@" reaches back to the last match, the last "@" or another character."""
+    free, at = 0, text.find("@")
+    while at >= 0:
+        start = free + len(text[free:at].rstrip(_LOCAL))
+        free = at + 1
+        if start < at and (m := _DOMAIN.match(text, at + 1)):
+            free = m.end()
+            yield "email", start, free
+        at = text.find("@", free)
+
+
+def _octet(digits: str) -> bool:
+    """Whether a number is at most 255, however many digits it has."""
+    d = digits.lstrip("0")
+    return len(d) < 3 or (len(d) == 3 and d <= "255")
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind as listed; code points, end exclusive."""
-    out = []
-    if "@" in text:
-        out += [("email", *m.span()) for m in _EMAIL.finditer(text)]
+    out = list(_emails(text))
     if "." in text:
-        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(map(_octet, m[0].split(".")))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14:
             d = _NOT_DIGIT.sub("", m[0])
@@ -77,52 +103,39 @@ def entity_of(kind: str, text: str) -> str:
     return f"{kind}:{text.lower() if kind == 'email' else text if kind == 'ip' else _NOT_DIGIT.sub('', text)}"
 
 
-def _near(text: str, at: int, end: int, reach: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Words within ``reach`` words of a span, without those inside any span."""
-    free = lambda m: not any(s < m.end() and m.start() < e for s, e in taken)
-    left: list[tuple[int, int]] = []
-    size = 32 * reach
-    while True:  # widen until there are enough words or the text begins
-        lo = max(0, at - size)
-        found = [m for m in _WORD.finditer(text, lo, at) if m.start() > lo or lo == 0]
-        if len(found) >= reach or lo == 0:
-            left = [m.span() for m in found[-reach:] if free(m)]
-            break
-        size *= 4
-    right = []
-    for n, m in enumerate(_WORD.finditer(text, end)):
-        if n >= reach:
-            break
-        if free(m):
-            right.append(m.span())
-    return left + right
-
-
-def contexts(text: str, spans: list[tuple[str, int, int]], reach: int) -> list[tuple[str, str, int, int, int]]:
-    """(entity, term, start, end, hash of the context) of every word near an entity."""
-    out, taken = [], [(s, e) for _, s, e in spans]
+def _words(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int], list[bool]]:
+    """Starts and ends of the text's words, and whether each touches no span."""
+    starts, ends, free, k, taken = [], [], [], 0, merge_spans([(s, e) for _, s, e in spans])
+    for m in _WORD.finditer(text):
+        s, e = m.span()
+        while k < len(taken) and taken[k][1] <= s:
+            k += 1
+        starts.append(s)
+        ends.append(e)
+        free.append(k == len(taken) or e <= taken[k][0])
+    return starts, ends, free
+
+
+def contexts(text: str, spans: list[tuple[str, int, int]], reach: int) -> list[tuple[str, str, int]]:
+    """(entity, term, hash of the context) of every word within ``reach`` words of an entity, outside all spans."""
+    out, (starts, ends, free) = [], _words(text, spans)
     for kind, s, e in spans:
-        words = _near(text, s, e, reach, taken)
-        terms = [text[a:b].lower() for a, b in words]
-        key = xxhash.xxh3_64_intdigest(" ".join(terms).encode()) - (1 << 63)
-        out += [(entity_of(kind, text[s:e]), t, a, b, key) for t, (a, b) in zip(terms, words, strict=True)]
+        i, j = bisect_right(ends, s), bisect_left(starts, e)
+        near = [text[starts[k] : ends[k]].lower() for k in (*range(max(0, i - reach), i), *range(j, min(len(starts), j + reach))) if free[k]]
+        key = xxhash.xxh3_64_intdigest(" ".join(near).encode()) - (1 << 63)
+        entity = entity_of(kind, text[s:e])
+        out += [(entity, t, key) for t in near]
     return out
 
 
 def free_words(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """(term, start, end) of every word of the text outside its spans."""
-    out, k, taken = [], 0, merge_spans([(s, e) for _, s, e in spans])
-    for m in _WORD.finditer(text):
-        while k < len(taken) and taken[k][1] <= m.start():
-            k += 1
-        if k == len(taken) or m.end() <= taken[k][0]:
-            out.append((m[0].lower(), *m.span()))
-    return out
+    return [(text[s:e].lower(), s, e) for s, e, f in zip(*_words(text, spans), strict=True) if f]
 
 
-_FOUND = "uid bigint, spans array<struct<kind:string,s:int,e:int>>, near array<struct<entity:string,term:string,s:int,e:int,context:bigint>>, held array<struct<entity:string,context:bigint>>, words array<struct<term:string,s:int,e:int>>"
+_FOUND = "uid bigint, spans array<struct<kind:string,s:int,e:int>>, near array<struct<entity:string,term:string,context:bigint>>, held array<struct<entity:string,context:bigint>>, words array<struct<term:string,s:int,e:int>>"
 _SPAN = pa.struct([("kind", pa.string()), ("s", pa.int32()), ("e", pa.int32())])
-_NEAR = pa.struct([("entity", pa.string()), ("term", pa.string()), ("s", pa.int32()), ("e", pa.int32()), ("context", pa.int64())])
+_NEAR = pa.struct([("entity", pa.string()), ("term", pa.string()), ("context", pa.int64())])
 _HELD = pa.struct([("entity", pa.string()), ("context", pa.int64())])
 _TERM = pa.struct([("term", pa.string()), ("s", pa.int32()), ("e", pa.int32())])
 
@@ -140,8 +153,8 @@ def find(docs: DataFrame, keep: list[str], reach: int) -> DataFrame:
                 s = base_spans(t)
                 spans.append([{"kind": k, "s": x, "e": y} for k, x, y in s])
                 by = contexts(t, s, reach) if s else []
-                near.append([dict(zip(("entity", "term", "s", "e", "context"), c, strict=True)) for c in by])
-                first = {entity_of(k, t[x:y]): 0 for k, x, y in s} | {c[0]: c[4] for c in reversed(by)}
+                near.append([{"entity": x, "term": w, "context": c} for x, w, c in dict.fromkeys(by)])
+                first = {entity_of(k, t[x:y]): 0 for k, x, y in s} | {c[0]: c[2] for c in reversed(by)}
                 held.append([{"entity": x, "context": c} for x, c in first.items()])
                 words.append([{"term": w, "s": x, "e": y} for w, x, y in free_words(t, s)] if s else [])
             n = len(spans)
@@ -152,13 +165,9 @@ def find(docs: DataFrame, keep: list[str], reach: int) -> DataFrame:
     return docs.select(*keep, "_text").mapInArrow(lean(found), schema)
 
 
-def term_documents(docs: DataFrame, terms: DataFrame, closure_terms: int = 500_000) -> DataFrame:
-    """(term, n_term): the documents that hold each of ``terms``, counted over whole texts.
-
-    Few terms travel with the tasks; beyond ``closure_terms`` all words are counted and joined.
-    """
+def term_documents(docs: DataFrame) -> DataFrame:
+    """(term, n_term): the documents that hold each word, counted over whole texts and added up by task first."""
     small_batches(docs.sparkSession)
-    wanted = None if terms.count() > closure_terms else frozenset(r[0] for r in terms.toLocalIterator())
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Counter[str] = Counter()
@@ -170,14 +179,12 @@ def term_documents(docs: DataFrame, terms: DataFrame, closure_terms: int = 500_0
 
         for b in batches:
             for t in texts(b, "_text"):
-                own = set(_WORD.findall(t.lower()))
-                c.update(own if wanted is None else own & wanted)
-            if len(c) > 500_000:
+                c.update({w.lower() for w in set(_WORD.findall(t))})
+            if len(c) > 300_000:
                 yield out()
         yield out()
 
-    n = docs.select("_text").mapInArrow(lean(counted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    return n if wanted is not None else n.join(terms, "term", "left_semi")
+    return docs.select("_text").mapInArrow(lean(counted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
 def _bounded(k, n, p, support: int):
@@ -192,30 +199,30 @@ def _bounded(k, n, p, support: int):
 def disclosing(found: DataFrame, docs: DataFrame, theta: float, support: int) -> DataFrame:
     """(entity, term): pairs whose term exceeds the entity's disclosure threshold.
 
-    Entities with so few contexts that no term could are left out before terms are counted.
+    Words too frequent for every entity of their document are left out before they are paired.
     """
-    n = found.count()
-    near = found.select(F.explode("near").alias("x")).select("x.entity", "x.term", "x.context")
+    n = float(max(found.count(), 1))
+    near = found.select("uid", F.explode("near").alias("x")).select("uid", "x.entity", "x.term", "x.context")
     held = found.select("uid", F.explode("held").alias("x")).select("uid", "x.entity", "x.context")
-    least = F.pow(F.col("c_entity") / F.lit(float(max(n, 1))), F.lit(1 - theta))
-    might = lambda c: (F.col(c) >= support) | _bounded(F.col(c), F.col(c), F.col("least"), support)
     each = near.groupBy("entity").agg(F.countDistinct("context").alias("c"))
     entities = held.groupBy("entity").agg(F.countDistinct("uid").alias("n_entity"), F.countDistinct("context").alias("c_held")).join(each, "entity", "left").withColumn("c_entity", F.greatest("c_held", F.coalesce("c", F.lit(0))))
-    entities = saved(entities.withColumn("least", least).where(might("c_entity")).select("entity", "n_entity", "c_entity", "least"), "pii-entities")
-    some = entities.select("entity")
-    terms = found.where(F.size("words") > 0).select("uid", F.array_distinct("words.term").alias("terms"))
-    both = held.join(some, "entity", "left_semi").join(terms, "uid").select("entity", F.explode("terms").alias("term"), F.col("context").alias("first"), F.lit(None).cast("long").alias("context"))
-    beside = near.join(some, "entity", "left_semi").select("entity", "term", F.lit(None).cast("long").alias("first"), "context")
-    pairs = both.unionByName(beside).groupBy("entity", "term").agg(F.greatest(F.countDistinct("first"), F.countDistinct("context")).alias("contexts"), F.count("first").alias("n_both"))
-    pairs = saved(pairs.join(entities, "entity").where(might("contexts")), "pii-pairs")
-    if pairs.isEmpty():
-        return pairs.select("entity", "term")
-    n_term = term_documents(docs, pairs.select("term").distinct())
-    info = F.log2(F.lit(float(n)) / F.col("n_entity"))
-    pmi = F.log2(F.lit(float(n)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
+    ratio = lambda c: F.pow(F.col(c) / F.lit(n), F.lit(1 - theta))
+    # both rules ask for (contexts or documents with both) / (documents with the term) of at least a ratio
+    most = F.col("n_entity") + F.greatest("n_entity", "c_entity") / F.least(ratio("n_entity"), ratio("c_entity")) + 1e-6
+    entities = saved(entities.where(F.col("c_entity") >= FEWEST).select("entity", "n_entity", ratio("c_entity").alias("least"), most.alias("most")), "pii-entities")
+    own = held.join(entities.select("entity", "most"), "entity")
+    limit = own.groupBy("uid").agg(F.max("most").alias("limit"))
+    words = found.select("uid", F.array_distinct("words.term").alias("terms")).join(limit, "uid").select("uid", "limit", F.explode("terms").alias("term"))
+    rare = saved(words.join(term_documents(docs), "term").where("n_term <= limit").select("uid", "term", "n_term"), "pii-rare")
+    both = own.join(rare, "uid").where("n_term <= most").select("entity", "term", "n_term", F.col("context").alias("first"), F.lit(None).cast("long").alias("context"))
+    beside = near.join(entities, "entity", "left_semi").join(rare, ["uid", "term"]).select("entity", "term", "n_term", F.lit(None).cast("long").alias("first"), "context")
+    pairs = both.unionByName(beside).groupBy("entity", "term", "n_term").agg(F.greatest(F.countDistinct("first"), F.countDistinct("context")).alias("contexts"), F.count("first").alias("n_both"))
+    pairs = pairs.where((F.col("contexts") >= FEWEST) & (F.col("n_both") > 0)).join(entities.drop("most"), "entity")
+    info = F.log2(F.lit(n) / F.col("n_entity"))
+    pmi = F.log2(F.lit(n) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     seen = F.col("contexts") + F.greatest(F.col("n_term") - F.col("n_both"), F.lit(0))  # copies beside the entity count once
     enough = F.when(F.col("contexts") >= support, pmi >= theta * info).otherwise(_bounded(F.col("contexts"), seen, F.col("least"), support))
-    return pairs.join(n_term, "term").where((info > 0) & enough).select("entity", "term")
+    return pairs.where((info > 0) & enough).select("entity", "term")
 
 
 def _with_terms(found: DataFrame, pairs: DataFrame) -> DataFrame:

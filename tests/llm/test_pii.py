@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -36,6 +37,39 @@ def test_base(text):
     assert pii.base_spans(text) == plain(text)
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("v " + "1" * 5000 + ".1.1.1 " + "0" * 5000 + "7.1.1.1", [("ip", 5009, 5009 + 5007)]),
+        ("x" * 1_000_000 + " a@b.co", [("email", 1_000_001, 1_000_007)]),
+        ("x" * 1_000_000 + "@", []),
+        ("@" * 300_000 + "a@b.co", [("email", 300_000, 300_006)]),
+        ("1" * 1_000_000 + ".", []),
+        ("1." * 300_000, [("ip", 8 * k, 8 * k + 7) for k in range(75_000)]),
+        ("+1" + " " * 1_000_000, []),
+        ("4 " * 500_000, []),
+        ("a." * 300_000 + "@", []),
+    ],
+    ids=range(9),
+)
+def test_long_runs(text, want):
+    began = time.perf_counter()
+    assert pii.base_spans(text) == want
+    assert time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize("piece", ["1.2.3.4 ", "a@b.co word ", "a@b.co\n"])
+def test_many_spans(piece):
+    """Ten thousand spans, with and without words between them, take time in proportion."""
+    text = "Dear all " + piece * 10_000
+    began = time.perf_counter()
+    spans = pii.base_spans(text)
+    near = pii.contexts(text, spans, 8)
+    assert len(spans) == 10_000 and {t for _, t, _ in near} == {"dear", "all"} | ({"word"} if "word" in piece else set())
+    assert len(pii.free_words(text, spans)) == 2 + 10_000 * ("word" in piece)
+    assert time.perf_counter() - began < 5
+
+
 def corpus():
     rng = random.Random(0)
     fill = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(n))
@@ -81,12 +115,16 @@ def test_disclosure(spark):
     want = plain_pairs(rows, 8, 0.9, 3)
     assert ("email:z@zorro.org", "zorro") in want and not any(t == "quux" for _, t in want)
     assert {tuple(r) for r in pii.disclosing(found, d, 0.9, 3).collect()} == want
-    terms = spark.createDataFrame([("zorro",), ("quux",)], "term string")
-    assert {tuple(r) for r in pii.term_documents(d, terms, 0).collect()} == {tuple(r) for r in pii.term_documents(d, terms).collect()} == {("zorro", 11), ("quux", 9)}
+    n = {}
+    for _, t in rows:
+        for w in set(re.findall(r"[^\W\d_]{2,}", t.lower())):
+            n[w] = n.get(w, 0) + 1
+    assert {r["term"]: r["n_term"] for r in pii.term_documents(d).collect()} == n and n["zorro"] == 11
 
 
 def test_query(spark):
     rows = [*corpus(), (900, None), (901, ""), (902, "a@b.co " * 4000), (902, "a@b.co " * 4000)]
+    assert pii.pii(frame(spark, [(1, "v " + "1" * 5000 + ".1.1.1")])).first()["n_ip"] == 0
     got = {}
     for r in pii.pii(frame(spark, rows)).collect():
         got.setdefault(r["doc_id"], []).append(r)
