@@ -531,36 +531,71 @@ def _links_between(left: list[tuple], right: list[tuple]) -> tuple[np.ndarray, n
     return da[i], db[j]
 
 
+def _rows_of(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("_text"))
+
+
+def _simple(d: DataFrame) -> bool:
+    """Whether each row has a doc_id of its own."""
+    return d.groupBy("doc").count().where((F.col("count") > 1) | F.col("doc").isNull()).isEmpty()
+
+
+def _digest():
+    return F.sha2(F.coalesce("_text", F.lit("")), 256)
+
+
+def _classes(d: DataFrame, busy: int) -> DataFrame:
+    """(doc, digest, n, class, component_id) of each distinct text of each doc_id; only equal rows share a number."""
+    rows = d.where(F.col("doc").isNotNull()).withColumn("digest", _digest()).groupBy("doc", "digest").agg(F.first("_text").alias("_text"))
+    rows = saved(rows.withColumn("node", F.monotonically_increasing_id()), "documents")
+    sizes, comp = links(rows.select(F.col("node").alias("doc"), "_text"), busy)
+    named = rows.select("doc", "digest", "node").join(sizes.select(F.col("doc").alias("node"), "n"), "node")
+    named = named.join(comp.select(F.col("doc").alias("node"), "component"), "node", "left").withColumn("class", F.coalesce("component", "node"))
+    least = named.groupBy("class").agg(F.min("doc").alias("component_id"))
+    return saved(named.select("doc", "digest", "n", "class").join(least, "class"), "classes")
+
+
 def ngram_join(docs: DataFrame, busy: int = BUSY) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of ``docs``.
 
     Null or empty text has an empty set and no links. Rows with one doc_id are one
-    document if their texts are equal; otherwise the doc_id stands for the first of its
-    texts (by digest) and the others keep their sizes and its component. A null doc_id
-    has no links. Other columns are ignored. No rows give none.
+    document if their texts are equal; with different texts they are documents of their
+    own, each with its links, that have the name in common. A null doc_id has no links.
+    Other columns are ignored. No rows give none.
     """
-    small_batches(docs.sparkSession)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("_text"))
-    twice = d.groupBy("doc").count().where(F.col("count") > 1).select("doc")
-    if twice.isEmpty() and d.where(F.col("doc").isNull()).isEmpty():
+    d = _rows_of(docs)
+    if _simple(d):
         sizes, comp = links(d, busy)
         return sizes.join(comp, "doc", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
-    one = d.where(F.col("doc").isNotNull()).groupBy("doc").agg(F.min_by("_text", F.sha2(F.coalesce("_text", F.lit("")), 256)).alias("_text"))
-    _, comp = links(saved(one, "documents"), busy)
-    own = d.select(F.coalesce("doc", F.lit(0)).alias("doc"), "_text", F.col("doc").isNull().alias("none"))
-    own = own.mapInArrow(lean(_sizes), "doc long, n long, none boolean").select(F.when(~F.col("none"), F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"))
-    return own.join(comp.withColumnRenamed("doc", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    known = d.where(F.col("doc").isNotNull()).select("doc", _digest().alias("digest")).join(_classes(d, busy), ["doc", "digest"])
+    nameless = d.where(F.col("doc").isNull()).mapInArrow(lean(_sizes), "doc long, n long")
+    none = F.lit(None).cast("long")
+    return known.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id").unionByName(nameless.select(none.alias("doc_id"), F.col("n").alias("n_shingles"), none.alias("component_id")))
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _Words()
     for b in batches:
         n = [len(shingles(words_of(t), hashes)) for t in texts(b, "_text")]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), b.column(2)], names=["doc", "n", "none"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["doc", "n"])
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The row of ``docs`` with the smallest doc_id of each component, with its columns (equal rows: one of them)."""
-    joined = saved(ngram_join(docs).where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    once = docs.join(joined.withColumnRenamed("doc_id", "_kept").hint("merge"), F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where(F.col("doc_id").isNull()))
+def keep_one(docs: DataFrame, busy: int = BUSY) -> DataFrame:
+    """One row of ``docs`` for each component, with its columns: that of the smallest doc_id (then the smallest digest of its text).
+
+    Different texts under one doc_id are different documents. Of rows equal in doc_id and
+    text one stays, whatever their other columns hold. Rows without a doc_id all stay, as
+    does each text without words.
+    """
+    d = _rows_of(docs)
+    own = F.col("doc_id").cast("long")
+    if _simple(d):
+        sizes, comp = links(d, busy)
+        others = saved(comp.where("doc <> component").select(F.col("doc").alias("_nj_gone")), "gone")
+        return docs.join(others.hint("merge"), own == F.col("_nj_gone"), "left_anti")
+    first = _classes(d, busy).groupBy("class").agg(F.min(F.struct("doc", "digest")).alias("x")).select(F.col("x.doc").alias("_nj_doc"), F.col("x.digest").alias("_nj_kept"))
+    first = saved(first, "kept")
+    inner = docs.where(own.isNotNull()).withColumn("_nj_digest", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    once = inner.join(first.hint("merge"), (own == F.col("_nj_doc")) & (F.col("_nj_digest") == F.col("_nj_kept")), "left_semi").dropDuplicates(["doc_id", "_nj_digest"]).drop("_nj_digest")
+    return once.unionByName(docs.where(own.isNull()))

@@ -96,7 +96,18 @@ def test_repeated_ids(spark):
     out = sorted(((r["doc_id"] or -1), r["n_shingles"], r["component_id"]) for r in nj.ngram_join(frame(spark, rows)).collect())
     assert out == [(-1, 2, None), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 1, 3), (3, 2, 3)]
     kept = nj.keep_one(frame(spark, rows))
-    assert kept.columns == ["doc_id", "text", "component_id"] and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "None"]
+    assert kept.columns == ["doc_id", "text", "component_id"] and sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == [("1", "a b c d e f"), ("3", "p q r s t"), ("3", "u v w x y z"), ("None", "a b c d e f")]
+
+
+def test_links_of_every_text_of_an_id(spark):
+    """Both texts of document 5 have a copy; both copies are linked with it, and the texts with each other only by name."""
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(5, a), (5, b), (6, a), (7, b), (8, b + " more"), (2, "x y"), (9, None), (9, "")]
+    assert got(nj.ngram_join(frame(spark, rows))) == [(2, 1, 2), (5, 26, 5), (5, 26, 5), (6, 26, 5), (7, 26, 5), (8, 27, 5), (9, 0, 9), (9, 0, 9)]
+    kept = sorted((r["doc_id"], r["text"]) for r in nj.keep_one(frame(spark, rows)).where("doc_id <> 9").collect())
+    assert kept == [(2, "x y"), (5, a), (5, b)]
+    unique = [(5, a), (6, a), (7, b), (8, b + " more"), (9, None), (10, "")]
+    assert sorted(r["doc_id"] for r in nj.keep_one(frame(spark, unique)).collect()) == [5, 7, 9, 10]
 
 
 def test_empty(spark):

@@ -97,3 +97,25 @@ def test_empty(spark):
 
 def test_run(spark, stages):
     assert cp.run(spark, SF).count() == stages[-1].count()
+
+
+def test_rows_that_tables_should_not_have(spark):
+    """Nulls in every column, one doc_id with several texts, equal rows, long runs and columns named like the operators' own."""
+    long = " ".join(f"w{k}" for k in range(20_000))
+    fine = [" ".join(f"{c}{k}" for k in range(30)) for c in "abcd"]
+    names = ["_text", "doc", "uid", "spans", "n_words", "stratum", "digest", "text2", "a", "kept"]
+    rows = [
+        (1, fine[0], "en"), (1, fine[1], "en"), (1, fine[1], "en"), (2, fine[1], None), (3, long, "en"), (4, None, "en"), (5, "", ""), (None, fine[2], None),
+        (6, "9" * 5000 + ".1.1.1 " + fine[3], "de"), (7, "x" * 200_000 + "@ " + " ".join(fine[3].split()[::-1]), "de"),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names)
+    docs = spark.createDataFrame([(*r, None, len(r[1] or ""), *(["z"] * len(names))) for r in rows], schema)
+    want = sorted([("1", fine[0]), ("1", fine[1]), ("3", long), ("None", fine[2]), ("6", rows[8][1]), ("7", rows[9][1])])
+    for name, stage in cp.STAGES:
+        docs = saved(stage(spark, docs, SF), "t")
+        if name == "packing":
+            break
+        assert docs.columns == [*cp.COLUMNS, *names]
+        if name != "quality":
+            assert sorted((str(r["doc_id"]), r["text"]) for r in docs.collect()) == want
+    assert docs.where("start = 0").count() == len(want)
