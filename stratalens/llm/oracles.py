@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import RULES
+from .quality import RULES, TUNING
 
 
 def _first(rule: str, value: str) -> str:
@@ -11,34 +11,40 @@ def _first(rule: str, value: str) -> str:
 
 
 def quality_sql(alpha: float = 0.02, delta: float = 0.05) -> str:
+    """Counts, groups, the chain of each stratum, its exact tests and the verdict (the labels' bound is above the small tables)."""
     values = {"few_words": "n_words", "long_words": "100 * word_chars // n", "short_words": "100 * word_chars // n", "symbols": "1000 * n_symbols // n", "dup_lines": "1000 * n_dup_lines // ln", "repeats": "1000 * n_repeat_words // n"}
     firsts = ", ".join(f"{_first(r, values[r])} AS f_{r}" for r in RULES)
-    long = " UNION ALL ".join(f"SELECT stratum, fold, quality, '{r}' AS rule, {len(RULES[r][1])} AS rungs, f_{r} AS first FROM graded" for r in RULES)
-    rejected = " OR ".join(f"f_{r} <= coalesce((SELECT last FROM cut WHERE cut.stratum = k.stratum AND cut.rule = '{r}'), 0)" for r in RULES)
+    long = " UNION ALL ".join(f"SELECT unit, doc_id, tunes, quality, '{r}' AS rule, {len(RULES[r][1])} AS rungs, f_{r} AS first FROM grouped" for r in RULES)
+    rejected = " OR ".join(f"f_{r} <= coalesce((SELECT last FROM cut WHERE cut.key = k.key AND cut.rule = '{r}'), 0)" for r in RULES)
     return rf"""
-WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
+WITH t AS (SELECT doc_id, lang AS stratum, coalesce('=' || lang, 'null') AS key, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM t),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t),
 ld AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
 rw AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM rep) GROUP BY doc_id),
-c AS (SELECT w.doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+c AS (SELECT w.doc_id, stratum, key, w.w, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
   CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines
   FROM w LEFT JOIN ld ON w.doc_id = ld.doc_id LEFT JOIN rw ON w.doc_id = rw.doc_id),
 k AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {firsts} FROM (SELECT *, greatest(n_words, 1) AS n, greatest(n_lines, 1) AS ln FROM c)),
 lab AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-graded AS (SELECT k.*, lab.quality, (strpos('0123456789abcdef', substr(sha256(CAST(k.doc_id AS VARCHAR)), 1, 1)) - 1) % 2 AS fold FROM k JOIN lab ON k.doc_id = lab.doc_id WHERE NOT base_failed),
+graded AS (SELECT k.*, lab.quality, list_min(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: md5(array_to_string(w[i:i + 4], ' ')))) AS grp FROM k JOIN lab ON k.doc_id = lab.doc_id WHERE NOT base_failed),
+once AS (SELECT *, strpos('0123456789abcdef', substr(sha256(grp), 1, 1)) <= {TUNING} AS tunes FROM (SELECT *, row_number() OVER (PARTITION BY key, grp ORDER BY doc_id) AS r FROM graded) WHERE r = 1),
+totals AS (SELECT key, count(*) FILTER (NOT tunes AND quality = 1) AS n FROM once GROUP BY key),
+units AS (SELECT key, CASE WHEN n < ln({delta} / (SELECT count(*) FROM totals)) / ln(1 - {alpha}) THEN '' ELSE key END AS unit FROM totals),
+grouped AS (SELECT once.*, unit FROM once JOIN units ON once.key = units.key),
 long AS ({long}),
-pairs AS (SELECT count(*) AS m FROM (SELECT DISTINCT stratum, rule FROM long)),
-steps AS (SELECT stratum, rule, j,
-  sum(CASE WHEN fold = 1 AND quality = 1 AND first <= j THEN 1 ELSE 0 END) AS wrong, sum(CASE WHEN fold = 1 AND quality = 1 THEN 1 ELSE 0 END) AS total,
-  sum(CASE WHEN fold = 0 AND first <= j THEN 1 ELSE 0 END) AS out_all, sum(CASE WHEN fold = 0 AND quality = 0 AND first <= j THEN 1 ELSE 0 END) AS out_bad
-  FROM (SELECT *, unnest(range(1, rungs + 1)) AS j FROM long) GROUP BY stratum, rule, j),
-tested AS (SELECT *, (total = 0 AND 1.0 > {delta} / (SELECT m FROM pairs)) OR (total > 0 AND list_sum(list_transform(range(CAST(wrong AS BIGINT) + 1), lambda i: exp(lgamma(total + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - CASE WHEN i = total THEN 0 ELSE lgamma(total - i + 1) END + i * ln({alpha} / {len(RULES)}) + (total - i) * ln(1 - {alpha} / {len(RULES)})))) > {delta} / (SELECT m FROM pairs)) AS failed FROM steps),
-ordered AS (SELECT *, max(CASE WHEN failed THEN 1 ELSE 0 END) OVER (PARTITION BY stratum, rule ORDER BY j) AS over FROM tested),
-cut AS (SELECT stratum, rule, max(CASE WHEN over = 0 AND out_bad > 0 AND 2 * out_bad >= out_all THEN j ELSE 0 END) AS last FROM ordered GROUP BY stratum, rule)
+goods AS (SELECT unit, count(*) FILTER (tunes AND quality = 1) AS tuning, count(*) FILTER (NOT tunes AND quality = 1) AS held FROM grouped GROUP BY unit),
+rungs AS (SELECT unit, rule, j, count(*) FILTER (quality = 0 AND first <= j) AS bad, count(*) FILTER (quality = 1 AND first <= j) AS good FROM (SELECT *, unnest(range(1, rungs + 1)) AS j FROM long WHERE tunes) GROUP BY unit, rule, j),
+worth AS (SELECT unit, rule, max(j) AS upto, arg_max(bad, j) AS bad FROM rungs JOIN goods USING (unit) WHERE bad > 0 AND bad >= good AND 2 * good <= {alpha} * tuning GROUP BY unit, rule),
+chain AS (SELECT *, coalesce(sum(upto) OVER (PARTITION BY unit ORDER BY bad DESC, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM worth),
+step AS (SELECT unit, doc_id, min(start + first) AS step FROM long JOIN chain USING (unit, rule) WHERE NOT tunes AND quality = 1 AND first <= upto GROUP BY unit, doc_id),
+tested AS (SELECT unit, j, held AS total, (SELECT count(*) FROM step WHERE step.unit = s.unit AND step <= j) AS wrong FROM (SELECT unit, unnest(range(1, CAST(max(start + upto) AS BIGINT) + 1)) AS j FROM chain GROUP BY unit) s JOIN goods USING (unit)),
+failed AS (SELECT unit, j, CASE WHEN total = 0 THEN 1.0 ELSE list_sum(list_transform(range(CAST(wrong AS BIGINT) + 1), lambda i: exp(lgamma(total + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - CASE WHEN i = total THEN 0 ELSE lgamma(total - i + 1) END + i * ln({alpha}) + (total - i) * ln(1 - {alpha})))) END > {delta} / (SELECT count(*) FROM goods) AS failed FROM tested),
+lasts AS (SELECT unit, coalesce(min(j) FILTER (failed) - 1, max(j)) AS last FROM failed GROUP BY unit),
+cut AS (SELECT key, rule, greatest(0, least(upto, last - start)) AS last FROM chain JOIN lasts USING (unit) JOIN units USING (unit))
 SELECT doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed, NOT (base_failed OR {rejected}) AS kept FROM k
 """
 
