@@ -1,26 +1,31 @@
 """Brown class-based bigrams: exchange clustering, class transitions, word emissions.
 
-Words are split by their share of the training tokens. Those above ``cluster_share``
-are clustered (at most 1 / cluster_share of them); those above ``known_share`` fall in
-bands by frequency; all rarer ones, and unknown ones, form the tail class; the end of
-a text is a class of its own and also precedes its first word. So what travels to the
-executors is at most 1 / known_share words, however large the corpus, and each word of
-the tail has too few rows to make a hot key: its count is joined.
-
-Exchange: all clustered words are tried in every class against the current class
-bigram counts, in parallel, as in distributed exchange clustering; the moves that
-raise the likelihood most are made together, and if the likelihood of the whole
-falls, fewer of them are.
+Every word that the training texts hold ``floor`` times or more gets a class, in two
+blocks. The *core*, the most frequent words, is clustered by rounds of exchange: each
+word is tried in every class against the class bigram counts, in parallel, as in
+distributed exchange clustering; the moves that raise the likelihood most are made
+together, and if the likelihood of the whole falls, fewer of them are. Every other word
+then makes one exchange step against the core's counts, which stand still: it goes to
+the class that its own neighbours' classes raise the likelihood most in, to first order.
+So the words with classes grow with the corpus; only the core is bounded. Rarer and
+unknown words form a class, and the end of a text, which also precedes its first word,
+is one.
 
     log10 P(text) = sum of log10 P(class | class before) + log10 P(word | class)
 
-Transitions back off to class frequencies; emissions are relative frequencies, in the
-tail with 0.5 added to each count and to the unknown word.
+Transitions are counted over the classes of all words and back off to class
+frequencies; emissions are relative frequencies, among the rare words with 0.5 added to
+each count and to the unknown word.
+
+The most frequent words, at most ``max_known``, travel to the executors, where texts
+become numbers once. The other words are joined: none of them has enough rows to make a
+hot key. What travels makes no difference to the scores.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,7 +36,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, runs_of, saved, shared_dir, small_batches, texts, words_of
+from . import packed
+from .common import forget, lean, runs_of, saved, shared_dir, small_batches, texts, words_of
 
 #: Distinct words or pairs that a task holds before it passes their counts on.
 FLUSH = 400_000
@@ -68,88 +74,123 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Words above ``known_share`` by falling count; the first ``clustered`` of them are clustered.
+    """The words that travel, by falling count (then by word); the first ``clustered`` are the core.
 
-    Units: clustered words, then bands, then the tail, then the end.
+    Units of the exchange: the words of the core, all others, the end.
     """
 
     words: list[bytes]
     counts: np.ndarray
     clustered: int
-    bands: int
     total: int
     types: int
     end: int
+    rare_types: int
+    floor: int
 
     def __post_init__(self):
-        self.tail_unit = self.clustered + self.bands
-        self.end_unit = self.tail_unit + 1
-        self.units = self.end_unit + 1
-        unit = np.arange(len(self.words))
-        if len(self.words) > self.clustered:
-            rest = self.counts[self.clustered :]
-            band = np.floor(np.log2(rest / max(rest.min(), 1))).astype(np.int64)
-            unit[self.clustered :] = self.clustered + np.minimum(band, self.bands - 1)
-        self.unit = np.r_[unit, self.tail_unit, self.end_unit]  # by word number; then the tail, then the end
-
-    def numbers(self, words: list[bytes], index: dict[bytes, int]) -> np.ndarray:
-        """Word numbers with the tail for unlisted words, and the end behind."""
-        out = np.empty(len(words) + 1, np.int64)
-        out[:-1] = np.fromiter(map(index.get, words, itertools.repeat(len(self.words))), np.int64, len(words))
-        out[-1] = len(self.words) + 1
-        return out
+        self.other, self.end_unit, self.units = self.clustered, self.clustered + 1, self.clustered + 2
+
 
+def _bin(n):
+    """Column: a number that does not fall with n; there are some thousands of them, however large n."""
+    return F.when(n < 1024, n).otherwise((F.floor(F.log2(n.cast("double")) * 64) + 384).cast("long"))
 
-def vocabulary(counts: DataFrame, known_share: float, cluster_share: float) -> Vocabulary:
-    t = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.max(F.when(F.length("word") == 0, F.col("n"))).alias("end")).first()
-    total, types = t["n"] or 0, t["v"]
-    # at most 1 / known_share rows
-    top = sorted(((-r["n"], bytes(r["word"])) for r in counts.where((F.length("word") > 0) & (F.col("n") >= F.lit(known_share * total))).toLocalIterator()))
+
+def vocabulary(counts: DataFrame, max_known: int, core: int, floor: int) -> Vocabulary:
+    t = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.max(F.when(F.length("word") == 0, F.col("n"))).alias("end"), F.count(F.when(F.col("n") < floor, 1)).alias("rare")).first()
+    words = counts.where((F.length("word") > 0) & (F.col("n") >= floor))
+    least, room = None, max_known
+    for r in sorted(words.groupBy(_bin(F.col("n")).alias("bin")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r["bin"]):
+        if r["k"] > room:
+            break
+        least, room = r["bin"], room - r["k"]
+    # at most max_known rows
+    top = [] if least is None else sorted((-r["n"], bytes(r["word"])) for r in words.where(_bin(F.col("n")) >= least).toLocalIterator())
     n = np.array([-x for x, _ in top], np.int64)
-    bands = max(1, int(np.ceil(np.log2(cluster_share / known_share))))
-    return Vocabulary([w for _, w in top], n, int((n >= cluster_share * total).sum()), bands, total, types, t["end"] or 0)
+    end = t["end"] or 0
+    return Vocabulary([w for _, w in top], n, min(core, len(top)), t["n"] or 0, t["v"], end, t["rare"] - (0 < end < floor), floor)
+
 
+_TEXT = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary()), ("rare", pa.list_(pa.binary()))])
 
-def count_pairs(docs: DataFrame, v: Vocabulary) -> DataFrame:
-    """(a, b, n): neighbouring units; the end stands before each first word."""
+
+def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """(uid, doc_id, held_out, ids, rare) of each row: word numbers as 32-bit integers, and the words that have none (their number is that of words)."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(v)
 
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = sent.value.words
+        get, none = {w: k for k, w in enumerate(words)}.get, itertools.repeat(len(words))
+        uid = TaskContext.get().partitionId() << 36
+        for b in batches:
+            ids, rare = [], []
+            for t in texts(b, "_text"):
+                w = words_of(t)
+                x = np.fromiter(map(get, w, none), np.uint32, len(w))
+                ids.append(x.tobytes())
+                rare.append([w[i] for i in np.flatnonzero(x == len(words)).tolist()])
+            n = len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(range(uid, uid + n), pa.int64()), b.column(0), b.column(1), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary()))], schema=_TEXT)
+            uid += n
+
+    return docs.select("doc_id", "held_out", "_text").mapInArrow(lean(encoded), "uid long, doc_id long, held_out boolean, ids binary, rare array<binary>")
+
+
+class _Tally:
+    """Counts of codes, folded now and then."""
+
+    def __init__(self):
+        self.codes, self.n, self.held, self.waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def add(self, codes: np.ndarray) -> bool:
+        """Whether it is time to fold."""
+        self.held.append(codes)
+        self.waiting += len(codes)
+        return self.waiting > 2_000_000
+
+    def fold(self) -> int:
+        key, each = np.unique(np.concatenate(self.held), return_counts=True) if self.held else (self.codes[:0], self.n[:0])
+        key, each = np.r_[self.codes, key], np.r_[self.n, each]
+        order = np.argsort(key, kind="stable")
+        start, _ = runs_of(key[order])
+        self.codes, self.n = key[order][start], np.add.reduceat(each[order], start) if len(start) else each
+        self.held, self.waiting = [], 0
+        return len(self.codes)
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        out = self.codes, self.n
+        self.codes, self.n = self.codes[:0], self.n[:0]
+        return out
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u4").astype(np.int64)
+
+
+def count_pairs(encoded: DataFrame, v: Vocabulary) -> DataFrame:
+    """(a, b, n): neighbouring units; the end stands before each first word and after each last one."""
+    core, end, units = v.clustered, v.end_unit, v.units
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = sent.value
-        index = {w: k for k, w in enumerate(v.words)}
-        codes, n, held = np.zeros(0, np.int64), np.zeros(0, np.int64), []
-        waiting = 0
-
-        def fold() -> None:
-            nonlocal codes, n, waiting
-            key, each = np.unique(np.concatenate(held), return_counts=True) if held else (codes[:0], n[:0])
-            key, each = np.r_[codes, key], np.r_[n, each]
-            order = np.argsort(key, kind="stable")
-            start, _ = runs_of(key[order])
-            codes, n = key[order][start], np.add.reduceat(each[order], start) if len(start) else each
-            held.clear()
-            waiting = 0
+        tally = _Tally()
 
         def out() -> Iterator[pa.RecordBatch]:
-            nonlocal codes, n
+            codes, n = tally.take()
             for k in range(0, len(codes), 1 << 16):
                 c = codes[k : k + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array((c // v.units).astype(np.int32)), pa.array((c % v.units).astype(np.int32)), pa.array(n[k : k + (1 << 16)])], names=["a", "b", "n"])
-            codes, n = codes[:0], n[:0]
+                yield pa.RecordBatch.from_arrays([pa.array((c // units).astype(np.int32)), pa.array((c % units).astype(np.int32)), pa.array(n[k : k + (1 << 16)])], names=["a", "b", "n"])
 
         for b in batches:
-            for t in texts(b, "_text"):
-                u = v.unit[v.numbers(words_of(t), index)]
-                held.append(np.r_[v.end_unit, u[:-1]] * v.units + u)
-                waiting += len(u)
-            if waiting > 2_000_000:
-                fold()
-                if len(codes) > 4 * FLUSH:
+            for raw in b.column(0).to_pylist():
+                u = np.minimum(_numbers(raw), core)
+                if tally.add(np.r_[end, u] * units + np.r_[u, end]) and tally.fold() > 4 * FLUSH:
                     yield from out()
-        fold()
+        tally.fold()
         yield from out()
 
-    return docs.select("_text").mapInArrow(lean(counted), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return encoded.select("ids").mapInArrow(lean(counted), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -186,7 +227,7 @@ def best_move(m: np.ndarray, own: int, right: np.ndarray, left: np.ndarray, loop
 
 
 def exchange(pairs: DataFrame, v: Vocabulary, classes: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each unit, class bigram counts). Bands, tail and end keep classes of their own."""
+    """(class of each unit, class bigram counts). Words outside the core and the end keep classes of their own."""
     spark = pairs.sparkSession
     fixed = v.units - v.clustered
     k = min(classes, max(v.clustered, 1))
@@ -237,7 +278,7 @@ def exchange(pairs: DataFrame, v: Vocabulary, classes: int, rounds: int) -> tupl
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["gain", "w", "to"])
 
-        return sorted(tuple(r) for r in table.mapInArrow(lean(tried), "gain double, w long, to long").collect())[::-1]  # at most 1 / cluster_share rows
+        return sorted(tuple(r) for r in table.mapInArrow(lean(tried), "gain double, w long, to long").collect())[::-1]  # at most as many rows as the core has words
 
     m = matrix(of)
     share = 0.5
@@ -259,58 +300,198 @@ def exchange(pairs: DataFrame, v: Vocabulary, classes: int, rounds: int) -> tupl
     return of, m
 
 
+def attraction(m: np.ndarray, k: int) -> np.ndarray:
+    """What a word gains in each of the first ``k`` classes, to first order, by a preceding (first rows) or following (last rows) class."""
+    soft = np.log(m + 0.5)
+    out, into = np.log(m.sum(1) + 0.5), np.log(m.sum(0) + 0.5)
+    return np.r_[soft[:, :k] - into[:k], soft[:k].T - out[:k]]
+
+
+def assigned(contexts: np.ndarray, gains: np.ndarray) -> np.ndarray:
+    """The best class for each row of context counts."""
+    return np.argmax(np.round(contexts @ gains, 6), axis=1)
+
+
+def _codes(x: np.ndarray, of: np.ndarray, core: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The classes before each word of a text and, ``size`` higher, those behind; ``of`` holds the units' classes."""
+    c = of[np.r_[core + 1, np.minimum(x, core), core + 1]]
+    return c[:-2], c[2:] + size
+
+
+def classes_of_known(train: DataFrame, v: Vocabulary, of: np.ndarray, m: np.ndarray, k: int) -> np.ndarray:
+    """The classes of the words that travel."""
+    spark, core, size, n_words = train.sparkSession, v.clustered, m.shape[0], len(v.words)
+    gains, n_buckets = attraction(m, k), packed.n_buckets(spark)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = _Tally()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            codes, n = tally.take()
+            word, code = codes // (2 * size), codes % (2 * size)
+            yield from packed.deal(word % n_buckets, [word.astype("<u4"), code.astype("<u2"), n])
+
+        for b in batches:
+            for raw in b.column(0).to_pylist():
+                x = _numbers(raw)
+                at = np.flatnonzero((x >= core) & (x < n_words))
+                if len(at):
+                    left, right = _codes(x, of, core, size)
+                    if tally.add(np.r_[x[at] * 2 * size + left[at], x[at] * 2 * size + right[at]]) and tally.fold() > 4 * FLUSH:
+                        yield from out()
+        tally.fold()
+        yield from out()
+
+    def reduce(columns, _) -> Iterator[pa.RecordBatch]:
+        word, code, n = columns
+        names, row = np.unique(word, return_inverse=True)
+        for lo in range(0, len(names), 4096):  # bounded memory
+            i = (row >= lo) & (row < lo + 4096)
+            own = names[lo : lo + 4096]
+            seen = np.bincount((row[i] - lo) * 2 * size + code[i], n[i], len(own) * 2 * size).reshape(len(own), 2 * size)
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), pa.array(assigned(seen, gains).astype(np.int32))], names=["word", "class"])
+
+    cls = np.zeros(n_words, np.int64)
+    cls[:core] = of[:core]
+    found = packed.through(train.select("ids").mapInArrow(lean(dealt), packed.ROWS), ["<u4", "<u2", "<i8"], reduce, "word long, class int")
+    for w, c in found.toLocalIterator():  # at most max_known rows
+        cls[w] = c
+    return cls
+
+
+def classes_of_rare(train: DataFrame, v: Vocabulary, of: np.ndarray, m: np.ndarray, k: int) -> DataFrame:
+    """(word, n, class) of the other words of the training texts; those below the floor have the class behind all, ``k``."""
+    core, size, none, floor = v.clustered, m.shape[0], len(v.words), v.floor
+    gains = attraction(m, k)
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c: dict[bytes, list[int]] = {}
+
+        def out() -> pa.RecordBatch:
+            b = pa.RecordBatch.from_pydict({"word": pa.array(list(c), pa.binary()), "codes": pa.array([np.array(x, "<u2").tobytes() for x in c.values()], pa.binary())})
+            c.clear()
+            return b
+
+        held = 0
+        for b in batches:
+            for raw, rare in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if rare:
+                    x = _numbers(raw)
+                    at = np.flatnonzero(x == none)
+                    left, right = _codes(x, of, core, size)
+                    held += len(rare)
+                    for w, p, q in zip(rare, left[at].tolist(), right[at].tolist(), strict=True):
+                        c.setdefault(w, []).extend((p, q))
+            if held > FLUSH:
+                yield out()
+                held = 0
+        yield out()
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [np.frombuffer(b"".join(x), "<u2") for x in b.column(1).to_pylist()]
+            n = np.array([len(p) // 2 for p in parts], np.int64)
+            row = np.repeat(np.arange(len(parts)), 2 * n)
+            flat = np.concatenate(parts).astype(np.int64) if parts else row
+            contexts = np.bincount(row * 2 * size + flat, minlength=len(parts) * 2 * size).reshape(len(parts), 2 * size).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(np.where(n < floor, k, assigned(contexts, gains)).astype(np.int32))], names=["word", "n", "class"])
+
+    # a word has no more occurrences than words that do not travel may have
+    found = train.select("ids", "rare").mapInArrow(lean(seen), "word binary, codes binary").groupBy("word").agg(F.collect_list("codes").alias("codes"))
+    return found.mapInArrow(lean(judged), "word binary, n long, class int")
+
+
+def sequences(encoded: DataFrame, rare: DataFrame) -> DataFrame:
+    """``encoded`` with the classes and counts of its other words, in order: uid, doc_id, held_out, ids, more."""
+    words = encoded.where(F.size("rare") > 0).select("uid", F.posexplode("rare").alias("k", "word"))
+    found = words.join(rare, "word").groupBy("uid").agg(F.collect_list(F.struct("k", "class", "n")).alias("more"))
+    return encoded.drop("rare").join(found, "uid", "left")
+
+
 @dataclass
 class Model:
-    v: Vocabulary
-    of: np.ndarray
-    tail_total: int
-    tail_types: int
-    log_move: np.ndarray
-    log_word: np.ndarray  # by word number, then 0 for the tail (joined) and the end
-    log_base: np.ndarray
+    """Classes: k of words, one of rare and unknown words, one of the end."""
+
+    k: int
+    cls: np.ndarray
+    counts: np.ndarray
+    total: int
+    types: int
+    rare_types: int
+    end: int
+    log_move: np.ndarray | None = None
+    mass: np.ndarray | None = None
+
+    @property
+    def size(self) -> int:
+        return self.k + 2
+
+    def read(self, ids: bytes, more: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
+        """Classes and training counts of a text's words."""
+        x = _numbers(ids)
+        c, n = np.r_[self.cls, self.k][x], np.r_[self.counts, 0][x]
+        if more:
+            at = np.flatnonzero(x == len(self.cls))[[r["k"] for r in more]]
+            c[at] = [r["class"] for r in more]
+            n[at] = [r["n"] for r in more]
+        return c, n
+
+    def score(self, c: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+        """(score, base score) of a text; its end is counted."""
+        rare = c == self.k
+        p = np.where(rare, (n + 0.5) / (self.mass[self.k] + 0.5 * (self.rare_types + 1)), n / np.maximum(self.mass[c], 1))
+        moves = self.log_move[np.r_[self.k + 1, c], np.r_[c, self.k + 1]]
+        base = math.fsum(np.log10((np.r_[n, self.end] + 0.5) / (self.total + 0.5 * (self.types + 1))))
+        return math.fsum(moves) + math.fsum(np.log10(p)), base
+
+
+def transitions(train: DataFrame, model: Model) -> np.ndarray:
+    """How often each class follows each one."""
+    size, sent = model.size, train.sparkSession.sparkContext.broadcast(model)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, m = sent.value, np.zeros(size * size, np.int64)
+        for b in batches:
+            for ids, more in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                c, _ = model.read(ids, more)
+                m += np.bincount(np.r_[size - 1, c] * size + np.r_[c, size - 1], minlength=size * size)
+        at = np.flatnonzero(m)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(m[at])], names=["cell", "n"])
+
+    m = np.zeros(size * size)
+    for r in train.select("ids", "more").mapInArrow(lean(summed), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most size * size rows
+        m[r["cell"]] = r["n"]
+    return m.reshape(size, size)
 
 
-def build(v: Vocabulary, of: np.ndarray, m: np.ndarray) -> Model:
-    size = m.shape[0]
-    p = (m.sum(0) + 0.5) / (m.sum() + 0.5 * size)
-    log_move = np.log10((m + BACKOFF * p) / (m.sum(1, keepdims=True) + BACKOFF))
-    cls = of[v.unit[: len(v.words)]]
-    mass = np.bincount(cls, v.counts, size) if len(v.words) else np.zeros(size)
-    log_word = np.r_[np.log10(v.counts / mass[cls]) if len(v.words) else [], 0.0, 0.0]
-    denominator = v.total + 0.5 * (v.types + 1)
-    log_base = np.r_[np.log10((v.counts + 0.5) / denominator), 0.0, np.log10((v.end + 0.5) / denominator)]
-    return Model(v, of, v.total - int(v.counts.sum()) - v.end, v.types - len(v.words) - (v.end > 0), log_move, log_word, log_base)
+def finish(model: Model, m: np.ndarray) -> Model:
+    """The model with its probabilities, from the class bigram counts."""
+    p = (m.sum(0) + 0.5) / (m.sum() + 0.5 * model.size)
+    model.log_move = np.log10((m + BACKOFF * p) / (m.sum(1, keepdims=True) + BACKOFF))
+    model.mass = m.sum(0)
+    return model
 
 
-_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("uid", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("own", pa.float64()), ("tail", pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())])))])
+_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _scan(docs: DataFrame, model: Model) -> DataFrame:
-    """What the travelling words decide of each row, and the words of its tail."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def scores(rows: DataFrame, model: Model) -> DataFrame:
+    sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        v = model.v
-        index = {w: k for k, w in enumerate(v.words)}
-        tail, uid, cls = len(v.words), TaskContext.get().partitionId() << 36, model.of[v.unit]
         for b in batches:
-            rows = []
-            for t in texts(b, "_text"):
-                words = words_of(t)
-                w = v.numbers(words, index)
-                c = cls[w]
-                rare = np.flatnonzero(w[:-1] == tail)
-                before = np.r_[model.of[v.end_unit], c[:-1]]
-                rows.append((uid, len(w), len(w) - len(rare) - (v.end == 0), float(model.log_base[w].sum()), float(model.log_move[before, c].sum() + model.log_word[w].sum()), [{"word": x, "k": k} for x, k in Counter([words[i] for i in rare.tolist()]).items()]))
-                uid += 1
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, f.type) for x, f in zip(cols, list(_SCORED)[2:], strict=True))], schema=_SCORED)
+            each = []
+            for ids, more in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                c, n = model.read(ids, more)
+                score, base = model.score(c, n)
+                each.append((len(c) + 1, int((n > 0).sum()) + (model.end > 0), model.total, base, score))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, f.type) for x, f in zip(zip(*each, strict=True) if each else [[]] * 5, list(_SCORED)[2:], strict=True))], schema=_SCORED)
 
-    return docs.select("doc_id", "held_out", "_text").mapInArrow(lean(scored), "doc_id long, held_out boolean, uid long, n_tokens long, known long, base double, own double, tail array<struct<word:binary,k:bigint>>")
+    return rows.select("doc_id", "held_out", "ids", "more").mapInArrow(lean(scored), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def class_scores(docs: DataFrame, known_share: float = 2e-6, cluster_share: float = 5e-5, classes: int = 32, rounds: int = 6) -> DataFrame:
+def class_scores(docs: DataFrame, max_known: int = 300_000, core: int = 4_000, floor: int = 2, classes: int = 64, rounds: int = 6) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of ``docs``.
 
     Null text is empty (one end); rows with one doc_id are scored each on its own, a null
@@ -319,20 +500,18 @@ def class_scores(docs: DataFrame, known_share: float = 2e-6, cluster_share: floa
     """
     small_batches(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out_column().alias("held_out"), F.col("text").cast("string").alias("_text"))
-    train = d.where(~F.col("held_out"))
-    counts = saved(count_words(train), "words")
-    v = vocabulary(counts, known_share, cluster_share)
+    counts = saved(count_words(d.where(~F.col("held_out"))), "words")
+    v = vocabulary(counts, max_known, core, max(floor, 1))
+    forget(counts)
+    encoded = saved(encode(d, v), "encoded")
+    train = encoded.where(~F.col("held_out"))
     of, m = exchange(count_pairs(train, v), v, classes, rounds)
-    model = build(v, of, m)
-    scored = saved(_scan(d, model), "scored")
-    rare = counts.where((F.length("word") > 0) & (F.col("n") < F.lit(known_share * v.total)))
-    c = F.coalesce(F.col("n"), F.lit(0))
-    log_in_tail = F.log10((c + 0.5) / F.lit(model.tail_total + 0.5 * (model.tail_types + 1)))
-    log_base = F.log10((c + 0.5) / F.lit(v.total + 0.5 * (v.types + 1)))
-    tail = scored.select("uid", F.explode("tail").alias("x")).select("uid", "x.word", "x.k").join(rare, "word", "left")
-    more = tail.groupBy("uid").agg(F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("known2"), F.sum(F.col("k") * log_base).alias("base2"), F.sum(F.col("k") * log_in_tail).alias("own2"))
-    zero = lambda x: F.coalesce(F.col(x), F.lit(0))
-    return scored.drop("tail").join(more, "uid", "left").select("doc_id", "held_out", "n_tokens", (F.col("known") + zero("known2")).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"), (F.col("base") + zero("base2")).alias("base_score"), (F.col("own") + zero("own2")).alias("score"))
+    k = m.shape[0] - 2
+    cls = classes_of_known(train, v, of, m, k)
+    rows = saved(sequences(encoded, classes_of_rare(train, v, of, m, k)), "sequences")
+    forget(encoded)
+    model = Model(k, cls, v.counts, v.total, v.types, v.rare_types, v.end)
+    return scores(rows, finish(model, transitions(rows.where(~F.col("held_out")), model)))
 
 
 def perplexity(scores: DataFrame, column: str = "score") -> float:

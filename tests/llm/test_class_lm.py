@@ -46,42 +46,119 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, score double")
 
 
+SMALL = {"max_known": 200, "core": 60, "classes": 4}
+
+
 def test_base_and_counts(spark):
     rows = corpus()
-    got = lm.class_scores(frame(spark, rows), known_share=1e-4, cluster_share=1e-3, classes=4).collect()
+    got = lm.class_scores(frame(spark, rows), **SMALL).collect()
     assert sorted((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == plain(rows)
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
 
 
+def plain_scores(rows, core, k, floor, of, m):
+    """Every score from the core's classes: contexts, assignment, transitions and emissions counted one by one."""
+    from collections import Counter
+
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
+    size, train = k + 2, [tokens(t) for d, t in rows if not held(d)]
+    c = Counter(x for t in train for x in t)
+    near = lambda w: of[core.index(w)] if w in core else k + 1 if w is None else k
+    contexts = {}
+    for t in train:
+        for j, w in enumerate(t[:-1]):
+            if w not in core and c[w] >= floor:
+                contexts.setdefault(w, []).append((near(t[j - 1] if j else None), near(t[j + 1])))
+    m = [[x for x in r] for r in m]
+    out, into = [sum(r) for r in m], [sum(r[j] for r in m) for j in range(size)]
+    cls = {w: int(of[j]) for j, w in enumerate(core)} | {None: k + 1}
+    for w, seen in contexts.items():
+        gain = [round(sum(math.log(m[p][j] + 0.5) - math.log(into[j] + 0.5) + math.log(m[j][q] + 0.5) - math.log(out[j] + 0.5) for p, q in seen), 6) for j in range(k)]
+        cls[w] = gain.index(max(gain))
+    move = Counter((cls.get(a, k), cls.get(b, k)) for t in train for a, b in zip([None, *t[:-1]], t))
+    after, mass = Counter(), Counter()
+    for (a, b), n in move.items():
+        after[a] += n
+        mass[b] += n
+    n_all, v = sum(c.values()), sum(1 for w in c if w is not None and c[w] < floor)
+    result = []
+    for d, t in rows:
+        x, score = tokens(t), 0.0
+        for a, b in zip([None, *x[:-1]], x):
+            p, q = cls.get(a, k), cls.get(b, k)
+            back = (mass[q] + 0.5) / (n_all + 0.5 * size)
+            score += math.log10((move[p, q] + lm.BACKOFF * back) / (after[p] + lm.BACKOFF))
+            score += math.log10((c[b] + 0.5) / (mass[k] + 0.5 * (v + 1)) if q == k else c[b] / mass[q])
+        result.append((d, score))
+    return sorted(result)
+
+
+def some_core(spark, rows, max_known, core, k, floor, rounds=6):
+    d = frame(spark, rows).select("doc_id", lm.held_out_column().alias("held_out"), lm.F.col("text").alias("_text"))
+    v = lm.vocabulary(lm.count_words(d.where("NOT held_out")), max_known, core, floor)
+    return v, *lm.exchange(lm.count_pairs(lm.saved(lm.encode(d, v), "t").where("NOT held_out"), v), v, k, rounds)
+
+
+def test_against_plain_scores(spark):
+    """However many words travel, scores are those of the plain count, also where words that do not travel follow one another."""
+    rng = random.Random(2)
+    rows = corpus(300) + [(8000 + d, " ".join(f"seldom{rng.randrange(60)}" for _ in range(rng.randint(2, 9)))) for d in range(100)]
+    for known, floor in ((200, 2), (70, 2), (70, 3), (1000, 1)):
+        v, of, m = some_core(spark, rows, known, 40, 4, floor)
+        want = plain_scores(rows, [w.decode() for w in v.words[: v.clustered]], 4, floor, of.tolist(), m.tolist())
+        got = sorted((r["doc_id"], r["score"]) for r in lm.class_scores(frame(spark, rows), known, 40, floor, 4).collect())
+        assert v.clustered == 40 and len(v.words) <= known and [d for d, _ in got] == [d for d, _ in want]
+        assert all(math.isclose(x, y, rel_tol=1e-6, abs_tol=1e-6) for (_, x), (_, y) in zip(got, want))
+
+
 def test_beats_unigrams_on_held_out_text(spark):
-    s = lm.class_scores(frame(spark, corpus()[:1200]), known_share=1e-4, cluster_share=1e-3, classes=4)
-    s = lm.saved(s, "t")
+    s = lm.saved(lm.class_scores(frame(spark, corpus()[:1200]), **SMALL), "t")
     assert lm.perplexity(s) < 0.7 * lm.perplexity(s, "base_score")
 
 
+def test_classes_grow_with_the_corpus(spark):
+    """Words outside the core are classed by their neighbours."""
+    rows = corpus()
+    d = frame(spark, rows).select("doc_id", lm.held_out_column().alias("held_out"), lm.F.col("text").alias("_text"))
+    v, of, m = some_core(spark, rows, 100, 60, 3, 2)
+    train = lm.saved(lm.encode(d, v), "t").where("NOT held_out")
+    cls = lm.classes_of_known(train, v, of, m, 3)
+    groups = {}
+    for w, c in zip(v.words, cls.tolist()):
+        groups.setdefault(w[:1], []).append(c)
+    for r in lm.classes_of_rare(train, v, of, m, 3).where("n > 1").collect():
+        if bytes(r["word"])[1:].isdigit():
+            groups[bytes(r["word"])[:1]].append(r["class"])
+    assert sum(map(len, groups.values())) == 120
+    assert sum(max(map(g.count, set(g))) for g in groups.values()) > 114
+
+
 def test_exchange_finds_the_classes(spark):
     rows = corpus()
-    d = frame(spark, rows).selectExpr("doc_id", "text AS _text")
-    v = lm.vocabulary(lm.count_words(d), 1e-4, 1e-3)
-    of, m = lm.exchange(lm.count_pairs(d, v), v, 3, 12)
-    start = np.r_[np.arange(v.clustered) % 3, 3 + np.arange(v.units - v.clustered)]
+    v, of, m = some_core(spark, rows, 200, 120, 3, 2, 12)
     groups = {}
     for w, c in zip(v.words[: v.clustered], of):
         groups.setdefault(w[:1], []).append(c)
     pure = sum(max(map(g.count, set(g))) for g in groups.values()) / v.clustered
-    assert v.clustered >= 120 and pure > 0.95 and m.sum() == sum(len(tokens(t)) for _, t in rows)
-    assert len(start) == len(of)
+    assert v.clustered == 120 and pure > 0.95 and m.sum() == sum(len(tokens(t)) for d, t in rows if zlib.crc32(str(d).encode()) % 5 != 1)
 
 
 def test_probabilities_sum_to_one(spark):
+    """Every word type of the model and the unknown word have one in all after any class."""
     rows = corpus(300)
-    d = frame(spark, rows).selectExpr("doc_id", "text AS _text")
-    v = lm.vocabulary(lm.count_words(d), 1e-4, 1e-3)
-    of, m = lm.exchange(lm.count_pairs(d, v), v, 4, 3)
-    model = lm.build(v, of, m)
-    assert np.allclose((10**model.log_move).sum(1), 1)
-    cls = of[v.unit[: len(v.words)]]
-    assert np.allclose([(10 ** model.log_word[: len(cls)])[cls == c].sum() for c in set(cls)], 1)
+    train = [x for d, t in rows if zlib.crc32(str(d).encode()) % 5 != 1 for x in tokens(t)]
+    n_of = {w: train.count(w) for w in set(train)}
+    cls = np.array([k % 3 for k in range(len(n_of) - 1)])
+    counts = np.array([n for w, n in n_of.items() if w is not None])
+    cls[counts < 2] = 3
+    model = lm.Model(3, cls, counts, len(train), len(n_of), int((counts < 2).sum()), n_of[None])
+    mass = np.bincount(cls, counts, 5)
+    mass[4] = n_of[None]
+    m = np.outer(mass, mass) / mass.sum()
+    lm.finish(model, m)
+    assert np.allclose((10**model.log_move).sum(1), 1) and np.allclose(model.mass, mass)
+    word = sum(10 ** (model.score(np.array([c]), np.array([n]))[0] - model.log_move[c, 4]) for c, n in [*zip(cls.tolist(), counts.tolist()), (3, 0)])
+    assert math.isclose(word + 10 ** model.log_move[4, 4], 1)
 
 
 @settings(max_examples=60, deadline=None)
