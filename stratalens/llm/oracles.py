@@ -54,13 +54,15 @@ def decontamination_sql(width: int = 10) -> str:
     return rf"""
 WITH d AS (SELECT doc_id, {words} AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, w, least({width}, len(w)) AS k FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) > 0),
-bw AS (SELECT DISTINCT item_id, k, array_to_string(w[j:j + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS j FROM b)),
+bw AS (SELECT DISTINCT item_id, j, k, array_to_string(w[j:j + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS j FROM b)),
 dw AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT k FROM b))),
-m AS (SELECT DISTINCT doc_id, i, dw.k, item_id FROM dw JOIN bw ON dw.k = bw.k AND dw.g = bw.g),
+m AS (SELECT doc_id, i, dw.k, item_id, j FROM dw JOIN bw ON dw.k = bw.k AND dw.g = bw.g),
+runs AS (SELECT doc_id, k, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS r, item_id, i - j AS d FROM m),
+best AS (SELECT doc_id, max(n) AS longest FROM (SELECT doc_id, count(*) + max(k) - 1 AS n FROM runs GROUP BY doc_id, item_id, d, r) GROUP BY doc_id),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM m) GROUP BY doc_id),
 its AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN its ON d.doc_id = its.doc_id
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest
+FROM d LEFT JOIN best ON d.doc_id = best.doc_id LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN its ON d.doc_id = its.doc_id
 """
 
 

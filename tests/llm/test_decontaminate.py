@@ -48,6 +48,35 @@ def test_against_plain(spark, block_words):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r[0] for r in plain(DOCS, BENCH) if not r[5])
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=80), st.integers(1, 4))
+def test_suffix_array(ids, shortest):
+    """Every suffix of a long enough run, in the order of its words up to the run's end."""
+    x = np.array(ids, np.uint32)
+    run = lambda p: next((q for q in range(p, len(ids)) if ids[q] == 0), len(ids))
+    first = lambda p: next((q + 1 for q in range(p, -1, -1) if ids[q] == 0), 0)
+    want = sorted((p for p in range(len(ids)) if ids[p] and run(p) - first(p) >= shortest), key=lambda p: (ids[p : run(p)], p))
+    sa = dc.SuffixArray(x, shortest)
+    assert sa.array.tolist() == want
+    for word in (1, 2, 3):
+        lo, hi = sa.narrowed(np.array([0]), np.array([len(want)]), 0, np.array([word]))
+        assert sa.array[lo[0] : hi[0]].tolist() == [p for p in want if ids[p] == word]
+
+
+def test_long_runs():
+    """A run of one word, as long as a shard: ranks are doubled, not compared word by word."""
+    x = np.ones(300_000, np.uint32)
+    assert (dc.SuffixArray(x, 3).array == np.arange(300_000)[::-1]).all()
+
+
+def test_longest_in_the_query(spark):
+    docs = spark.createDataFrame([*DOCS, (30, None)], "doc_id long, text string")
+    bench = spark.createDataFrame(BENCH, "item_id long, text string")
+    for block_words in (2_000_000, 7):
+        got = {r["doc_id"]: r["longest"] for r in dc.decontamination(docs, bench, block_words=block_words).collect()}
+        assert got == {1: 16, 2: 0, 3: 0, 4: 2, 5: 3, 6: 2, 7: 0, 8: 0, 30: 0}
+
+
 def test_empty(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
