@@ -3,7 +3,10 @@
 Words are runs of letters and digits (and anything beyond ASCII), A-Z in lower case. A
 template's fingerprints are the least hashes of ``K`` words in each window of ``WINDOW``
 successive ones, kept in an inverted index; a run of K + WINDOW - 1 words that text and
-template share has a fingerprint in common. Each place nominated is aligned with its
+template share has a fingerprint in common. Four fifths of a template of more than ``SHORT``
+words hold such a run, if words are changed or left out; of shorter ones all pairs of
+neighbouring words are fingerprints, of which four fifths hold one. (Words put in every few
+places can hide a notice from either.) Each place nominated is aligned with its
 template inside a band around the diagonal of its fingerprints (``BAND`` words, a tenth of
 the template if that is more): matched words over the template's words are the coverage.
 
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import lean, small_batches, texts
 from .decontaminate import words_of
 
-K, WINDOW, BAND = 3, 2, 8
+K, WINDOW, BAND, SHORT = 3, 2, 8, 15
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 # Customary notices of well-known licences, and opening sentences of some.
@@ -98,9 +101,9 @@ def full_texts() -> list[tuple[str, list[str]]]:
     return [(n, sections(pkgutil.get_data(__package__, f"license_texts/{n}.txt").decode())) for n in TEXTS]
 
 
-def _grams(ids: np.ndarray) -> np.ndarray:
-    h = np.zeros(max(0, len(ids) - K + 1), np.uint64)
-    for j in range(K):
+def _grams(ids: np.ndarray, k: int = K) -> np.ndarray:
+    h = np.full(max(0, len(ids) - k + 1), k, np.uint64)
+    for j in range(k):
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + ids[j : j + len(h)].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     return h ^ (h >> np.uint64(32))
 
@@ -130,8 +133,8 @@ class Index:
             self.names.append(name)
             self.words.append(ids)
             self.part.append(part)
-            h = _grams(ids)
-            post += [(int(h[p]), t, int(p)) for p in winnow(h)]
+            h = _grams(ids) if len(ids) > SHORT else _grams(ids, 2)
+            post += [(int(h[p]), t, int(p)) for p in (winnow(h) if len(ids) > SHORT else range(len(h)))]
         post.sort()
         self.keys = np.array([k for k, _, _ in post], np.uint64)
         self.template = np.array([t for _, t, _ in post], np.int64)
@@ -149,14 +152,17 @@ class Index:
 
     def nominate(self, ids: np.ndarray) -> list[tuple[int, int]]:
         """(template, place in the text where it would begin), one for each diagonal band."""
-        h = _grams(ids)
-        if len(h) < WINDOW:
+        pairs = np.flatnonzero((ids[:-1] != 0) & (ids[1:] != 0))  # windows that hold another word share nothing
+        if not len(pairs):
             return []
-        known = np.lib.stride_tricks.sliding_window_view(ids != 0, K + WINDOW - 1).all(1)  # windows that hold another word share nothing
-        starts = np.flatnonzero(known)
-        w = np.lib.stride_tricks.sliding_window_view(h, WINDOW)[starts]
-        at = np.unique(starts + WINDOW - 1 - w[:, ::-1].argmin(1))
-        lo, hi = np.searchsorted(self.keys, h[at], "left"), np.searchsorted(self.keys, h[at], "right")
+        at, h = pairs, _grams(ids, 2)[pairs]
+        grams = _grams(ids)
+        if len(grams) >= WINDOW:
+            starts = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(ids != 0, K + WINDOW - 1).all(1))
+            w = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)[starts]
+            own = np.unique(starts + WINDOW - 1 - w[:, ::-1].argmin(1))
+            at, h = np.r_[at, own], np.r_[h, grams[own]]
+        lo, hi = np.searchsorted(self.keys, h, "left"), np.searchsorted(self.keys, h, "right")
         hit = np.flatnonzero(hi > lo)
         out: set[tuple[int, int]] = set()
         for p, a, b in zip(at[hit].tolist(), lo[hit].tolist(), hi[hit].tolist(), strict=True):

@@ -99,12 +99,51 @@ def test_edited_notice_and_shared_runs():
     for _ in range(200):  # any run of K + WINDOW - 1 words that is shared nominates
         t = rng.randrange(len(index.words))
         w = index.words[t]
-        n = li.K + li.WINDOW - 1
+        n = li.K + li.WINDOW - 1 if len(w) > li.SHORT else 2
         s = rng.randrange(len(w) - n + 1)
         ids = np.r_[np.zeros(5, np.int64), w[s : s + n], np.zeros(3, np.int64)]
         assert any(k == t and abs(begin - (5 - s)) <= li.BAND for k, begin in index.nominate(ids))
 
 
+def plain_align(a, b):
+    """(matched, first, end) of the best local alignment anywhere, from the whole table."""
+    h = {}
+    best = (0, 0, 0, 0)
+    for i in range(len(a)):
+        for j in range(len(b)):
+            s, k, f = h.get((i - 1, j - 1), (0, 0, j))
+            options = [(s + 2, k + 1, f) if a[i] == b[j] else (s - 1, k, f)]
+            options += [(x[0] - 1, x[1], x[2]) for x in (h.get((i - 1, j)), h.get((i, j - 1))) if x]
+            cell = max(options, key=lambda c: c[0])
+            h[i, j] = cell if cell[0] > 0 else (0, 0, j + 1)
+            best = max(best, (*h[i, j], j + 1), key=lambda c: c[0])
+    return best[1:]
+
+
+def test_against_every_template_everywhere():
+    """Notices with words changed or left out: found if and only if alignment without a band or an index accepts them, at its span."""
+    rng = random.Random(5)
+    seen = {True: 0, False: 0}
+    for name, text in [*li.TEMPLATES, *li.HEADERS[-5:]]:
+        index = li.Index([(name, text)])
+        words = [w.decode() for w in li.words_of(text)]
+        for _ in range(12):
+            # neither the first nor the last word, which would move the span
+            own = [w if k in (0, len(words) - 1) or rng.random() > 0.15 else rng.choice(["", f"changed{k}"]) for k, w in enumerate(words)]
+            around = [f"noise{k}" for k in range(30)]
+            whole = [*around[: rng.randrange(1, 30)], *filter(None, own), *around]
+            ids = [index.vocabulary.get(w.encode(), 0) or -1 for w in whole]
+            matched, first, end = plain_align(index.words[0].tolist(), ids)
+            want = matched >= 0.8 * len(words)
+            got = li.scan(index, " ".join(whole), 0.8)
+            assert bool(got) == want, (name, whole)
+            seen[want] += 1
+            if want:
+                assert got[0][1] == matched / len(words) and " ".join(whole)[got[0][2] : got[0][3]] == " ".join(whole[first:end])
+    assert min(seen.values()) > 50
+    assert [g[0] for g in li.scan(li.Index([("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.")]), "Licensed under CC XX-NC 4.0", 0.8)] == ["CC-BY-NC-4.0"]
+
+
 def test_scan_query(spark):
     rows = [(1, None), (2, ""), (3, "Text.\nReleased under the MIT License.\nMore. Licensed under CC BY-NC 4.0."), (3, "clean"), (4, "w " * 50_000)]
     got = sorted((r["doc_id"], r["n_licenses"], r["licenses"], r["spans"]) for r in li.license_scan(frame(spark, rows)).collect())
