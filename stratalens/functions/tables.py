@@ -12,10 +12,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under ``spark.checkpoint.dir`` (a temporary folder only if that is unset) and read it back."""
+    """Write ``df`` under ``spark.checkpoint.dir`` and read it back; where that is unset, a temporary folder serves a local master only."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="stratalens-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -8,13 +8,18 @@ Arrow function around the text column; everything else stays in the JVM.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.tables import saved
+
 TOKEN = r"([\p{L}\p{Mn}\p{Nd}\p{Pc}]+)"
 
 
@@ -83,18 +88,87 @@ def tfidf(tf: DataFrame, weights: DataFrame, id_col: str = "doc_id", variant: st
     return w.withColumn("norm", norm).select(id_col, "token", F.when(F.col("norm") > 1e-12, F.col("weight") / F.col("norm")).otherwise(F.col("weight")).alias("weight"))
 
 
+#: Query terms that travel in one block.
+BLOCK_TERMS = 2_000_000
+
+
+def vectors(weights: DataFrame, id_col: str) -> DataFrame:
+    """(id, tokens, weights): each row's sparse vector."""
+    return weights.groupBy(id_col).agg(F.collect_list(F.struct("token", F.col("weight").cast("double").alias("weight"))).alias("v")).select(id_col, F.col("v.token").alias("tokens"), F.col("v.weight").alias("weights"))
+
+
+def _best_of_block(names: list, postings: dict[str, tuple[np.ndarray, np.ndarray]], k: int, skip_own: bool):
+    """Mapper: the ``k`` best documents of its partition for each query of a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # query, id, score
+        rows = 0
+
+        def best() -> tuple[np.ndarray, list, np.ndarray]:
+            q, ids, s = np.concatenate([h[0] for h in held]), [x for h in held for x in h[1]], np.concatenate([h[2] for h in held])
+            rank = {x: r for r, x in enumerate(sorted(set(ids)))}
+            order = np.lexsort((np.array([rank[x] for x in ids]), -s, q))
+            start = np.flatnonzero(np.r_[True, q[order][1:] != q[order][:-1]])
+            place = np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)]))
+            kept = order[place < k]
+            return q[kept], [ids[i] for i in kept.tolist()], s[kept]
+
+        for b in batches:
+            for name, tokens, weights in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                met = [(postings[t], w) for t, w in zip(tokens, weights, strict=True) if t in postings]
+                if not met:
+                    continue
+                q = np.concatenate([p[0] for p, _ in met])
+                score = np.bincount(q, np.concatenate([p[1] * w for p, w in met]), len(names))
+                # a query is met if it shares a token, whatever the weights
+                at = np.flatnonzero(np.bincount(q, minlength=len(names)))
+                if skip_own:
+                    at = at[[names[i] != name for i in at.tolist()]]
+                held.append((at, [name] * len(at), np.round(score[at], 9)))
+                rows += len(at)
+            if rows > 1_000_000:
+                held = [best()]
+                rows = len(held[0][1])
+        if rows:
+            q, ids, s = best()
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q.tolist()]), pa.array(ids), pa.array(s)], names=["query_id", "id", "score"])
+
+    return run
+
+
 def top_documents(queries: DataFrame, docs: DataFrame, k: int, query_id: str, id_col: str = "doc_id") -> DataFrame:
-    """(query, id, score, rank) of the k best dot products; ties by id.
+    """(query_id, id, score, rank) of the k best dot products among documents that share a token; ties by id.
 
-    Both sides are sparse weights; the join is on the token, partial sums are combined
-    before the shuffle, and the window keeps k rows a query (WindowGroupLimit).
+    Both sides are sparse weights. Queries travel in blocks of bounded size, as lists by
+    token, and every document meets a block once: no row is made for a pair, and only the
+    best of each partition are shuffled.
     """
-    q = queries.select(F.col(query_id).alias("_q"), "token", F.col("weight").alias("_w"))
-    s = docs.join(q, "token").groupBy("_q", id_col).agg(F.sum(F.col("_w") * F.col("weight")).alias("score"))
-    s = s.where(F.col("_q") != F.col(id_col)) if query_id == id_col else s
-    s = s.withColumn("score", F.round("score", 9))
-    r = F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("score"), id_col))
-    return s.withColumn("rank", r).where(F.col("rank") <= k).withColumnRenamed("_q", "query_id")
+    d = saved(vectors(docs, id_col), "vectors")
+    q = vectors(queries, query_id)
+    q = saved(q.withColumn("n", F.size("tokens")), "queries")
+    total = q.agg(F.sum("n")).first()[0] or 0
+    blocks = -(-total // BLOCK_TERMS) or 1
+    kinds = dict(docs.dtypes), dict(queries.dtypes)
+    schema = f"query_id {kinds[1][query_id]}, id {kinds[0][id_col]}, score double"
+    out = None
+    for i in range(blocks):
+        names, post = [], {}
+        own = q if blocks == 1 else q.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == i)
+        for r in own.toLocalIterator():
+            for t, w in zip(r["tokens"], r["weights"], strict=True):
+                post.setdefault(t, ([], []))[0].append(len(names))
+                post[t][1].append(w)
+            names.append(r[query_id])
+        post = {t: (np.array(a, np.int64), np.array(b)) for t, (a, b) in post.items()}
+        sent = d.sparkSession.sparkContext.broadcast((names, post))
+
+        def met(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            yield from _best_of_block(*sent.value, k, query_id == id_col)(batches)
+
+        one = d.mapInArrow(met, schema)
+        out = one if out is None else out.unionByName(one)
+    r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return out.withColumn("rank", r).where(F.col("rank") <= k).withColumnRenamed("id", id_col)
 
 
 def bm25(tf: DataFrame, weights: DataFrame, lengths: DataFrame, avg_length: float, k1: float = 1.5, b: float = 0.75, id_col: str = "doc_id") -> DataFrame:
@@ -109,17 +183,25 @@ def vocabulary(tf: DataFrame, size: int, min_frequency: int = 1) -> DataFrame:
     return v.orderBy(F.desc("frequency"), "token").limit(size) if size else v
 
 
-def cooccurrence(docs: DataFrame, vocab: DataFrame, window: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cooccurrence(docs: DataFrame, vocab: DataFrame | None = None, window: int = 5, text_col: str = "text") -> DataFrame:
     """(a, b, n) symmetric counts within ``window`` positions: each unordered pair of places adds 2 to a cell.
 
-    Pairs are made inside each row's token array, so no join of positions is shuffled.
+    Pairs are made inside each row's token array and counted as unordered pairs; all
+    tokens count, or those of ``vocab`` (token).
     """
-    words = docs.select(tokens(F.col(text_col)).alias("t"))
-    near = words.select(F.posexplode("t").alias("i", "a"), "t").select("a", F.explode(F.slice("t", F.col("i") + 2, F.lit(window))).alias("b"))
-    near = near.groupBy("a", "b").agg(F.count("*").alias("n"))
-    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "n")).groupBy("a", "b").agg((2 * F.sum("n")).alias("n"))
-    v = vocab.select("token")
-    return both.join(v.withColumnRenamed("token", "a"), "a", "left_semi").join(v.withColumnRenamed("token", "b"), "b", "left_semi")
+    def pairs(t: Column) -> Column:
+        def apart(d: int) -> Column:
+            n = F.greatest(F.size(t) - d, F.lit(0))
+            return F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(1 + d), n), lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")))
+
+        return F.flatten(F.array(*[apart(d) for d in range(1, window + 1)]))
+
+    near = docs.select(F.explode(bound(tokens(F.col(text_col)), pairs)).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    if vocab is not None:
+        v = vocab.select("token")
+        near = near.join(v.withColumnRenamed("token", "a"), "a", "left_semi").join(v.withColumnRenamed("token", "b"), "b", "left_semi")
+    sides = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b", (4 * F.col("n")).alias("n")))).otherwise(F.array(F.struct("a", "b", (2 * F.col("n")).alias("n")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), (2 * F.col("n")).alias("n"))))
+    return near.select(F.inline(sides))
 
 
 def ppmi(counts: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.tables import saved
 from ..operators import sketch, text
 from . import Registry, table
 
@@ -19,7 +20,8 @@ LEN = f"len AS (SELECT doc_id, len({TOKENS}) AS length FROM documents)"
 
 
 def _tf(spark: SparkSession, d: str) -> DataFrame:
-    return text.term_counts(table(spark, d, "documents"))
+    """Term counts, saved: the texts are read once for all that follows."""
+    return saved(text.term_counts(table(spark, d, "documents")), "tf")
 
 
 def _n(spark: SparkSession, d: str) -> int:
@@ -32,8 +34,10 @@ def _weights(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFra
     return tf, idf, text.tfidf(tf, idf)
 
 
-def _lengths(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("length"))
+def _lengths(spark: SparkSession, d: str, tf: DataFrame) -> DataFrame:
+    """Every document's tokens, without reading the texts again."""
+    n = tf.groupBy("doc_id").agg(F.sum("tf").alias("length"))
+    return saved(table(spark, d, "documents").select("doc_id").join(n, "doc_id", "left").select("doc_id", F.coalesce("length", F.lit(0)).alias("length")), "lengths")
 
 
 @R.add(f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct FROM (SELECT doc_id, {TOKENS} AS t FROM documents)")
@@ -82,7 +86,8 @@ def tfidf_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(f"WITH {TF}, {N}, {IDF}, {LEN}, a AS (SELECT avg(length) AS avgdl FROM len), w AS (SELECT doc_id, token, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avgdl)) AS w FROM tf JOIN idf USING (token) JOIN len USING (doc_id), a), q AS (SELECT item_id, token, count(*) AS qtf FROM (SELECT item_id, unnest({TOKENS}) AS token FROM benchmark) GROUP BY item_id, token), s AS (SELECT item_id AS query_id, doc_id, round(sum(qtf * w), 9) AS score FROM q JOIN w USING (token) GROUP BY item_id, doc_id) SELECT * FROM (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s) WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    tf, lengths = _tf(spark, d), _lengths(spark, d)
+    tf = _tf(spark, d)
+    lengths = _lengths(spark, d, tf)
     avg = lengths.agg(F.avg("length")).first()[0]
     w = text.bm25(tf, text.idf(tf, _n(spark, d)), lengths, avg)
     q = text.term_counts(table(spark, d, "benchmark"), "item_id").withColumnRenamed("tf", "weight")
@@ -100,24 +105,23 @@ def word_shingle_similarity(spark: SparkSession, d: str) -> DataFrame:
     return j.select("item_id", "doc_id", "shared", *[F.round(c, 9).alias(c) for c in ("jaccard", "containment", "overlap", "dice")])
 
 
-_VOCAB = "v AS (SELECT token FROM (SELECT token, sum(tf) AS f FROM tf GROUP BY token) ORDER BY f DESC, token LIMIT 300)"
-_COOC = f"{TF}, {_VOCAB}, p AS (SELECT t[i] AS x, t[j] AS y FROM (SELECT t, i, unnest(range(i + 1, least(i + 5, len(t)) + 1)) AS j FROM (SELECT t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT {TOKENS} AS t FROM documents)))), c AS (SELECT a, b, CAST(2 * count(*) AS BIGINT) AS n FROM (SELECT x AS a, y AS b FROM p UNION ALL SELECT y, x FROM p) WHERE a IN (SELECT token FROM v) AND b IN (SELECT token FROM v) GROUP BY a, b)"
+_COOC = f"p AS (SELECT t[i] AS x, t[j] AS y FROM (SELECT t, i, unnest(range(i + 1, least(i + 5, len(t)) + 1)) AS j FROM (SELECT t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT {TOKENS} AS t FROM documents)))), c AS (SELECT a, b, CAST(2 * count(*) AS BIGINT) AS n FROM (SELECT x AS a, y AS b FROM p UNION ALL SELECT y, x FROM p) GROUP BY a, b)"
 _PPMI = f"{_COOC}, m AS (SELECT a, sum(n) AS m FROM c GROUP BY a), t AS (SELECT sum(n) AS total FROM c), s AS (SELECT c.a, c.b, c.n, ln(c.n * total / (CAST(ma.m AS DOUBLE) * mb.m + 1e-10)) AS pmi FROM c JOIN m ma ON c.a = ma.a JOIN m mb ON c.b = mb.a, t)"
 
 
 def _cooc(spark: SparkSession, d: str) -> DataFrame:
-    return text.cooccurrence(table(spark, d, "documents"), text.vocabulary(_tf(spark, d), 300))
+    return text.cooccurrence(table(spark, d, "documents"))
 
 
 @R.add(f"WITH {_COOC} SELECT a, b, n FROM c")
 def cooc_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Co-occurrence within five places over the 300 most frequent tokens (the model's vocabulary size)."""
+    """Co-occurrence of all tokens within five places."""
     return _cooc(spark, d)
 
 
 @R.add(f"WITH {_PPMI} SELECT a, b, n, ppmi, rank FROM (SELECT a, b, n, round(greatest(0, pmi), 9) AS ppmi, CAST(row_number() OVER (PARTITION BY a ORDER BY round(greatest(0, pmi), 9) DESC, b) AS INT) AS rank FROM s) WHERE rank <= 5")
 def ppmi_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    p = text.ppmi(_cooc(spark, d)).select("a", "b", "n", F.round("ppmi", 9).alias("ppmi"))
+    p = text.ppmi(saved(_cooc(spark, d), "cooc")).select("a", "b", "n", F.round("ppmi", 9).alias("ppmi"))
     return p.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("ppmi"), "b"))).where("rank <= 5")
 
 
@@ -127,11 +131,11 @@ def contextual_entropy(spark: SparkSession, d: str) -> DataFrame:
     return e.select("a", "n", F.round("entropy", 6).alias("entropy"), F.round("normalised", 6).alias("normalised"))
 
 
-@R.add(f"WITH {TF}, v AS (SELECT token, sum(tf) AS n FROM tf GROUP BY token ORDER BY n DESC, token LIMIT 500), b AS (SELECT token, count(*) AS n FROM (SELECT unnest({TOKENS}) AS token FROM benchmark) GROUP BY token), j AS (SELECT v.token, coalesce(b.n, 0) AS n FROM v LEFT JOIN b USING (token)) SELECT token, round((n + 0.5) / (sum(n) OVER () + 0.5 * count(*) OVER ()), 12) AS p FROM j")
+@R.add(f"WITH {TF}, v AS (SELECT DISTINCT token FROM tf), b AS (SELECT token, count(*) AS n FROM (SELECT unnest({TOKENS}) AS token FROM benchmark) GROUP BY token), j AS (SELECT v.token, coalesce(b.n, 0) AS n FROM v LEFT JOIN b USING (token)) SELECT token, round((n + 0.5) / (sum(n) OVER () + 0.5 * count(*) OVER ()), 12) AS p FROM j")
 def unigram_histogram(spark: SparkSession, d: str) -> DataFrame:
-    """The benchmark's smoothed unigram distribution over the documents' 500 most frequent tokens."""
+    """The benchmark's smoothed unigram distribution over all of the documents' tokens."""
     counts = text.term_counts(table(spark, d, "benchmark"), "item_id").groupBy("token").agg(F.sum("tf").alias("n"))
-    h = text.smoothed_histogram(counts, text.vocabulary(_tf(spark, d), 500), 0.5)
+    h = text.smoothed_histogram(counts, text.vocabulary(_tf(spark, d), 0), 0.5)
     return h.select("token", F.round("p", 12).alias("p"))
 
 
@@ -174,7 +178,8 @@ _BIT = ", ".join(f"CASE WHEN sum(CASE WHEN ({'lo' if i < 32 else 'hi'} >> {i % 3
 @R.add(f"WITH {TF}, {N}, {IDF}, {LEN}, a AS (SELECT avg(length) AS avgdl FROM len), w AS (SELECT doc_id, {_H1} AS hi, {_H2} AS lo, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avgdl)) AS w FROM tf JOIN idf USING (token) JOIN len USING (doc_id), a) SELECT doc_id, concat({_BIT}) AS simhash FROM w GROUP BY doc_id")
 def simhash_documents(spark: SparkSession, d: str) -> DataFrame:
     """64 bits from BM25-weighted tokens; documents without tokens have no hash."""
-    tf, lengths = _tf(spark, d), _lengths(spark, d)
+    tf = _tf(spark, d)
+    lengths = _lengths(spark, d, tf)
     avg = lengths.agg(F.avg("length")).first()[0]
     return sketch.simhash(tf, text.idf(tf, _n(spark, d)), lengths, avg)
 
