@@ -3,31 +3,38 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ordering import cumulative
 from ..functions.tables import saved
 
 
-def running_rank(stream: DataFrame, chunk: int = 4096) -> DataFrame:
+def running_rank(stream: DataFrame, chunk: int | None = None) -> DataFrame:
     """(stratum, seq, score, n, below, tied): places so far, smaller scores before, and equal ones including its own.
 
     Counting smaller predecessors is sequential, so it is divided: every event belongs to
     a run of ``chunk`` successive places and to a bin of about ``chunk`` scores. Smaller
     predecessors are those of lower bins in earlier runs (a cumulative table of runs by
     bins), of lower bins in its own run (one group), and of its own bin (another group). No
-    group exceeds a run or a bin; equal scores share a bin, and are counted by their order.
+    group exceeds a run or a bin, unless more scores are equal; equal scores share a bin,
+    and are counted by their order. Places come from range-partitioned numbering; a chunk of
+    the root of the rows (4,096 at least) keeps the table of runs by bins as long as they.
     """
-    w = Window.partitionBy("stratum")
     s = stream.where(~F.isnan("score") & F.col("score").isNotNull())
-    s = s.withColumn("n", F.row_number().over(w.orderBy("seq"))).withColumn("place", F.row_number().over(w.orderBy("score", "seq")))
+    s = cumulative(s, ["stratum"], [F.col("seq")], {"n": F.lit(1)})
+    s = saved(cumulative(s, ["stratum"], [F.col("score"), F.col("seq")], {"place": F.lit(1)}), "places")
+    chunk = chunk or max(4096, math.isqrt(s.count()))
     # equal scores go to the bin of the first of them
-    s = s.withColumn("first", F.min("place").over(Window.partitionBy("stratum", "score")))
-    s = s.withColumn("run", ((F.col("n") - 1) / chunk).cast("int")).withColumn("bin", ((F.col("first") - 1) / chunk).cast("int"))
+    first = s.groupBy("stratum", "score").agg(F.min("place").alias("first"))
+    s = s.join(first, ["stratum", "score"])
+    s = s.withColumn("run", F.floor((F.col("n") - 1) / chunk)).withColumn("bin", F.floor((F.col("first") - 1) / chunk))
     s = saved(s, "ranks")
     counts = s.groupBy("stratum", "run", "bin").agg(F.count("*").alias("k"))
     # lower bins in earlier runs: cumulate over runs for each bin, then over bins for each run
@@ -73,8 +80,8 @@ def running_rank(stream: DataFrame, chunk: int = 4096) -> DataFrame:
         return pd.DataFrame({"stratum": g["stratum"], "n": g["n"], "own": low, "tied": same})
 
     kind = dict(s.dtypes)["stratum"]
-    near = s.select("stratum", "n", "run", "bin").groupBy("stratum", "run").applyInPandas(in_run, f"stratum {kind}, n int, near long")
-    own = s.select("stratum", "n", "bin", "score").groupBy("stratum", "bin").applyInPandas(in_bin, f"stratum {kind}, n int, own long, tied long")
+    near = s.select("stratum", "n", "run", "bin").groupBy("stratum", "run").applyInPandas(in_run, f"stratum {kind}, n long, near long")
+    own = s.select("stratum", "n", "bin", "score").groupBy("stratum", "bin").applyInPandas(in_bin, f"stratum {kind}, n long, own long, tied long")
     j = s.join(grid, ["stratum", "run", "bin"]).join(near, ["stratum", "n"]).join(own, ["stratum", "n"])
     return j.select("stratum", "seq", "score", "n", (F.col("far") + F.col("near") + F.col("own")).alias("below"), "tied")
 
@@ -88,8 +95,7 @@ def smoothed_p_values(ranks: DataFrame, theta: Column | float = 1.0) -> DataFram
 def power_martingale(p_values: DataFrame, epsilon: float = 0.5) -> DataFrame:
     """(stratum, seq, log_capital): running log of the product of epsilon * p^(epsilon - 1)."""
     bet = F.log(F.lit(epsilon)) + (epsilon - 1) * F.log("p")
-    w = Window.partitionBy("stratum").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return p_values.select("stratum", "seq", F.sum(bet).over(w).alias("log_capital"))
+    return cumulative(p_values.select("stratum", "seq", bet.alias("bet")), ["stratum"], [F.col("seq")], {"log_capital": F.col("bet")}).drop("bet")
 
 
 def alarms(martingale: DataFrame, level: float = 0.01) -> DataFrame:
@@ -99,8 +105,7 @@ def alarms(martingale: DataFrame, level: float = 0.01) -> DataFrame:
 
 def split_conformal(scores: DataFrame, alpha: float) -> DataFrame:
     """(stratum, n, k, threshold): the k-th smallest conformity score, k = floor(alpha (n + 1)); minus infinity for k = 0."""
-    w = Window.partitionBy("stratum")
-    s = scores.withColumn("n", F.count("*").over(w)).withColumn("i", F.row_number().over(w.orderBy("score", "seq")))
+    s = cumulative(scores, ["stratum"], [F.col("score"), F.col("seq")], {"i": F.lit(1)}, total=True).withColumnRenamed("i_all", "n")
     k = F.floor(F.lit(alpha) * (F.col("n") + 1))
     return s.groupBy("stratum").agg(F.max("n").alias("n"), F.max(k).alias("k"), F.coalesce(F.max(F.when(F.col("i") == k, F.col("score"))), F.lit(float("-inf"))).alias("threshold"))
 
@@ -151,12 +156,37 @@ def autocovariance_ess(draws: DataFrame, max_lag: int = 50) -> DataFrame:
 def covariance(points: DataFrame) -> DataFrame:
     """(i, j, cov) with divisor n: every pair of coordinates, from one pass of partial sums.
 
-    A row adds its outer product, so the shuffle carries dimension^2 sums a partition.
+    Each task adds up outer products a batch at a time, around its first row, and gives
+    one row for each coordinate.
     """
-    x = points.select(F.posexplode("features").alias("i", "x"), "features")
-    p = x.select("i", "x", F.posexplode("features").alias("j", "y"))
-    g = p.groupBy("i", "j").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg(F.col("x") * F.col("y")).alias("xy"))
-    return g.select("i", "j", (F.col("xy") - F.col("mx") * F.col("my")).alias("cov"))
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, cross, origin = 0, None, None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.array(b.column(0).to_pylist(), np.float64)
+            if origin is None:
+                origin, total, cross = x[0].copy(), np.zeros(x.shape[1]), np.zeros((x.shape[1],) * 2)
+            x = x - origin
+            n, total, cross = n + len(x), total + x.sum(0), cross + x.T @ x
+        if n:
+            yield pa.RecordBatch.from_pydict({"i": pa.array(range(len(total)), pa.int32()), "n": pa.array([n] * len(total)), "m": pa.array([(origin + total / n).tolist()] * len(total)), "c": pa.array((cross - np.outer(total, total) / n).tolist())})
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}
+        for b in batches:
+            for i, n, m, c in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                m, c = np.array(m), np.array(c)
+                if i in held:
+                    k, p, q = held[i]
+                    held[i] = (k + n, p + (m - p) * n / (k + n), q + c + (m - p) * (m[i] - p[i]) * k * n / (k + n))
+                else:
+                    held[i] = (n, m, c)
+        for i, (n, _, c) in sorted(held.items()):
+            yield pa.RecordBatch.from_pydict({"i": pa.array([i] * len(c), pa.int32()), "j": pa.array(range(len(c)), pa.int32()), "cov": pa.array(c / n)})
+
+    parts = points.select("features").mapInArrow(summed, "i int, n long, m array<double>, c array<double>")
+    return parts.repartition("i").mapInArrow(merged, "i int, j int, cov double")
 
 
 def pca(points: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:

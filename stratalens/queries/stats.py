@@ -20,7 +20,7 @@ def stream(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.col("event_type").alias("stratum"), F.col("event_id").alias("seq"), F.col("value").alias("score"))
 
 
-@R.add(f"WITH {_RANK} SELECT stratum, seq, CAST(n AS INT) AS n, below, tied, round((below + tied) / n, 9) AS p FROM k")
+@R.add(f"WITH {_RANK} SELECT stratum, seq, n, below, tied, round((below + tied) / n, 9) AS p FROM k")
 def smoothed_pvalue_counts(spark: SparkSession, d: str) -> DataFrame:
     return monitor.smoothed_p_values(monitor.running_rank(stream(spark, d))).select("stratum", "seq", "n", "below", "tied", F.round("p", 9).alias("p"))
 
