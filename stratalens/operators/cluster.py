@@ -15,9 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.metrics import numpy_metric
 from ..functions.tables import saved
 from .graph import components, minimum_spanning_forest, roots
-from .neighbours import knn, union_edges
+from .neighbours import BLOCK, DIGITS, knn
 
 #: Leaves of a merge tree that one group may hold.
 TREE_LEAVES = 2_000_000
@@ -286,33 +287,79 @@ def condense(merges: list[tuple[int, int, float, int]], n: int, min_size: int, a
     return labels
 
 
-def hdbscan(points: DataFrame, min_points: int = 5, min_size: int = 5, k: int | None = None) -> DataFrame:
-    """(id, label): sparse form - exact core distances, edges limited to k-NN, forest by Boruvka, excess of mass.
+def _prim(ids: np.ndarray, reach) -> list[tuple[int, int, float]]:
+    """The least spanning tree by (weight, smaller id, larger id); ``reach`` gives a point's weights to all."""
+    n = len(ids)
+    best, other, out = np.full(n, np.inf), np.zeros(n, np.int64), []
+    waiting = np.ones(n, bool)
+    at = 0
+    for _ in range(n - 1):
+        waiting[at] = False
+        w = reach(at)
+        lo, hi = np.minimum(ids, ids[at]), np.maximum(ids, ids[at])
+        blo, bhi = np.minimum(ids, ids[other]), np.maximum(ids, ids[other])
+        better = waiting & ((w < best) | ((w == best) & ((lo < blo) | ((lo == blo) & (hi < bhi)))))
+        best[better], other[better] = w[better], at
+        open_ = np.flatnonzero(waiting)
+        low = open_[best[open_] == best[open_].min()]
+        if len(low) > 1:
+            a, b = np.minimum(ids[low], ids[other[low]]), np.maximum(ids[low], ids[other[low]])
+            low = low[np.lexsort((b, a))]
+        k = int(low[0])
+        out.append((int(min(ids[k], ids[other[k]])), int(max(ids[k], ids[other[k]])), float(best[k])))
+        at = k
+    return out
+
 
-    The forest has one edge a point; up to TREE_LEAVES points of one component are
-    condensed in one group, beyond which this refuses.
+def reachability_forest(points: DataFrame, core: DataFrame, metric: str = "euclidean", block: int = BLOCK) -> DataFrame:
+    """(src, dst, d): the least spanning tree of all pairs' mutual reachability.
+
+    Every pair of points lies in some pair of blocks, and an edge of the whole tree is one
+    of its pair of blocks' tree: so the trees of all pairs of blocks hold it. Exact, as
+    costly as an exact neighbour search, in tasks of bounded size.
     """
-    directed = saved(knn(points, max(min_points, k or 2 * min_points)), "knn")
-    reach = mutual_reachability(union_edges(directed), core_distances(directed, min_points))
-    forest = saved(minimum_spanning_forest(saved(reach, "reach"), points), "forest")
-    comp = saved(components(forest, points), "components")
-    sizes = comp.groupBy("component").agg(F.count("*").alias("n"))
-    if (sizes.agg(F.max("n")).first()[0] or 0) > TREE_LEAVES:
-        raise ValueError(f"a component has more than {TREE_LEAVES} points")
-    e = forest.join(comp.select(F.col("id").alias("src"), "component"), "src").select("component", "src", "dst", "d")
-    rows = e.unionByName(comp.select("component", F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(None).cast("double").alias("d")))
+    distance = numpy_metric(metric)
+    n = max(1, math.ceil(points.count() / block))
+    own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    p = points.join(core, "id").select("id", "features", "core", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
+    p = p.where((F.col("own") != F.col("other")) | F.lit(n == 1)).withColumn("cell", F.least("own", "other") * n + F.greatest("own", "other"))
+
+    def tree(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("id")
+        ids, x, c = g["id"].to_numpy(np.int64), np.stack(g["features"].to_numpy()), g["core"].to_numpy(float)
+        edges = _prim(ids, lambda i: np.maximum(np.round(distance(x[i : i + 1], x)[0], DIGITS), np.maximum(c[i], c)))
+        return pd.DataFrame(edges, columns=["src", "dst", "d"]).astype({"src": "int64", "dst": "int64", "d": "float64"})
+
+    edges = saved(p.groupBy("cell").applyInPandas(tree, "src long, dst long, d double"), "trees")
+    return edges if n == 1 else minimum_spanning_forest(saved(edges.distinct(), "tree"), points)
+
+
+def hdbscan(points: DataFrame, min_points: int = 5, min_size: int = 5, metric: str = "euclidean", block: int = BLOCK) -> DataFrame:
+    """(id, label): exact core distances and mutual-reachability tree over all pairs, excess of mass.
+
+    Labels are a cluster's smallest id, -1 for noise. The tree has one edge a point; up to
+    TREE_LEAVES points are condensed in one group, beyond which this refuses. Fewer points
+    than ``min_size`` are all noise; points with fewer than ``min_points`` others take the
+    farthest as core.
+    """
+    if points.count() > TREE_LEAVES:
+        raise ValueError(f"more than {TREE_LEAVES} points")
+    directed = saved(knn(points, min_points, metric, block), "knn")
+    core = core_distances(directed, min_points).join(points.select("id"), "id", "right").select("id", F.coalesce("core", F.lit(0.0)).alias("core"))
+    forest = reachability_forest(points, saved(core, "core"), metric, block)
+    rows = forest.unionByName(points.select(F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(None).cast("double").alias("d")))
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         ids = sorted(g.loc[g["dst"].isna(), "src"].tolist())
         x = g[~g["dst"].isna()]
         tree = merge_tree(list(zip(x["d"], x["src"], x["dst"].astype(int), strict=True)), ids)
         labels = condense(tree, len(ids), min_size) if len(ids) >= min_size else np.full(len(ids), -1)
-        return pd.DataFrame({"component": g["component"].iloc[0], "id": ids, "own": labels})
+        first: dict[int, int] = {}
+        for i, k in zip(ids, labels.tolist(), strict=True):
+            first.setdefault(k, i)
+        return pd.DataFrame({"id": ids, "label": [first[k] if k >= 0 else -1 for k in labels.tolist()]})
 
-    own = rows.groupBy("component").applyInPandas(one, "component long, id long, own long")
-    names = own.where("own >= 0").groupBy("component", "own").agg(F.min("id").alias("first"))
-    j = own.join(names, ["component", "own"], "left")
-    return j.select("id", F.coalesce("first", F.lit(-1)).alias("label"))
+    return rows.groupBy().applyInPandas(one, "id long, label long")
 
 
 def threshold_partition(edges: DataFrame, nodes: DataFrame, value: str, theta: float) -> DataFrame:
@@ -347,40 +394,6 @@ def co_membership(partitions: DataFrame, edges: DataFrame) -> DataFrame:
     return j.groupBy("src", "dst").agg(F.avg(F.when((F.col("la") == F.col("lb")) & (F.col("la") >= 0), 1.0).otherwise(0.0)).alias("share"))
 
 
-def potts_sweep(edges: DataFrame, nodes: DataFrame, temperatures: list[float], q: int = 20, cycles: int = 200, burn: int = 50, seed: int = 0, n_max: int = 200_000) -> DataFrame:
-    """(t, susceptibility, mean_clusters, magnetisation, energy): Swendsen-Wang, one temperature a task.
-
-    The graph travels to each temperature's task; more than ``n_max`` nodes are refused.
-    """
-    e = edges.select("src", "dst", "w").toPandas() if edges.count() <= 20 * n_max else None
-    ids = np.array(sorted(r[0] for r in nodes.select("id").toLocalIterator())) if nodes.count() <= n_max else None
-    if e is None or ids is None:
-        raise ValueError(f"more than {n_max} nodes")
-    a, b, w = np.searchsorted(ids, e["src"]), np.searchsorted(ids, e["dst"]), e["w"].to_numpy()
-    sent = edges.sparkSession.sparkContext.broadcast((a, b, w, len(ids)))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        a, b, w, n = sent.value
-        t = float(g["t"].iloc[0])
-        rng = np.random.default_rng([seed, int(np.float64(t).view(np.uint64))])
-        p, spin = 1 - np.exp(-w / t), rng.integers(0, q, n)
-        chi, clusters, mag, energy = [], [], [], []
-        for c in range(cycles):
-            on = (spin[a] == spin[b]) & (rng.random(len(w)) < p)
-            root = roots(n, a[on], b[on])
-            spin = rng.integers(0, q, n)[root]
-            if c >= burn:
-                size = np.bincount(root, minlength=n)
-                chi.append((size.astype(float) ** 2).sum() / n)
-                clusters.append((size > 0).sum())
-                mag.append((q * np.bincount(spin, minlength=q).max() / n - 1) / (q - 1))
-                energy.append(w[spin[a] != spin[b]].sum() / n)
-        return pd.DataFrame({"t": [t], "susceptibility": [np.mean(chi)], "mean_clusters": [np.mean(clusters)], "magnetisation": [np.mean(mag)], "energy": [np.mean(energy)]})
-
-    grid = edges.sparkSession.createDataFrame([(float(t),) for t in temperatures], "t double")
-    return grid.groupBy("t").applyInPandas(run, "t double, susceptibility double, mean_clusters double, magnetisation double, energy double")
-
-
 def clustering_temperature(profile: list[tuple[float, float]], drop: float = 0.8) -> float:
     """From (t, susceptibility): smoothed by threes; midway between the peak and the first later fall below ``drop`` of it."""
     t, x = (np.array(c, float) for c in zip(*sorted(profile), strict=True))

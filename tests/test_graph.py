@@ -192,12 +192,32 @@ def test_clusterings_find_blobs(spark):
     assert [r["k"] for r in cluster.bic_sweep(p, [1, 3]).where("best").collect()] == [3]
 
 
-def test_potts_limits(spark):
-    rows, e, nodes = random_graph(spark, 30, 90)
-    e = e.withColumn("w", F.lit(1.0))
-    s = {r["t"]: r for r in cluster.potts_sweep(e, nodes, [0.01, 100.0], cycles=60, burn=20).collect()}
-    assert s[0.01]["susceptibility"] > 5 * s[100.0]["susceptibility"] and s[100.0]["mean_clusters"] > 25
-    assert cluster.clustering_temperature([(1, 1), (2, 9), (3, 8), (4, 2), (5, 1)]) > 2
+def test_density_tree_over_all_pairs(spark):
+    """However points are dealt to blocks, the tree is Kruskal's over every pair's mutual reachability."""
+    rng = np.random.default_rng(3)
+    x = np.round(np.r_[rng.normal(0, 1, (40, 2)), rng.normal(30, 1, (30, 2)), np.zeros((5, 2))], 1)  # far groups, equal points, ties
+    p = spark.createDataFrame([(7 * i, r.tolist()) for i, r in enumerate(x)], "id long, features array<double>")
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 9)
+    core = np.sort(d + np.diag(np.full(len(x), np.inf)), 1)[:, 4]
+    reach = np.maximum(d, np.maximum(core[:, None], core[None]))
+    pairs = sorted((reach[i, j], i, j) for i in range(len(x)) for j in range(i + 1, len(x)))
+    root, want = list(range(len(x))), set()
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for w, i, j in pairs:
+        if find(i) != find(j):
+            root[find(i)] = find(j)
+            want.add((7 * i, 7 * j, round(float(w), 9)))
+    own = spark.createDataFrame([(7 * i, float(c)) for i, c in enumerate(core)], "id long, core double")
+    for block in (2048, 20):
+        got = {(r["src"], r["dst"], round(r["d"], 9)) for r in cluster.reachability_forest(p, own, block=block).collect()}
+        assert got == want
+    a, b = ({r["id"]: r["label"] for r in cluster.hdbscan(p, block=k).collect()} for k in (2048, 20))
+    assert a == b and len(set(a.values()) - {-1}) == 2
 
 
 def test_condensation_handles_equal_points(spark):
