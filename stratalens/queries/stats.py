@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import distributions, information
-from ..operators import monitor, sampling
+from ..functions.tables import saved
+from ..operators import conformal, monitor, sampling
 from . import Registry, table
 from .graph import points
 
@@ -112,3 +114,105 @@ def normal_tails(spark: SparkSession, d: str) -> DataFrame:
     m = monitor.moments(e, ["event_type"], "value").select("event_type", "mean", "variance")
     z = e.join(m, "event_type").select("event_id", "event_type", ((F.col("value") - F.col("mean")) / F.sqrt("variance")).alias("z"))
     return z.withColumn("below", distributions.Normal().below_column(F.col("z")))
+
+
+# Half of the users calibrate, the other half are cases; every event is one or the other.
+_HALF = "s AS (SELECT event_type AS stratum, event_id AS seq, value AS score, user_id, 1.0::DOUBLE + user_id % 3 AS weight FROM events), cal AS (SELECT * FROM s WHERE user_id % 2 = 0), cas AS (SELECT * FROM s WHERE user_id % 2 = 1)"
+
+
+def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, d, "events").select(F.col("event_type").alias("stratum"), F.col("event_id").alias("seq"), F.col("value").alias("score"), (1.0 + F.col("user_id") % 3).alias("weight"), "user_id")
+    return e.where("user_id % 2 = 0").drop("user_id"), e.where("user_id % 2 = 1").drop("user_id").withColumnRenamed("seq", "case")
+
+
+@R.add(f"WITH {_HALF}, c AS (SELECT stratum, score, sum(weight) OVER (PARTITION BY stratum ORDER BY score, seq) AS w, sum(weight) OVER (PARTITION BY stratum) AS total FROM cal), t AS (SELECT DISTINCT stratum, total FROM c), k AS (SELECT cas.stratum, seq, weight, 0.1::DOUBLE * total - 0.9::DOUBLE * weight AS key FROM cas JOIN t USING (stratum)) SELECT stratum, seq AS \"case\", weight, CASE WHEN key < 0 THEN '-Infinity'::DOUBLE ELSE (SELECT coalesce(min(score), 'Infinity'::DOUBLE) FROM c WHERE c.stratum = k.stratum AND c.w > k.key) END AS threshold FROM k")
+def weighted_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    """Each case's threshold under weights, as covariate shift asks for."""
+    calibration, cases = _halves(spark, d)
+    return conformal.weighted_thresholds(calibration, cases.select("stratum", "case", "weight"), 0.1)
+
+
+@R.add(f"WITH {_HALF}, t AS (SELECT stratum, sum(weight) AS total FROM cal GROUP BY stratum) SELECT cas.stratum, cas.seq AS \"case\", cas.score, round((coalesce((SELECT sum(weight) FROM cal WHERE cal.stratum = cas.stratum AND cal.score <= cas.score), 0) + weight) / (total + weight), 9) AS p FROM cas JOIN t USING (stratum)")
+def weighted_p_values(spark: SparkSession, d: str) -> DataFrame:
+    calibration, cases = _halves(spark, d)
+    return conformal.weighted_p_values(calibration, cases).withColumn("p", F.round("p", 9))
+
+
+@R.add(f"WITH {_HALF}, n AS (SELECT stratum, count(*) AS n FROM cal GROUP BY stratum), k AS (SELECT cas.stratum, cas.seq, n, (SELECT count(*) FROM cal WHERE cal.stratum = cas.stratum AND cal.score < cas.score) AS below, (SELECT count(*) FROM cal WHERE cal.stratum = cas.stratum AND cal.score <= cas.score) AS upto FROM cas JOIN n USING (stratum)) SELECT stratum, seq AS \"case\", round(below / (n + 1), 9) AS lower, round((upto + 1) / (n + 1), 9) AS upper, round((below / (n + 1) + (upto + 1) / (n + 1)) / 2, 9) AS mid FROM k")
+def predictive_cdf(spark: SparkSession, d: str) -> DataFrame:
+    """A split predictive law's bounds at every case."""
+    calibration, cases = _halves(spark, d)
+    p = conformal.predictive_cdf(calibration.withColumnRenamed("score", "residual"), cases.withColumnRenamed("score", "residual"))
+    return p.select("stratum", "case", *[F.round(c, 9).alias(c) for c in ("lower", "upper", "mid")])
+
+
+@R.add(f"WITH {_HALF}, a AS (SELECT stratum, seq, 1 - exp(-score / 100) AS pit FROM cal), b AS (SELECT stratum, seq, 1 - exp(-score / 100) AS pit FROM cas), n AS (SELECT stratum, count(*) AS n FROM a GROUP BY stratum) SELECT b.stratum, seq AS \"case\", round(pit, 9) AS pit, round(((SELECT count(*) FROM a WHERE a.stratum = b.stratum AND a.pit < b.pit) + (SELECT count(*) FROM a WHERE a.stratum = b.stratum AND a.pit <= b.pit) + 1) / (2.0 * (n + 1)), 6) AS calibrated FROM b JOIN n USING (stratum)")
+def pit_calibration(spark: SparkSession, d: str) -> DataFrame:
+    """Transforms under an exponential law, corrected by the calibration half's."""
+    calibration, cases = _halves(spark, d)
+    pit = 1 - F.exp(-F.col("score") / 100)
+    p = conformal.pit_calibration(calibration.withColumn("pit", pit), cases.withColumn("pit", pit))
+    return p.select("stratum", "case", F.round("pit", 9).alias("pit"), F.round("calibrated", 6).alias("calibrated"))
+
+
+_LAW = "exp(lgamma(k + 3 - 1) - lgamma(3) - CASE WHEN k = 1 THEN 0 ELSE lgamma(k) END + lgamma(n + 5 - k - 3 + 2) - lgamma(3) - CASE WHEN n - k + 2 = 1 THEN 0 ELSE lgamma(n - k + 2) END - lgamma(n + 6) + lgamma(6) + lgamma(n + 1))"
+
+
+@R.add(f"WITH s AS (SELECT event_type AS stratum, value AS score, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events), u AS (SELECT stratum, max(n) AS n FROM s GROUP BY stratum), l AS (SELECT stratum, n, k, {_LAW} AS p FROM (SELECT stratum, n, unnest(range(1, n + 2)) AS k FROM u)), c AS (SELECT *, sum(p) OVER (PARTITION BY stratum ORDER BY k) AS c FROM l), r AS (SELECT stratum, n, coalesce(max(CASE WHEN c <= 0.05 + 1e-12 THEN k END), 0) + 1 AS lo, min(CASE WHEN 1 - c <= 0.05 + 1e-12 THEN k END) AS hi FROM c GROUP BY stratum, n) SELECT r.stratum, r.n, lo AS lower_rank, hi AS upper_rank, a.score AS lower, b.score AS upper, round((SELECT sum(p) FROM l WHERE l.stratum = r.stratum AND k BETWEEN lo AND hi), 6) AS coverage FROM r LEFT JOIN s a ON a.stratum = r.stratum AND a.i = lo - 1 LEFT JOIN s b ON b.stratum = r.stratum AND b.i = hi")
+def batch_median(spark: SparkSession, d: str) -> DataFrame:
+    """Bounds on the median score of five future events of each type."""
+    return conformal.batch_quantile(stream(spark, d), 5, 3, 0.05, 0.05).withColumn("coverage", F.round("coverage", 6))
+
+
+@R.add("WITH o AS (SELECT o_orderpriority AS stratum, o_orderkey AS seq, o_totalprice - 60000 AS lo, 220000 - o_totalprice AS hi FROM orders), a AS (SELECT stratum, lo, hi, row_number() OVER (PARTITION BY stratum ORDER BY lo, seq) AS i, row_number() OVER (PARTITION BY stratum ORDER BY hi, seq) AS j, count(*) OVER (PARTITION BY stratum) AS n FROM o) SELECT stratum, n, CAST(floor(0.05 * (n + 1)) AS BIGINT) AS k, round(-max(CASE WHEN i = floor(0.05 * (n + 1)) THEN lo END), 4) AS below, round(-max(CASE WHEN j = floor(0.05 * (n + 1)) THEN hi END), 4) AS above FROM a GROUP BY stratum, n")
+def quantile_margins(spark: SparkSession, d: str) -> DataFrame:
+    """What a constant band from 60,000 to 220,000 must be moved by at either end to hold nine of ten orders."""
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("stratum"), F.col("o_orderkey").alias("seq"), F.lit(60000.0).alias("low"), F.lit(220000.0).alias("high"), F.col("o_totalprice").cast("double").alias("actual"))
+    m = conformal.asymmetric_intervals(o, 0.1)
+    return m.select("stratum", "n", "k", F.round("below", 4).alias("below"), F.round("above", 4).alias("above"))
+
+
+@R.add("WITH g AS (SELECT l_returnflag AS stratum, l_orderkey AS seq, min(l_quantity) AS score FROM lineitem GROUP BY ALL), i AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY score, seq) AS i, count(*) OVER (PARTITION BY stratum) AS n FROM g) SELECT stratum, n, CAST(floor(0.1 * (n + 1)) AS BIGINT) AS k, CAST(max(CASE WHEN i = floor(0.1 * (n + 1)) THEN score END) AS DOUBLE) AS threshold FROM i GROUP BY stratum, n")
+def group_threshold(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as units: the least quantity of each one's lines is its score."""
+    t = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("stratum"), F.col("l_orderkey").alias("unit"), F.col("l_quantity").cast("double").alias("score"))
+    return conformal.group_threshold(t, 0.1)
+
+
+@R.add("WITH m AS (SELECT * FROM (VALUES (0, 50.0, -1.0), (1, 100.0, 0.0), (2, 200.0, -0.5)) t(model, sd, lw)), w AS (SELECT model, sd, exp(lw) / sum(exp(lw)) OVER () AS share FROM m) SELECT event_type AS stratum, event_id AS seq, round(ln(sum(share * exp(-pow((value - 100) / sd, 2) / 2) / sd)), 6) AS score FROM events, w GROUP BY event_type, event_id")
+def averaged_density(spark: SparkSession, d: str) -> DataFrame:
+    """Every event's log density under an average of three normal laws (up to a constant)."""
+    e = stream(spark, d)
+    models = spark.createDataFrame([(0, 50.0, -1.0), (1, 100.0, 0.0), (2, 200.0, -0.5)], "model int, sd double, log_weight double")
+    rows = e.withColumn("m", F.explode(F.array(*[F.struct(F.lit(k).alias("model"), F.lit(s).alias("sd")) for k, s in ((0, 50.0), (1, 100.0), (2, 200.0))])))
+    den = rows.select("stratum", "seq", "m.model", (-F.pow((F.col("score") - 100) / F.col("m.sd"), F.lit(2)) / 2 - F.log("m.sd")).alias("log_density"))
+    return conformal.averaged_scores(den, models.select("model", "log_weight")).withColumn("score", F.round("score", 6))
+
+
+@R.add("WITH d AS (SELECT l_returnflag, l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem), g AS (SELECT l_returnflag, count(*) AS n, avg(x) AS mx, avg(y) AS my, regr_slope(y, x) AS b, var_pop(x) AS vx FROM d GROUP BY l_returnflag) SELECT l_orderkey, l_linenumber, round((y - my - b * (x - mx)) / (1 - 1 / n - pow(x - mx, 2) / (n * vx)), 2) AS loo FROM d JOIN g USING (l_returnflag)")
+def leave_one_out(spark: SparkSession, d: str) -> DataFrame:
+    """Each line's price less what the other lines of its flag say."""
+    t = table(spark, d, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y"))
+    return conformal.leave_one_out(t, ["l_returnflag"], "x", "y").select("l_orderkey", "l_linenumber", F.round("loo", 2).alias("loo"))
+
+
+@R.add("WITH g AS (SELECT unnest(range(1, 31)) AS grid), r AS (SELECT grid, count(*) AS n, (sum(CASE WHEN value > 25 * grid THEN 1 ELSE 0 END) + 1.0) / (count(*) + 1) AS reading FROM events, g GROUP BY grid) SELECT grid, n, round(reading, 9) AS reading, grid = (SELECT min(grid) FROM r WHERE reading <= 0.1) AS chosen FROM r")
+def risk_threshold(spark: SparkSession, d: str) -> DataFrame:
+    """The first of thirty limits that loses at most a tenth of events."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("unit"), "value", F.explode(F.sequence(F.lit(1), F.lit(30)).cast("array<bigint>")).alias("grid"))
+    losses = e.select("grid", "unit", F.when(F.col("value") > 25 * F.col("grid"), 1.0).otherwise(0.0).alias("loss"))
+    return conformal.risk_threshold(losses, 0.1).withColumn("reading", F.round("reading", 9))
+
+
+@R.add("WITH o AS (SELECT o_orderkey % 5 AS fold, CAST(o_totalprice AS DOUBLE) AS y FROM orders), f AS (SELECT fold, (SELECT avg(y) FROM o WHERE o.fold <> u.fold) AS m FROM (SELECT DISTINCT fold FROM o) u), r AS (SELECT fold, abs(y - m) AS r, m FROM o JOIN f USING (fold)), n AS (SELECT count(*) AS n, CAST(floor(0.1 * (count(*) + 1)) AS BIGINT) AS k FROM o), v AS (SELECT r_regionkey, m + 1000 * r_regionkey - r AS lo, m + 1000 * r_regionkey + r AS hi FROM r, region), i AS (SELECT r_regionkey, lo, hi, row_number() OVER (PARTITION BY r_regionkey ORDER BY lo) AS i, row_number() OVER (PARTITION BY r_regionkey ORDER BY hi DESC) AS j FROM v) SELECT CAST(r_regionkey AS BIGINT) AS \"case\", n, k, round(max(CASE WHEN i = k THEN lo END), 3) AS lower, round(max(CASE WHEN j = k THEN hi END), 3) AS upper FROM i, n GROUP BY r_regionkey, n, k")
+def cross_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """CV+ intervals from five folds of orders; a region's prediction is the other folds' mean and its key."""
+    o = table(spark, d, "orders").select((F.col("o_orderkey") % 5).alias("fold"), F.col("o_totalprice").cast("double").alias("y"))
+    s = o.groupBy("fold").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
+    means = s.select("fold", ((F.sum("s").over(Window.partitionBy(F.lit(0))) - F.col("s")) / (F.sum("n").over(Window.partitionBy(F.lit(0))) - F.col("n"))).alias("m"))  # five rows
+    means = saved(means, "folds")
+    residuals = o.join(F.broadcast(means), "fold").select("fold", (F.col("y") - F.col("m")).alias("residual"))
+    shift = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("case"))
+    predictions = means.select("fold", "m", F.explode(F.array(*[F.lit(r[0]).cast("long") for r in shift.collect()])).alias("case")).select("case", "fold", (F.col("m") + 1000 * F.col("case")).alias("prediction"))
+    c = conformal.cv_plus(residuals, predictions, 0.1)
+    return c.select("case", "n", "k", F.round("lower", 3).alias("lower"), F.round("upper", 3).alias("upper"))
