@@ -31,11 +31,11 @@ class Registry:
 
 
 def collected() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import clustering, evaluation, graph, linalg, stats, text, topology
+    from . import clustering, evaluation, graph, linalg, regression, stats, text, topology
 
     queries: dict[str, Query] = {}
     sql: dict[str, str] = {}
-    for module in (text, graph, clustering, evaluation, topology, stats, linalg):
+    for module in (text, graph, clustering, evaluation, topology, stats, linalg, regression):
         queries |= module.R.queries
         sql |= module.R.sql
     return queries, sql
