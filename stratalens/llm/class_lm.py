@@ -25,7 +25,6 @@ hot key. What travels makes no difference to the scores.
 from __future__ import annotations
 
 import itertools
-import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -165,8 +164,26 @@ class _Tally:
         return out
 
 
-def _numbers(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u4").astype(np.int64)
+@dataclass
+class _Flat:
+    """The word numbers of a batch's texts, one text behind another: number and text of each, and its place in a row of all where an end stands before each text and behind the last."""
+
+    ids: np.ndarray
+    row: np.ndarray
+    at: np.ndarray
+    rows: int
+
+    @staticmethod
+    def of(column: pa.Array) -> _Flat:
+        size = np.diff(np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset).astype(np.int64)) // 4
+        ids = np.frombuffer(b"".join(column.to_pylist()), "<u4").astype(np.int64)
+        row = np.repeat(np.arange(len(size)), size)
+        return _Flat(ids, row, np.arange(len(ids)) + row + 1, len(size))
+
+    def spread(self, values: np.ndarray, end: int) -> np.ndarray:
+        out = np.full(len(self.ids) + self.rows + 1, end, np.int64)
+        out[self.at] = values
+        return out
 
 
 def count_pairs(encoded: DataFrame, v: Vocabulary) -> DataFrame:
@@ -183,16 +200,38 @@ def count_pairs(encoded: DataFrame, v: Vocabulary) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array((c // units).astype(np.int32)), pa.array((c % units).astype(np.int32)), pa.array(n[k : k + (1 << 16)])], names=["a", "b", "n"])
 
         for b in batches:
-            for raw in b.column(0).to_pylist():
-                u = np.minimum(_numbers(raw), core)
-                if tally.add(np.r_[end, u] * units + np.r_[u, end]) and tally.fold() > 4 * FLUSH:
-                    yield from out()
+            t = _Flat.of(b.column(0))
+            u = t.spread(np.minimum(t.ids, core), end)
+            if t.rows and tally.add(u[:-1] * units + u[1:]) and tally.fold() > 4 * FLUSH:
+                yield from out()
         tally.fold()
         yield from out()
 
     return encoded.select("ids").mapInArrow(lean(counted), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+def added_up(parts: DataFrame, size: int) -> np.ndarray:
+    """The sum of matrices that come as packed (a, row) rows; each row is added up in one task, a part after another."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for a, row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(row, "<i8")
+                total[a] = total[a] + x if a in total else x
+        yield from _matrix_rows(total)
+
+    m = np.zeros((size, size))
+    for a, row in parts.repartition("a").mapInArrow(lean(summed), "a int, row binary").collect():  # size rows
+        m[a] = np.frombuffer(row, "<i8")
+    return m
+
+
+def _matrix_rows(rows: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in rows.values()], pa.binary())], names=["a", "row"])
+
+
 def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
@@ -243,15 +282,12 @@ def exchange(pairs: DataFrame, v: Vocabulary, classes: int, rounds: int) -> tupl
         def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = np.zeros(size * size)
             for b in batches:
-                w, x, r, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-                m += np.bincount((of[w] * size + of[x])[r], n[r], size * size)
-            at = np.flatnonzero(m)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(m[at].astype(np.int64))], names=["cell", "n"])
+                w, x, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                m += np.bincount(of[w] * size + of[x], n, size * size)
+            m = m.reshape(size, size)
+            yield from _matrix_rows({a: m[a] for a in np.flatnonzero(m.any(1)).tolist()})
 
-        m = np.zeros(size * size)
-        for r in table.mapInArrow(lean(summed), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most size * size rows
-            m[r["cell"]] = r["n"]
-        return m.reshape(size, size)
+        return added_up(table.where("right").select("w", "x", "n").mapInArrow(lean(summed), "a int, row binary"), size)
 
     def moves(of: np.ndarray, m: np.ndarray) -> list[tuple[float, int, int]]:
         clustered = v.clustered
@@ -312,16 +348,16 @@ def assigned(contexts: np.ndarray, gains: np.ndarray) -> np.ndarray:
     return np.argmax(np.round(contexts @ gains, 6), axis=1)
 
 
-def _codes(x: np.ndarray, of: np.ndarray, core: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The classes before each word of a text and, ``size`` higher, those behind; ``of`` holds the units' classes."""
-    c = of[np.r_[core + 1, np.minimum(x, core), core + 1]]
-    return c[:-2], c[2:] + size
+def _codes(t: _Flat, of: np.ndarray, core: int, size: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The classes before some words of a batch and, ``size`` higher, those behind; ``of`` holds the units' classes."""
+    c = t.spread(of[np.minimum(t.ids, core)], of[core + 1])
+    return c[t.at[at] - 1], c[t.at[at] + 1] + size
 
 
 def classes_of_known(train: DataFrame, v: Vocabulary, of: np.ndarray, m: np.ndarray, k: int) -> np.ndarray:
     """The classes of the words that travel."""
-    spark, core, size, n_words = train.sparkSession, v.clustered, m.shape[0], len(v.words)
-    gains, n_buckets = attraction(m, k), packed.n_buckets(spark)
+    core, size, n_words = v.clustered, m.shape[0], len(v.words)
+    gains, n_buckets = attraction(m, k), packed.n_buckets(train)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = _Tally()
@@ -332,13 +368,13 @@ def classes_of_known(train: DataFrame, v: Vocabulary, of: np.ndarray, m: np.ndar
             yield from packed.deal(word % n_buckets, [word.astype("<u4"), code.astype("<u2"), n])
 
         for b in batches:
-            for raw in b.column(0).to_pylist():
-                x = _numbers(raw)
-                at = np.flatnonzero((x >= core) & (x < n_words))
-                if len(at):
-                    left, right = _codes(x, of, core, size)
-                    if tally.add(np.r_[x[at] * 2 * size + left[at], x[at] * 2 * size + right[at]]) and tally.fold() > 4 * FLUSH:
-                        yield from out()
+            t = _Flat.of(b.column(0))
+            at = np.flatnonzero((t.ids >= core) & (t.ids < n_words))
+            if len(at):
+                left, right = _codes(t, of, core, size, at)
+                x = t.ids[at] * 2 * size
+                if tally.add(np.r_[x + left, x + right]) and tally.fold() > 4 * FLUSH:
+                    yield from out()
         tally.fold()
         yield from out()
 
@@ -353,7 +389,7 @@ def classes_of_known(train: DataFrame, v: Vocabulary, of: np.ndarray, m: np.ndar
 
     cls = np.zeros(n_words, np.int64)
     cls[:core] = of[:core]
-    found = packed.through(train.select("ids").mapInArrow(lean(dealt), packed.ROWS), ["<u4", "<u2", "<i8"], reduce, "word long, class int")
+    found = packed.through(train.select("ids").mapInArrow(lean(dealt), packed.ROWS), n_buckets, ["<u4", "<u2", "<i8"], reduce, "word long, class int")
     for w, c in found.toLocalIterator():  # at most max_known rows
         cls[w] = c
     return cls
@@ -374,14 +410,11 @@ def classes_of_rare(train: DataFrame, v: Vocabulary, of: np.ndarray, m: np.ndarr
 
         held = 0
         for b in batches:
-            for raw, rare in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if rare:
-                    x = _numbers(raw)
-                    at = np.flatnonzero(x == none)
-                    left, right = _codes(x, of, core, size)
-                    held += len(rare)
-                    for w, p, q in zip(rare, left[at].tolist(), right[at].tolist(), strict=True):
-                        c.setdefault(w, []).extend((p, q))
+            t = _Flat.of(b.column(0))
+            left, right = _codes(t, of, core, size, np.flatnonzero(t.ids == none))
+            held += len(left)
+            for w, p, q in zip(b.column(1).flatten().to_pylist(), left.tolist(), right.tolist(), strict=True):
+                c.setdefault(w, []).extend((p, q))
             if held > FLUSH:
                 yield out()
                 held = 0
@@ -405,7 +438,8 @@ def sequences(encoded: DataFrame, rare: DataFrame) -> DataFrame:
     """``encoded`` with the classes and counts of its other words, in order: uid, doc_id, held_out, ids, more."""
     words = encoded.where(F.size("rare") > 0).select("uid", F.posexplode("rare").alias("k", "word"))
     found = words.join(rare, "word").groupBy("uid").agg(F.collect_list(F.struct("k", "class", "n")).alias("more"))
-    return encoded.drop("rare").join(found, "uid", "left")
+    none = F.array().cast("array<struct<k:int,class:int,n:bigint>>")
+    return encoded.drop("rare").join(found, "uid", "left").withColumn("more", F.coalesce("more", none))
 
 
 @dataclass
@@ -426,23 +460,31 @@ class Model:
     def size(self) -> int:
         return self.k + 2
 
-    def read(self, ids: bytes, more: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
-        """Classes and training counts of a text's words."""
-        x = _numbers(ids)
-        c, n = np.r_[self.cls, self.k][x], np.r_[self.counts, 0][x]
-        if more:
-            at = np.flatnonzero(x == len(self.cls))[[r["k"] for r in more]]
-            c[at] = [r["class"] for r in more]
-            n[at] = [r["n"] for r in more]
-        return c, n
-
-    def score(self, c: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-        """(score, base score) of a text; its end is counted."""
+    def read(self, ids: pa.Array, more: pa.Array) -> tuple[_Flat, np.ndarray, np.ndarray]:
+        """A batch's texts, and the classes and training counts of their words."""
+        t = _Flat.of(ids)
+        c, n = np.r_[self.cls, self.k][t.ids], np.r_[self.counts, 0][t.ids]
+        at = np.flatnonzero(t.ids == len(self.cls))
+        if len(at):
+            begin = np.searchsorted(t.row[at], np.arange(t.rows))  # of each text's rare words
+            size = np.diff(np.frombuffer(more.buffers()[1], np.int32, len(more) + 1, 4 * more.offset).astype(np.int64))
+            found = more.flatten()
+            k, cls, seen = (found.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            place = at[np.repeat(begin, size) + k]
+            c[place], n[place] = cls, seen
+        return t, c, n
+
+    def score(self, t: _Flat, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(score, base score) of each text; its end is counted."""
         rare = c == self.k
-        p = np.where(rare, (n + 0.5) / (self.mass[self.k] + 0.5 * (self.rare_types + 1)), n / np.maximum(self.mass[c], 1))
-        moves = self.log_move[np.r_[self.k + 1, c], np.r_[c, self.k + 1]]
-        base = math.fsum(np.log10((np.r_[n, self.end] + 0.5) / (self.total + 0.5 * (self.types + 1))))
-        return math.fsum(moves) + math.fsum(np.log10(p)), base
+        p = np.log10(np.where(rare, (n + 0.5) / (self.mass[self.k] + 0.5 * (self.rare_types + 1)), n / np.maximum(self.mass[c], 1)))
+        seq = t.spread(c, self.k + 1)
+        moves = self.log_move[seq[:-1], seq[1:]]  # each ends at a word or at the end behind a text
+        last = np.flatnonzero(np.bincount(t.at, minlength=len(seq)) == 0)[1:]
+        base = np.log10((n + 0.5) / (self.total + 0.5 * (self.types + 1)))
+        end = np.log10((self.end + 0.5) / (self.total + 0.5 * (self.types + 1)))
+        sums = lambda x: np.bincount(t.row, x, t.rows)
+        return sums(moves[t.at - 1] + p) + moves[last - 1], sums(base) + end
 
 
 def transitions(train: DataFrame, model: Model) -> np.ndarray:
@@ -452,16 +494,14 @@ def transitions(train: DataFrame, model: Model) -> np.ndarray:
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, m = sent.value, np.zeros(size * size, np.int64)
         for b in batches:
-            for ids, more in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                c, _ = model.read(ids, more)
-                m += np.bincount(np.r_[size - 1, c] * size + np.r_[c, size - 1], minlength=size * size)
-        at = np.flatnonzero(m)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(m[at])], names=["cell", "n"])
+            t, c, _ = model.read(b.column(0), b.column(1))
+            if t.rows:
+                seq = t.spread(c, size - 1)
+                m += np.bincount(seq[:-1] * size + seq[1:], minlength=size * size)
+        m = m.reshape(size, size)
+        yield from _matrix_rows({a: m[a] for a in np.flatnonzero(m.any(1)).tolist()})
 
-    m = np.zeros(size * size)
-    for r in train.select("ids", "more").mapInArrow(lean(summed), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most size * size rows
-        m[r["cell"]] = r["n"]
-    return m.reshape(size, size)
+    return added_up(train.select("ids", "more").mapInArrow(lean(summed), "a int, row binary"), size)
 
 
 def finish(model: Model, m: np.ndarray) -> Model:
@@ -481,12 +521,11 @@ def scores(rows: DataFrame, model: Model) -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for b in batches:
-            each = []
-            for ids, more in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                c, n = model.read(ids, more)
-                score, base = model.score(c, n)
-                each.append((len(c) + 1, int((n > 0).sum()) + (model.end > 0), model.total, base, score))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, f.type) for x, f in zip(zip(*each, strict=True) if each else [[]] * 5, list(_SCORED)[2:], strict=True))], schema=_SCORED)
+            t, c, n = model.read(b.column(2), b.column(3))
+            score, base = model.score(t, c, n)
+            size = np.bincount(t.row, minlength=t.rows) + 1
+            known = np.bincount(t.row, n > 0, t.rows).astype(np.int64) + (model.end > 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, f.type) for x, f in zip((size, known, np.full(t.rows, model.total), base, score), list(_SCORED)[2:], strict=True))], schema=_SCORED)
 
     return rows.select("doc_id", "held_out", "ids", "more").mapInArrow(lean(scored), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

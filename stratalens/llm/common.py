@@ -26,9 +26,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as ``spark.checkpoint.dir`` names it; a temporary one if unset."""
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it; where that is unset, a temporary one, with a local master only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="stratalens-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -3,7 +3,8 @@
 ``deal`` turns columns into (bucket, payload) rows, ``shuffled`` brings all rows of a
 bucket to one task, one bucket after another, and ``buckets`` yields each bucket's
 columns. There are several buckets for each partition, so that partitions even out
-and a task holds one bucket at a time.
+and a task holds one bucket at a time. Their number follows from the bytes read, so that
+a bucket does not grow with the input.
 """
 
 from __future__ import annotations
@@ -12,16 +13,23 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from .common import lean
 
 ROWS = "bucket int, payload binary"
 BUCKETS_A_PARTITION = 4
+#: Bytes read for each shuffle partition; entries are a few times their text.
+PARTITION_BYTES = 64 << 20
 
 
-def n_buckets(spark: SparkSession) -> int:
-    return BUCKETS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def n_buckets(df: DataFrame) -> int:
+    """Buckets for what is dealt from ``df``: by the bytes of the tables it reads (as far as Spark knows them), and as many as shuffle partitions ask for at least."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    size = sum(x for x in sizes if x < 1 << 60)  # an unknown size counts as the greatest number
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return BUCKETS_A_PARTITION * max(least, -(-size // PARTITION_BYTES))
 
 
 def deal(bucket: np.ndarray, columns: list[np.ndarray], blob: tuple[np.ndarray, np.ndarray, bytes] | None = None) -> Iterator[pa.RecordBatch]:
@@ -49,9 +57,9 @@ def deal(bucket: np.ndarray, columns: list[np.ndarray], blob: tuple[np.ndarray,
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(payloads, pa.binary())], names=["bucket", "payload"])
 
 
-def shuffled(dealt: DataFrame) -> DataFrame:
-    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket")
+def shuffled(dealt: DataFrame, n: int) -> DataFrame:
+    """``n`` buckets in their partitions."""
+    return dealt.repartition(n // BUCKETS_A_PARTITION, "bucket").sortWithinPartitions("bucket")
 
 
 def _open(payloads: list[bytes], types: list[str], blob: bool) -> tuple[list[np.ndarray], list[np.ndarray] | None]:
@@ -82,11 +90,11 @@ def buckets(batches: Iterator[pa.RecordBatch], types: list[str], blob: bool = Fa
         yield _open(held, types, blob)
 
 
-def through(dealt: DataFrame, types: list[str], reduce: Callable[[list[np.ndarray], list[np.ndarray] | None], Iterator[pa.RecordBatch]], schema: str, blob: bool = False) -> DataFrame:
-    """Shuffle and apply ``reduce`` to each bucket."""
+def through(dealt: DataFrame, n: int, types: list[str], reduce: Callable[[list[np.ndarray], list[np.ndarray] | None], Iterator[pa.RecordBatch]], schema: str, blob: bool = False) -> DataFrame:
+    """Shuffle and apply ``reduce`` to each of ``n`` buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns, data in buckets(batches, types, blob):
             yield from reduce(columns, data)
 
-    return shuffled(dealt).mapInArrow(lean(run), schema)
+    return shuffled(dealt, n).mapInArrow(lean(run), schema)

@@ -359,14 +359,13 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def removed_spans(d: DataFrame, depth: int) -> DataFrame:
     """(doc, a, b): byte spans to remove, from ``numbered`` documents; they may overlap."""
-    spark = d.sparkSession
-    n = packed.n_buckets(spark)
-    first = saved(packed.through(d.select("doc", "raw").mapInArrow(lean(_anchored(depth, n)), packed.ROWS), _BLOCKS, _by_anchor(depth), ROWS), "blocks")
+    n = packed.n_buckets(d)
+    first = saved(packed.through(d.select("doc", "raw").mapInArrow(lean(_anchored(depth, n)), packed.ROWS), n, _BLOCKS, _by_anchor(depth), ROWS), "blocks")
     spans = first.where(F.col("kind") == SPAN).select("doc", "a", "b")
     named = first.where(F.col("kind") == BLOCK).groupBy("doc").agg(F.collect_list(F.struct("a", "b", "key", "busy")).alias("want"))
     # rows that repeat a document fetch the same bytes of the same places again, which changes nothing
     fetched = d.select("doc", "raw").join(named, "doc").select("doc", "raw", "want").mapInArrow(lean(_fetch(depth, n)), packed.ROWS)
-    second = saved(packed.through(fetched, _WINDOWS, _compare(depth), ROWS, blob=True), "windows")
+    second = saved(packed.through(fetched, n, _WINDOWS, _compare(depth), ROWS, blob=True), "windows")
     return spans.unionByName(second.select("doc", "a", "b"))
 
 

@@ -157,8 +157,10 @@ def test_probabilities_sum_to_one(spark):
     m = np.outer(mass, mass) / mass.sum()
     lm.finish(model, m)
     assert np.allclose((10**model.log_move).sum(1), 1) and np.allclose(model.mass, mass)
-    word = sum(10 ** (model.score(np.array([c]), np.array([n]))[0] - model.log_move[c, 4]) for c, n in [*zip(cls.tolist(), counts.tolist()), (3, 0)])
-    assert math.isclose(word + 10 ** model.log_move[4, 4], 1)
+    c, n = np.r_[cls, 3], np.r_[counts, 0]  # a text of one word for each
+    one = np.arange(len(c))
+    score, _ = model.score(lm._Flat(one, one, 2 * one + 1, len(c)), c, n)
+    assert math.isclose((10 ** (score - model.log_move[c, 4])).sum() + 10 ** model.log_move[4, 4], 1)
 
 
 @settings(max_examples=60, deadline=None)
