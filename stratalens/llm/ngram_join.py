@@ -10,12 +10,14 @@ bands that its smaller partners may lie in.
 
 Allocation is by cost. A signature held by more than ``BUSY`` sets is too dear and is
 not allotted: it gives nothing to the count of segments that a set needs (its holders
-are only linked to one of them, so that groups of near copies come together early).
+are only linked to one of them, so that groups of near copies come together early). A
+signature that is busy among the texts of one task is settled there, and only its first
+holder is dealt, so that no bucket holds a large group.
 Sets left with too few segments are allotted the one-deletion neighbourhood of theirs
 (elements of a segment but one), which counts double. What lacks segments even then -
 mostly members of large groups of near copies - meets by its smallest elements (a
 quarter of the set and one more) and is compared in blocks, for links between
-different components only.
+different components only, of which each pair of blocks gives out a spanning forest.
 
 Every candidate is verified on the whole sets. Joins that move texts or sets are
 sort-merge joins at every size: none of their sides has a bound that would allow a
@@ -165,7 +167,7 @@ INFO, EQUAL, PAIR, STAR, DEAR = range(5)
 ROWS = "kind int, a long, b long, c long"
 _ROWS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64())])
 #: lo and hi make 40 bits of a signature (a bucket adds some more; collisions only cost a check);
-#: hi is 255 for what is no signature. mark: what kind, or the segment's number and whether it is whole.
+#: hi is 255 for what is no signature. mark: whether it is busy, or the segment's number and whether it is whole.
 _SIGNED = ["<u4", "u1", "<i8", "u1", "<i4"]  # lo, hi, doc, scheme, mark
 
 
@@ -184,12 +186,38 @@ def _bucket(doc: np.ndarray, n: int) -> np.ndarray:
 
 
 def _deal_notes(notes: list[tuple[int, int, int, int]], n: int) -> Iterator[pa.RecordBatch]:
-    """(document, what, value, upper value). what is 0: the set's size; 1: a document with an equal set; else scheme + 2: its segments, or its credit."""
+    """(document, what, value, upper value).
+
+    what is 0: the set's size; 1: a document with an equal set; ``HELD`` + scheme: its
+    segments, or its credit; ``LOST`` + scheme: how many of them are too dear; ``MET`` + n: a
+    document with which it shares n busy signatures (``MOST_MET`` or more).
+    """
     d, what, value, far = (np.array(c, np.int64) for c in zip(*notes, strict=True))
     yield from packed.deal(_bucket(d, n), [(value & 0xFFFFFFFF).astype("<u4"), np.full(len(d), 255, "u1"), d, what.astype("u1"), far.astype("<i4")])
 
 
-def _signed(n_buckets: int):
+#: What notes say, see _deal_notes; there are 64 schemes at most.
+HELD, LOST, MET = 2, 66, 130
+MOST_MET = 100
+
+
+def _settled(sig: np.ndarray, doc: np.ndarray, scheme: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
+    """(entries to deal, whether each is busy, notes for the others) of a task's signatures."""
+    order = np.lexsort((doc, sig))
+    start, length = runs_of(sig[order])
+    busy = np.repeat(length > most, length)
+    first = np.repeat(order[start], length)
+    others = busy & (order != first)
+    a, b, n = _count(doc[first[others]], doc[order[others]])
+    notes = []
+    for x, y, k in zip(a.tolist(), b.tolist(), n.tolist(), strict=True):
+        notes.append((y, MET + min(MOST_MET, k), x & 0xFFFFFFFF, x >> 32))
+    d, q, n = _count(doc[order[others]], scheme[order[others]])
+    notes += [(x, LOST + k, c, 0) for x, k, c in zip(d.tolist(), q.tolist(), n.tolist(), strict=True)]
+    return order[~others], busy[~others], notes
+
+
+def _signed(n_buckets: int, most: int):
     """Mapper: sets of whole texts; one of equal sets in the task gives its signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,15 +228,17 @@ def _signed(n_buckets: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held
+            if sig:
+                x, d, k = np.concatenate(sig), np.concatenate(doc), np.concatenate(scheme)
+                i, busy, more = _settled(x, d, k, most)
+                notes.extend(more)
+                yield from _deal(x[i], d[i], k[i], busy.astype(np.int64), n_buckets)
+                for c in (sig, doc, scheme):
+                    c.clear()
+                held = 0
             if notes:
                 yield from _deal_notes(notes, n_buckets)
                 notes.clear()
-            if sig:
-                d, k = np.concatenate(doc), np.concatenate(scheme)
-                yield from _deal(np.concatenate(sig), d, k, np.zeros(len(d), np.int64), n_buckets)
-                for x in (sig, doc, scheme):
-                    x.clear()
-                held = 0
 
         for b in batches:
             for d, t in zip(b.column(0).to_pylist(), texts(b, "_text"), strict=True):
@@ -227,7 +257,7 @@ def _signed(n_buckets: int):
                     doc.append(np.full(len(s), d, np.int64))
                     scheme.append(np.full(len(s), k, np.int64))
                     held += len(s)
-                    notes.append((d, k + 2, len(s), 0))
+                    notes.append((d, HELD + k, len(s), 0))
             if held > HOLD or len(notes) > HOLD:
                 yield from flush()
         yield from flush()
@@ -270,10 +300,13 @@ def _meet(level: int, most: int):
         note = hi == 255
         if note.any():
             d, what, value, far = doc[note], scheme[note].astype(np.int64), lo[note].astype(np.int64), mark[note].astype(np.int64)
-            size, twin, seg = what == 0, what == 1, what > 1
+            size, twin, seg, less, met = what == 0, what == 1, (what >= HELD) & (what < LOST), (what >= LOST) & (what < MET), what >= MET
             yield from _rows(INFO, d[size], np.full(int(size.sum()), -1), value[size])
-            yield from _rows(INFO, d[seg], what[seg] - 2, value[seg])
-            yield from _rows(EQUAL, d[twin], (far[twin] << 32) | value[twin], np.zeros(int(twin.sum()), np.int64))
+            yield from _rows(INFO, d[seg], what[seg] - HELD, value[seg])
+            yield from _rows(DEAR, d[less], what[less] - LOST, value[less])
+            other = (far << 32) | value
+            yield from _rows(EQUAL, d[twin], other[twin], np.zeros(int(twin.sum()), np.int64))
+            yield from _rows(STAR, other[met], d[met], what[met] - MET)
         i = np.flatnonzero(~note)
         if not len(i):
             return
@@ -285,9 +318,11 @@ def _meet(level: int, most: int):
         fresh = np.r_[True, (key_s[1:] != key_s[:-1]) | (d_s[1:] != d_s[:-1])]
         once = order[fresh]
         start, length = runs_of(key[once])
-        a, b, q, n = _count(*_pairs_within(once, start[length <= most], length[length <= most], d, k))
-        yield from _rows(PAIR, a, b, (q << 40) | n)
         busy = length > most
+        if level == 1:  # or busy in a task already
+            busy |= np.logical_or.reduceat(m[once] > 0, start)
+        a, b, q, n = _count(*_pairs_within(once, start[~busy], length[~busy], d, k))
+        yield from _rows(PAIR, a, b, (q << 40) | n)
         if busy.any():
             first = np.repeat(d[once[start[busy]]], length[busy])
             member = d[once[np.concatenate([np.arange(s, s + n) for s, n in zip(start[busy].tolist(), length[busy].tolist(), strict=True)])]]
@@ -324,7 +359,7 @@ def _again(n_buckets: int):
                 for k in ks:
                     s, mark, credit = neighbourhoods(x, k)
                     parts.append((s, np.full(len(s), d, np.int64), np.full(len(s), k, np.int64), mark))
-                    notes.append((d, k + 2, credit, 0))
+                    notes.append((d, HELD + k, credit, 0))
                     held += len(s)
             if held > HOLD:
                 yield from flush()
@@ -419,9 +454,8 @@ def _likely(rows: DataFrame, usable: DataFrame, weight: int) -> DataFrame:
 
 def links(d: DataFrame, busy: int = BUSY) -> tuple[DataFrame, DataFrame]:
     """(sizes, components) of ``d`` (doc, _text), where doc is unique: (doc, n), and (doc, component) of those with links."""
-    spark = d.sparkSession
-    n = packed.n_buckets(spark)
-    rows = saved(packed.through(d.mapInArrow(lean(_signed(n)), packed.ROWS), _SIGNED, _meet(1, busy), ROWS), "join1")
+    n = packed.n_buckets(d)
+    rows = saved(packed.through(d.mapInArrow(lean(_signed(n, busy)), packed.ROWS), n, _SIGNED, _meet(1, busy), ROWS), "join1")
     sizes = rows.where((F.col("kind") == INFO) & (F.col("b") == -1)).select(F.col("a").alias("doc"), F.col("c").alias("n"))
     equal = rows.where(F.col("kind") == EQUAL).select("a", "b")
     # what each set holds in each scheme, less what is too dear
@@ -441,7 +475,7 @@ def links(d: DataFrame, busy: int = BUSY) -> tuple[DataFrame, DataFrame]:
     # one-deletion neighbourhoods
     by_doc = short.groupBy(F.col("a").alias("doc")).agg(F.collect_list("b").alias("ks"))
     near = sets.join(by_doc.hint("merge"), "doc").select("doc", "set", "ks").mapInArrow(lean(_again(n)), packed.ROWS)
-    rows2 = saved(packed.through(near, _SIGNED, _meet(2, busy), ROWS), "join2")
+    rows2 = saved(packed.through(near, n, _SIGNED, _meet(2, busy), ROWS), "join2")
     # a segment whose whole is lost gives nothing; one that loses a neighbour counts once
     lost2 = rows2.where(F.col("kind") == DEAR).groupBy("a", "b", F.expr("c div 4").alias("segment")).agg(F.max(F.expr("CASE WHEN c % 2 = 1 THEN 1 + c % 4 div 2 ELSE 1 END")).alias("lost")).groupBy("a", "b").agg(F.sum("lost").alias("lost"))
     credit = rows2.where((F.col("kind") == INFO) & (F.col("b") >= 0)).select("a", "b", F.col("c").alias("credit"))
@@ -506,7 +540,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links_between(left: list[tuple], right: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """Documents of linked sets in different components, from (block, component, doc, set) rows."""
+    """Links between different components, from (block, component, doc, set) rows: as many as connect what all links between them connect."""
     sides = []
     for rows in (left, right):
         each = [np.frombuffer(r[3], "<u8") for r in rows]
@@ -528,7 +562,37 @@ def _links_between(left: list[tuple], right: list[tuple]) -> tuple[np.ndarray, n
         shared += m @ k.T
     common = shared.astype(np.int64)
     i, j = np.nonzero((100 * common >= 75 * (na[:, None] + nb[None] - common)) & (ca[:, None] != cb[None]))
-    return da[i], db[j]
+    kept = forest(ca[i], cb[j])
+    return da[i[kept]], db[j[kept]]
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of links (a, b) that connect what all of them connect, without a cycle: no more than there are nodes."""
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    tree, chosen, live = np.arange(len(nodes)), [], np.arange(len(a))
+    while True:
+        x, y = tree[u[live]], tree[v[live]]
+        apart = x != y
+        live, x, y = live[apart], x[apart], y[apart]
+        if not len(live):
+            return np.sort(np.concatenate(chosen)) if chosen else live
+        # each tree takes its first link out of it; places are a total order, so this makes no cycle
+        first = np.full(len(nodes), len(a))
+        np.minimum.at(first, x, live)
+        np.minimum.at(first, y, live)
+        picked = np.unique(first[first < len(a)])
+        chosen.append(picked)
+        root = np.arange(len(nodes))
+        for p, q in zip(tree[u[picked]].tolist(), tree[v[picked]].tolist(), strict=True):
+            while root[p] != p:
+                p = root[p]
+            while root[q] != q:
+                q = root[q]
+            root[max(p, q)] = min(p, q)
+        while (root[root] != root).any():
+            root = root[root]
+        tree = root[tree]
 
 
 def _rows_of(docs: DataFrame) -> DataFrame:

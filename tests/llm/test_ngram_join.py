@@ -91,6 +91,43 @@ def test_large_group_of_near_copies(spark):
     assert got(nj.ngram_join(frame(spark, rows), 8)) == plain(rows)
 
 
+def test_busy_signatures_are_settled_in_their_task():
+    """A signature of many documents is dealt once a task; every other holder is linked to the first and has lost it."""
+    sig = np.r_[np.full(300, 7), np.arange(100, 110), np.full(3, 9)].astype(np.uint64)
+    doc, scheme = np.r_[np.arange(300), np.arange(10), np.arange(3)] + (1 << 40), np.r_[np.full(300, 2), np.full(13, 3)]
+    i, busy, notes = nj._settled(sig, doc, scheme, 16)
+    assert len(i) == 14 and busy.sum() == 1 and sig[i[busy]].tolist() == [7] and doc[i[busy]].tolist() == [1 << 40]
+    met = [(d, w - nj.MET, v | (f << 32)) for d, w, v, f in notes if w >= nj.MET]
+    lost = [(d, w - nj.LOST, v) for d, w, v, _ in notes if nj.LOST <= w < nj.MET]
+    assert met == [(d, 1, 1 << 40) for d in range((1 << 40) + 1, (1 << 40) + 300)] and lost == [(d, 2, 1) for d in range((1 << 40) + 1, (1 << 40) + 300)]
+    many = nj._settled(np.repeat(np.arange(250, dtype=np.uint64), 3), np.tile([4, 5, 6], 250), np.zeros(750, np.int64), 2)
+    assert [(d, w - nj.MET, v) for d, w, v, _ in many[2] if w >= nj.MET] == [(5, nj.MOST_MET, 4), (6, nj.MOST_MET, 4)] and [n[2] for n in many[2] if n[1] == nj.LOST] == [250, 250]
+    # several first holders are each told
+    two = nj._settled(np.repeat(np.arange(5, dtype=np.uint64), 3), np.array([1, 8, 9] * 2 + [2, 8, 9] * 3), np.zeros(15, np.int64), 2)
+    assert sorted((d, w - nj.MET, v) for d, w, v, _ in two[2] if w >= nj.MET) == [(8, 2, 1), (8, 3, 2), (9, 2, 1), (9, 3, 2)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)).filter(lambda e: e[0] != e[1]), max_size=40))
+def test_forest(edges):
+    """A forest's links connect what all links do, and none could be left out."""
+    def parts(es):
+        root = {x: x for e in edges for x in e}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in es:
+            root[find(a)] = find(b)
+        return {frozenset(x for x in root if find(x) == r) for r in set(map(find, root))}
+
+    kept = nj.forest(np.array([a for a, _ in edges], np.int64), np.array([b for _, b in edges], np.int64)).tolist()
+    few = [edges[k] for k in kept]
+    assert parts(few) == parts(edges) and len(few) == len({x for e in edges for x in e}) - len(parts(edges))
+
+
 def test_repeated_ids(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "p q r s t"), (3, "u v w x y z"), (None, "a b c d e f")]
     out = sorted(((r["doc_id"] or -1), r["n_shingles"], r["component_id"]) for r in nj.ngram_join(frame(spark, rows)).collect())
