@@ -22,6 +22,14 @@ W = f"{EDGES}, h AS (SELECT quantile_cont(d, 0.5) AS h FROM edges), w AS (SELECT
 WL = f"{W}, wl AS (SELECT w.*, a.label AS ls, b.label AS ld FROM w JOIN e a ON src = a.vec_id JOIN e b ON dst = b.vec_id WHERE a.label >= 0 AND b.label >= 0)"
 
 
+
+def forest_sql(edges: str) -> str:
+    """Kruskal's rounds over a table of edges (src, dst, d): ``step`` holds the edge that each one adds, if any."""
+    return f"""idx AS MATERIALIZED (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS i FROM e), es AS MATERIALIZED (SELECT row_number() OVER (ORDER BY d, src, dst) AS k, a.i AS si, b.i AS di, src, dst, d FROM {edges} x JOIN idx a ON src = a.id JOIN idx b ON dst = b.id),
+step AS (SELECT CAST(0 AS BIGINT) AS k, (SELECT list(i ORDER BY i) FROM idx) AS comp, CAST(NULL AS BIGINT) AS src, CAST(NULL AS BIGINT) AS dst, CAST(NULL AS DOUBLE) AS d
+UNION ALL SELECT k, CASE WHEN a <> b THEN list_transform(comp, lambda c: CASE WHEN c = b THEN a ELSE c END) ELSE comp END, CASE WHEN a <> b THEN src END, CASE WHEN a <> b THEN dst END, CASE WHEN a <> b THEN d END FROM (SELECT es.k, comp, comp[si] AS a, comp[di] AS b, es.src, es.dst, es.d FROM step JOIN es ON es.k = step.k + 1))"""
+
+
 def points(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"))
 
@@ -110,7 +118,7 @@ def graph_components(spark: SparkSession, d: str) -> DataFrame:
     return graph.components(edges(spark, d), points(spark, d))
 
 
-@R.add()
+@R.add(f"WITH RECURSIVE {EDGES}, {forest_sql('edges')} SELECT src, dst, d FROM step WHERE d IS NOT NULL")
 def spanning_forest(spark: SparkSession, d: str) -> DataFrame:
     return graph.minimum_spanning_forest(edges(spark, d), points(spark, d))
 

@@ -93,11 +93,11 @@ def segment_divergence(spark: SparkSession, d: str) -> DataFrame:
     return j.select("first", "second", F.round(information.jensen_shannon(F.col("p"), F.col("q")), 6).alias("distance"))
 
 
-@R.add()
+@R.add("WITH RECURSIVE o AS (SELECT o_orderpriority AS stratum, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT) AS seq, avg(CAST(o_totalprice AS DOUBLE)) AS v FROM orders GROUP BY ALL), x AS (SELECT stratum, seq, v, row_number() OVER w AS i, sum(v) OVER w AS s, sum(v * v) OVER w AS q, count(*) OVER (PARTITION BY stratum) AS n FROM o WINDOW w AS (PARTITION BY stratum ORDER BY seq)), a AS (SELECT stratum, max(n) AS n, list(v ORDER BY i) AS v, list(seq ORDER BY i) AS seq, [0.0::DOUBLE] || list(s ORDER BY i) AS s, [0.0::DOUBLE] || list(q ORDER BY i) AS q FROM x GROUP BY stratum), dp AS (SELECT stratum, 0 AS t, [-2e8::DOUBLE] AS best, [0::BIGINT] AS back FROM a UNION ALL SELECT stratum, t + 1, best || [list_min(c) + 2e8], back || [list_position(c, list_min(c)) - 1] FROM (SELECT dp.stratum, t, best, back, list_transform(range(0, t + 1), lambda k: best[k + 1] + q[t + 2] - q[k + 1] - pow(s[t + 2] - s[k + 1], 2) / (t + 1 - k)) AS c FROM dp JOIN a ON a.stratum = dp.stratum WHERE t < n)), walk AS (SELECT dp.stratum, CAST(n AS BIGINT) AS t, back[n + 1] AS b, back FROM dp JOIN a ON a.stratum = dp.stratum AND dp.t = a.n UNION ALL SELECT stratum, b, back[b + 1], back FROM walk WHERE b > 0) SELECT walk.stratum, seq[b + 1] AS first, seq[t] AS last, round((s[t + 1] - s[b + 1]) / (t - b), 4) AS mean, t - b AS n FROM walk JOIN a ON a.stratum = walk.stratum")
 def order_changepoints(spark: SparkSession, d: str) -> DataFrame:
     """Segments of the monthly mean order value, by priority."""
     o = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("stratum"), (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("long").alias("seq")).agg(F.avg("o_totalprice").alias("value"))
-    return sampling.changepoints(o, 2e8)
+    return sampling.changepoints(o, 2e8).withColumn("mean", F.round("mean", 4))
 
 
 @R.add()
@@ -107,13 +107,13 @@ def order_process(spark: SparkSession, d: str) -> DataFrame:
     return sampling.gaussian_process(o.withColumn("x", F.col("seq").cast("double")), 6.0, 0.1)
 
 
-@R.add()
+@R.add("WITH m AS (SELECT event_type, avg(value) AS m, var_pop(value) AS v FROM events GROUP BY event_type), z AS (SELECT event_id, event_type, (value - m) / sqrt(v) AS z FROM events JOIN m USING (event_type)) SELECT event_id, event_type, round(z, 9) AS z, round(0.5 + sign(z) * exp(-z * z / 2) / sqrt(2 * pi()) * CASE WHEN z = 0 THEN 0 ELSE list_sum(list_transform(range(0, 150), lambda k: exp((2 * k + 1) * ln(abs(z)) - lgamma(2.0 * k + 2) + k * ln(2) + CASE WHEN k = 0 THEN 0 ELSE lgamma(k + 1.0) END))) END, 6) AS below FROM z")
 def normal_tails(spark: SparkSession, d: str) -> DataFrame:
     """Each event's value under the normal law of its type."""
     e = table(spark, d, "events")
     m = monitor.moments(e, ["event_type"], "value").select("event_type", "mean", "variance")
     z = e.join(m, "event_type").select("event_id", "event_type", ((F.col("value") - F.col("mean")) / F.sqrt("variance")).alias("z"))
-    return z.withColumn("below", distributions.Normal().below_column(F.col("z")))
+    return z.select("event_id", "event_type", F.round("z", 9).alias("z"), F.round(distributions.Normal().below_column(F.col("z")), 6).alias("below"))
 
 
 # Half of the users calibrate, the other half are cases; every event is one or the other.
