@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import math
+import re
+import uuid
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field, is_dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -70,3 +76,120 @@ def edge_currencies(edges: DataFrame, *currencies: DataFrame) -> DataFrame:
     for c in currencies:
         out = out.join(c, ["src", "dst"], "left")
     return out
+
+
+# Names and documents
+
+@dataclass(frozen=True)
+class Run:
+    """What a run's tables are labelled with."""
+
+    source: str
+    stamp: str
+    number: str
+
+    @staticmethod
+    def of(requested: str | None, caller: str, at: datetime | None = None) -> Run:
+        """The requested name, made fit for a path, or the caller's."""
+        name = re.sub(r"[^A-Za-z0-9._-]+", "-", (requested or "").strip()).strip("-") or caller
+        return Run(name, run_stamp(at), uuid.uuid4().hex[:8])
+
+    def label(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("source", F.lit(self.source)).withColumn("run", F.lit(self.stamp))
+
+
+def _plain(x):
+    """Values that JSON can hold: names in snake case, floats that are no numbers by name."""
+    if is_dataclass(x) and not isinstance(x, type):
+        x = asdict(x)
+    if isinstance(x, dict):
+        return {re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", str(k)).lower(): _plain(v) for k, v in x.items()}
+    if isinstance(x, (list, tuple)):
+        return [_plain(v) for v in x]
+    if isinstance(x, float) and not math.isfinite(x):
+        return "NaN" if math.isnan(x) else "Infinity" if x > 0 else "-Infinity"
+    return x
+
+
+def document(x, indented: bool = True) -> str:
+    """A record or nested values as JSON."""
+    return json.dumps(_plain(x), indent=2 if indented else None, ensure_ascii=False, allow_nan=False)
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes, overwrite: bool = True) -> None:
+    """One file in any store Spark reaches, whole or not at all: written beside and renamed."""
+    jvm = spark.sparkContext._jvm
+    to, beside = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}.part"))
+    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not overwrite and fs.exists(to):
+        raise FileExistsError(path)
+    stream = fs.create(beside)
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
+    if fs.exists(to):
+        fs.delete(to, False)
+    if not fs.rename(beside, to):
+        raise OSError(f"{path} could not be put in place")
+
+
+def write_document(spark: SparkSession, x, path: str) -> None:
+    write_bytes(spark, path, document(x).encode())
+
+
+def write_records(df: DataFrame, path: str, overwrite: bool = False) -> int:
+    """JSON lines, nulls kept; returns how many."""
+    write_table(df, path, "json", overwrite)
+    return df.sparkSession.read.text(path).count()
+
+
+# Projections
+
+@dataclass
+class Projection:
+    """A named table as columns over another one's rows; a column may have a condition, and is left out where that is false."""
+
+    name: str
+    columns: list[tuple[str, Column]] = field(default_factory=list)
+
+    def column(self, name: str, value: Column | str, when: bool = True) -> Projection:
+        if any(n == name for n, _ in self.columns):
+            raise ValueError(f"column {name!r} stands twice")
+        if when:
+            self.columns.append((name, F.col(value) if isinstance(value, str) else value))
+        return self
+
+    def entries(self, name: str, array: str, size: int) -> Projection:
+        """A column for each place of an array: name0, name1, ..."""
+        for k in range(size):
+            self.column(f"{name}{k}", F.col(array)[k])
+        return self
+
+    def of(self, df: DataFrame) -> DataFrame:
+        return df.select(*[c.alias(n) for n, c in self.columns])
+
+    def write(self, df: DataFrame, folder: str, form: str = "csv", overwrite: bool = False) -> str:
+        return write_table(self.of(df), f"{folder.rstrip('/')}/{self.name}", form, overwrite)
+
+
+@dataclass
+class Rows:
+    """A table built row by row; every row has the columns' width."""
+
+    names: list[str]
+    rows: list[tuple] = field(default_factory=list)
+
+    def add(self, *values) -> Rows:
+        if len(values) != len(self.names):
+            raise ValueError(f"{len(values)} values for {len(self.names)} columns")
+        self.rows.append(values)
+        return self
+
+    def each(self, items, *selectors: Callable) -> Rows:
+        for x in items:
+            self.add(*[f(x) for f in selectors])
+        return self
+
+    def table(self, spark: SparkSession, schema: str | None = None) -> DataFrame:
+        return spark.createDataFrame(self.rows, schema or self.names)
