@@ -6,6 +6,9 @@ to follow, and seeded 64-bit FNV-1a with a mixing step in Arrow functions.
 
 from __future__ import annotations
 
+import base64
+import gzip
+import lzma
 import math
 import zlib
 from collections.abc import Iterator
@@ -161,31 +164,40 @@ def lsh_groups(signatures: DataFrame, bands: int = 32, id_col: str = "doc_id") -
     return lsh_bands(signatures, bands, id_col).groupBy("band", "key").agg(F.count("*").alias("n"), F.min(id_col).alias("first")).where("n > 1")
 
 
-# The alphabet of base 64 digits.
-B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-
-
-def ctph(text: str, block_size: int = 0) -> str:
-    """Context-triggered piecewise hash ``size:h1:h2``: pieces end where a rolling sum over 7 bytes triggers."""
-    data = np.frombuffer((text or "").encode(), np.uint8).astype(np.int64)
-    size = block_size or 3
-    if not len(data):
-        return f"{size}::"
-    while not block_size and size * 64 < len(data):
-        size *= 2
-    window = np.cumsum(np.r_[np.zeros(7, np.int64), data])
-    weight = np.convolve(data, np.arange(7, 0, -1))[: len(data)]
-    roll = window[7:] - window[:-7] + weight
-
-    def digest(step: int) -> str:
-        ends = np.flatnonzero(roll % step == step - 1)
-        out, at = [], 0
-        for e in [*ends[:63].tolist(), len(data) - 1]:
-            if e >= at:
-                out.append(B64[zlib.crc32(data[at : e + 1].astype(np.uint8).tobytes()) & 63])
-                at = e + 1
-        return "".join(out)
-
+def _units(text: str | None) -> np.ndarray:
+    """UTF-16 code units."""
+    return np.frombuffer((text or "").encode("utf-16-le", "surrogatepass"), "<u2")
+
+
+def _fnv1a(units) -> int:
+    h = FNV64_BASIS
+    for c in units:
+        h = (h ^ c) * FNV64_PRIME & 0xFFFFFFFFFFFFFFFF
+    return h
+
+
+def _pieces(units: list[int], size: int, most: int) -> list[int]:
+    """Hashes of the first pieces; one ends where the hash of everything so far is ``size`` - 1 modulo ``size``."""
+    out, start, h = [], 0, FNV64_BASIS
+    for i, c in enumerate(units):
+        h = (h ^ c) * FNV64_PRIME & 0xFFFFFFFFFFFFFFFF
+        if h % size == size - 1:
+            out.append(_fnv1a(units[start : i + 1]))
+            start = i + 1
+            if len(out) == most:
+                return out
+    return out + [_fnv1a(units[start:])] if start < len(units) else out
+
+
+# Block sizes from 3 to 96; 3 below 4,096 units; 64 digits, which is 6 hashes, of each digest.
+def ctph(text: str | None, block_size: int = 0) -> str:
+    """Context-triggered piecewise hash ``size:h1:h2`` over UTF-16 units, base-64 digits of the pieces' FNV-1a hashes at a size and its double."""
+    units = _units(text).tolist()
+    if not units:
+        return "0::"
+    n = len(units)
+    size = max(block_size, 3) if block_size else 3 if n < 4096 else min(96, max(3, math.ceil(math.log(n / 64) / math.log(2))))
+    digest = lambda k: base64.b64encode(np.array(_pieces(units, k, 6), "<u8").tobytes()).decode()[:64]
     return f"{size}:{digest(size)}:{digest(2 * size)}"
 
 
@@ -195,11 +207,11 @@ def ctph_column(s: pd.Series) -> pd.Series:
 
 
 def ctph_similarity(a: Column, b: Column) -> Column:
-    """0..100 from the parts of equal block size; 0 if sizes are not equal or double."""
+    """0..100: the first parts at one block size, the second ones if the larger is at most double, else 0."""
     p, q = F.split(a, ":"), F.split(b, ":")
     na, nb = p[0].cast("long"), q[0].cast("long")
     score = lambda x, y: 100 * levenshtein_ratio(x, y)
-    return F.when(na == nb, F.greatest(score(p[1], q[1]), score(p[2], q[2]))).when(na == 2 * nb, score(p[1], q[2])).when(nb == 2 * na, score(p[2], q[1])).otherwise(0.0)
+    return F.when(na == nb, score(p[1], q[1])).when(F.greatest(na, nb) <= 2 * F.least(na, nb), score(p[2], q[2])).otherwise(0.0)
 
 
 def levenshtein_ratio(x: Column, y: Column) -> Column:
@@ -207,20 +219,21 @@ def levenshtein_ratio(x: Column, y: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(1 - F.levenshtein(x, y) / n)
 
 
-def tlsh(text: str) -> str:
-    """Bucketed window hash: 2-bit quartile codes of 128 buckets with a checksum and a log length; under 50 bytes: ''."""
-    data = np.frombuffer((text or "").encode(), np.uint8).astype(np.uint64)
-    if len(data) < 50:
+# Windows of 5 units, 256 buckets, factor 31, at least 50 units.
+def tlsh(text: str | None) -> str:
+    """Locality-sensitive digest ``T1``, checksum, log length, body: 2-bit quartile codes of 256 buckets of windows; '' under 50 UTF-16 units."""
+    units = _units(text)
+    if len(units) < 50:
         return ""
-    w = np.lib.stride_tricks.sliding_window_view(data, 5)
-    buckets = np.zeros(128, np.int64)
-    for salt, (i, j) in enumerate(((0, 1), (0, 2), (1, 2), (0, 3), (1, 3), (0, 4))):
-        h = mix64((w[:, 4] << np.uint64(16)) | (w[:, i] << np.uint64(8)) | w[:, j] | np.uint64(salt << 24))
-        buckets += np.bincount((h & np.uint64(127)).astype(np.int64), minlength=128)
-    q = np.sort(buckets)[[31, 63, 95]]
-    codes = np.searchsorted(q, buckets, "left")
-    body = "".join(f"{int(a) | int(b) << 2:x}" for a, b in zip(codes[::2], codes[1::2], strict=True))
-    return f"T1{zlib.crc32(data.astype(np.uint8).tobytes()) & 255:02x}{min(255, int(math.log(len(data), 1.3))):02x}{body}"
+    w = np.lib.stride_tricks.sliding_window_view((units & 255).astype(np.int64), 5)
+    h = np.zeros(len(w), np.int64)
+    for j in range(5):
+        h = ((h ^ w[:, j]) * 31) & 255
+    n = np.bincount(h, minlength=256)
+    codes = np.searchsorted(np.sort(n)[[64, 128, 192]], n, "left").reshape(-1, 4)  # how many quartiles lie below
+    body = (codes << np.array([0, 2, 4, 6])).sum(1).astype(np.uint8).tobytes().hex()
+    length = min(int(math.log(len(units)) / math.log(2)), 15)
+    return f"T1{sum(text.encode('utf-8', 'replace')) % 256:02x}{length:x}{body}"
 
 
 @F.pandas_udf(T.StringType())
@@ -229,22 +242,33 @@ def tlsh_column(s: pd.Series) -> pd.Series:
 
 
 def tlsh_distance(a: Column, b: Column) -> Column:
-    """12 for each step of length, 1 for a different checksum, and the code differences."""
+    """12 for each step of length, the checksums' difference, and the body digits that differ."""
     num = lambda c, i, n: F.conv(F.substring(c, i, n), 16, 10).cast("long")
-    digits = F.transform(F.sequence(F.lit(7), F.lit(70)), lambda i: F.abs((F.conv(F.substr(a, i, F.lit(1)), 16, 10).cast("int") % 4) - (F.conv(F.substr(b, i, F.lit(1)), 16, 10).cast("int") % 4)) + F.abs(F.floor(F.conv(F.substr(a, i, F.lit(1)), 16, 10).cast("int") / 4) - F.floor(F.conv(F.substr(b, i, F.lit(1)), 16, 10).cast("int") / 4)))
-    body = F.aggregate(digits, F.lit(0).cast("long"), lambda s, x: s + x.cast("long"))
-    return 12 * F.abs(num(a, 5, 2) - num(b, 5, 2)) + F.when(num(a, 3, 2) != num(b, 3, 2), 1).otherwise(0) + body
+    body = lambda c: F.split(F.substring(c, 6, 128), "")
+    differ = F.aggregate(F.zip_with(body(a), body(b), lambda x, y: F.when(x == y, 0).otherwise(1)), F.lit(0), lambda s, x: s + x)
+    return 12 * F.abs(num(a, 5, 1) - num(b, 5, 1)) + F.abs(num(a, 3, 2) - num(b, 3, 2)) + differ
+
+
+def _lzma(data: bytes) -> int:
+    """Its window holds all of the data, so the second half sees the whole first one."""
+    size = max(4096, 1 << max(len(data) - 1, 1).bit_length())
+    return len(lzma.compress(data, lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA2, "preset": 6, "dict_size": size}]))
+
+
+#: Compressed sizes by codec. zlib's and gzip's windows are 32 KB: use them for short texts only.
+CODECS = {"lzma": _lzma, "zlib": lambda d: len(zlib.compress(d, 6)), "gzip": lambda d: len(gzip.compress(d, 6, mtime=0)), "deflate": lambda d: len(zlib.compress(d, 6, -15))}
 
 
-def compression_distance(a: Column, b: Column, level: int = 6) -> Column:
-    """Normalised compression distance with zlib."""
+def compression_distance(a: Column, b: Column, codec: str = "lzma") -> Column:
+    """Normalised compression distance; null is empty, and two empty texts are 0 apart."""
+    size = CODECS[codec]
 
     @F.pandas_udf(T.DoubleType())
     def ncd(x: pd.Series, y: pd.Series) -> pd.Series:
         def one(p: str, q: str) -> float:
             u, v = (p or "").encode(), (q or "").encode()
-            cu, cv, cuv = (len(zlib.compress(z, level)) for z in (u, v, u + v))
-            return (cuv - min(cu, cv)) / max(cu, cv)
+            cu, cv, cuv = size(u), size(v), size(u + v)
+            return (cuv - min(cu, cv)) / max(cu, cv) if u or v else 0.0
 
         return pd.Series([one(p, q) for p, q in zip(x, y, strict=True)])
 

@@ -99,10 +99,69 @@ def test_minhash_estimates_jaccard(spark):
     assert sketch.lsh_groups(s, 64).count() > 0
 
 
+def plain_ctph(text, size):
+    """Every piece, then all of its digits, of which 64 stay."""
+    import base64
+    import struct
+
+    def fnv(cs):
+        h = 0xCBF29CE484222325
+        for c in cs:
+            h = ((h ^ c) * 0x100000001B3) % 2**64
+        return h
+
+    raw = text.encode("utf-16-le")
+    units = [raw[i] + 256 * raw[i + 1] for i in range(0, len(raw), 2)]
+    parts = []
+    for k in (size, 2 * size):
+        pieces, start = [], 0
+        for i in range(len(units)):
+            if fnv(units[: i + 1]) % k == k - 1:
+                pieces.append(fnv(units[start : i + 1]))
+                start = i + 1
+        if start < len(units):
+            pieces.append(fnv(units[start:]))
+        parts.append(base64.b64encode(b"".join(struct.pack("<Q", p) for p in pieces)).decode()[:64])
+    return f"{size}:{parts[0]}:{parts[1]}"
+
+
 def test_fuzzy_hashes():
-    base = "some words that go on for a while and then some more of them, " * 20
-    assert sketch.ctph(base) == sketch.ctph(base) and sketch.ctph("").startswith("3:")
-    assert sketch.tlsh("short") == "" and sketch.tlsh(base).startswith("T1") and len(sketch.tlsh(base)) == 70
+    base = "some words that go on for a while and then some more of them, é日𝄞 " * 4
+    assert sketch.ctph(base) == plain_ctph(base, 3) and sketch.ctph(base, 9) == plain_ctph(base, 9) and sketch.ctph("ab") == plain_ctph("ab", 3)
+    assert sketch.ctph("") == sketch.ctph(None) == "0::" and sketch.ctph("ab", 1).startswith("3:")
+    assert [sketch.ctph("x" * n).split(":")[0] for n in (4095, 4096, 5000, 1 << 20)] == ["3", "6", "7", "14"]
+    t = sketch.tlsh(base)
+    assert sketch.tlsh("short") == sketch.tlsh("x" * 49) == "" and len(t) == 133 and t[:2] == "T1" and int(t[2:4], 16) == sum(base.encode()) % 256 and int(t[4], 16) == 8
+    units = [ord(c) & 255 for c in "abcdefghij" * 6]
+    n = [0] * 256
+    for i in range(len(units) - 4):
+        h = 0
+        for c in units[i : i + 5]:
+            h = ((h ^ c) * 31) % 256
+        n[h] += 1
+    q = [sorted(n)[k] for k in (64, 128, 192)]
+    codes = [sum(x > y for y in q) for x in n]
+    assert sketch.tlsh("abcdefghij" * 6)[5:] == bytes(sum(codes[4 * i + j] << 2 * j for j in range(4)) for i in range(64)).hex()
+
+
+def test_fuzzy_similarity(spark):
+    rows = [("3:abcd:x", "3:abce:y"), ("3:aa:wxyz", "6:bb:wxyy"), ("3:a:b", "7:a:b"), ("0::", "0::"), ("0::", "3:a:b")]
+    got = [r[0] for r in spark.createDataFrame(rows, "a string, b string").select(sketch.ctph_similarity(F.col("a"), F.col("b"))).collect()]
+    assert got == [75, 75, 0, 100, 0]
+    t = [sketch.tlsh(x) for x in ("abcdefghij" * 6, "abcdefghij" * 6 + "k" * 70)]
+    d = spark.createDataFrame([tuple(t)], "a string, b string").select(sketch.tlsh_distance(F.col("a"), F.col("b"))).first()[0]
+    assert d == 12 * abs(int(t[0][4], 16) - int(t[1][4], 16)) + abs(int(t[0][2:4], 16) - int(t[1][2:4], 16)) + sum(x != y for x, y in zip(t[0][5:], t[1][5:]))
+
+
+def test_long_texts_are_compressed_in_one_window(spark):
+    import random
+
+    rng = random.Random(0)
+    a = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000))
+    d = spark.createDataFrame([(a, a), ("", None)], "a string, b string")
+    got = [r[0] for r in d.select(sketch.compression_distance(F.col("a"), F.col("b"))).collect()]
+    assert got[0] < 0.05 and got[1] == 0
+    assert d.select(sketch.compression_distance(F.col("a"), F.col("b"), "zlib")).first()[0] > 0.9
 
 
 def test_compression_and_tlsh_distance(spark):
