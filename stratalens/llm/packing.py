@@ -146,4 +146,5 @@ def pack(docs: DataFrame, size: int = 2048, n_open: int = 64, end_id: int = 1, t
     done = first.where(F.col("sequence_id").isNotNull())
     # longest first, so that best fit has small pieces to fill gaps with
     left = first.where(F.col("sequence_id").isNull()).repartition("doc_id", "start").sortWithinPartitions(F.desc("length"), "doc_id", "start")
-    return done.unionByName(left.mapInArrow(lean(merge), PIECES)).drop("ids")
+    # saved, so that a piece keeps its sequence however often the result is read
+    return done.unionByName(saved(left.mapInArrow(lean(merge), PIECES), "merged")).drop("ids")

@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import packed
 from .common import lean, runs_of, saved, small_batches
@@ -344,16 +345,18 @@ def numbered(docs: DataFrame) -> DataFrame:
     """(doc_id, doc, raw): ``doc`` orders the documents and names each text once.
 
     It is doc_id, unless a doc_id is null or stands with different texts; then the
-    distinct (doc_id, text) pairs are numbered in order (null first, then by digest).
+    distinct (doc_id, text) pairs are numbered in order (null first, then by digest): by
+    range, then by place in it.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("raw"))
     by_id = d.select("doc_id", F.xxhash64("raw").alias("h")).groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
     if by_id.where(F.col("doc_id").isNull() | (F.col("lo") != F.col("hi"))).isEmpty():
         return d.withColumn("doc", F.col("doc_id"))
     d = d.withColumn("digest", F.sha2("raw", 256))
-    names = d.select("doc_id", "digest").distinct().orderBy(F.asc_nulls_first("doc_id"), "digest")
-    number = names.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("doc_id long, digest string, doc long")
-    n = saved(number, "numbers").withColumnRenamed("doc_id", "_doc_id").withColumnRenamed("digest", "_digest")
+    order = [F.asc_nulls_first("doc_id"), F.col("digest")]
+    names = d.select("doc_id", "digest").distinct().repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    n = saved(names, "names").select(F.col("doc_id").alias("_doc_id"), F.col("digest").alias("_digest"), (F.shiftleft(F.col("part").cast("long"), 32) + place).alias("doc"))
     return d.join(n, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("digest") == F.col("_digest"))).select("doc_id", "doc", "raw")
 
 
