@@ -195,7 +195,14 @@ def ctph_digests(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", sketch.ctph_column("text").alias("ctph"))
 
 
-@R.add()
+def _window_hash() -> str:
+    h = "0"
+    for k in range(5):
+        h = f"((xor({h}, u[i + {k}]) * 31) & 255)"
+    return h
+
+
+@R.add(f"WITH d AS (SELECT doc_id, coalesce(text, '') AS text, list_transform(string_split(coalesce(text, ''), ''), lambda c: unicode(c) & 255) AS u FROM documents), long AS (SELECT * FROM d WHERE length(text) >= 50), w AS (SELECT doc_id, {_window_hash()} AS h FROM (SELECT doc_id, u, unnest(range(1, len(u) - 3)) AS i FROM long)), n AS (SELECT doc_id, h, count(*) AS n FROM w GROUP BY ALL), every AS (SELECT a.doc_id, a.k, coalesce(n.n, 0) AS n FROM (SELECT doc_id, unnest(range(0, 256)) AS k FROM long) a LEFT JOIN n ON n.doc_id = a.doc_id AND n.h = a.k), q AS (SELECT doc_id, list_sort(list(n)) AS s FROM every GROUP BY doc_id), c AS (SELECT doc_id, k, CASE WHEN n <= s[65] THEN 0 WHEN n <= s[129] THEN 1 WHEN n <= s[193] THEN 2 ELSE 3 END AS code FROM every JOIN q USING (doc_id)), body AS (SELECT doc_id, string_agg(format('{{:02x}}', v), '' ORDER BY p) AS body FROM (SELECT doc_id, k // 4 AS p, CAST(sum(code << (2 * (k % 4))) AS BIGINT) AS v FROM c GROUP BY ALL) GROUP BY doc_id), head AS (SELECT doc_id, text, list_sum(list_transform(range(0, octet_length(encode(text))), lambda i: CAST('0x' || substr(hex(encode(text)), 2 * i + 1, 2) AS BIGINT))) AS total FROM long) SELECT d.doc_id, CASE WHEN body IS NULL THEN '' ELSE 'T1' || format('{{:02x}}', CAST(total % 256 AS BIGINT)) || format('{{:x}}', least(15, CAST(floor(ln(length(d.text)) / ln(2)) AS BIGINT))) || body END AS tlsh FROM d LEFT JOIN body USING (doc_id) LEFT JOIN head USING (doc_id)")
 def tlsh_digests(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", sketch.tlsh_column("text").alias("tlsh"))
 
