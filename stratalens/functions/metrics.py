@@ -6,7 +6,9 @@ between the rows of two matrices.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column
@@ -157,6 +159,51 @@ def numpy_metric(name: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     return rows(f[name])
 
 
+@dataclass(frozen=True)
+class Properties:
+    """What may be relied on: the triangle inequality, equal vectors alone at 0, the same distance after a common shift or scaling, and the largest value."""
+
+    triangle: bool = True
+    separates: bool = True
+    shift_free: bool = False
+    scale_free: bool = False
+    most: float = float("inf")
+
+
+_FLAT = Properties(shift_free=True)
+PROPERTIES: dict[str, Properties] = {
+    "euclidean": _FLAT, "manhattan": _FLAT, "l1": _FLAT, "chebyshev": _FLAT, "canberra": Properties(), "hamming": _FLAT,
+    "cosine": Properties(triangle=False, separates=False, scale_free=True, most=2.0), "angular": Properties(separates=False, scale_free=True), "spherical": Properties(separates=False, scale_free=True),
+    "poincare": Properties(), "lorentz": Properties(), "fisher_rao_simplex": Properties(), "fisher_rao_normal": Properties(), "wasserstein": Properties(), "jaccard": Properties(separates=False, most=1.0),
+}
+
+
+def properties(name: str) -> Properties:
+    """Of a metric by name; a Minkowski exponent below 1 has no triangle inequality."""
+    if name.startswith("minkowski:p="):
+        return Properties(triangle=float(name.split("=")[1]) >= 1, shift_free=True)
+    if name not in PROPERTIES:
+        raise ValueError(f"unknown metric {name!r}")
+    return PROPERTIES[name]
+
+
+@dataclass(frozen=True)
+class Kernel:
+    """How a coupling falls: its logarithm, its slope's bound at bandwidth 1, whether it ends, and whether it is positive definite in every dimension."""
+
+    log: Callable[[Column, Column], Column]
+    slope: float
+    compact: bool = False
+    positive_definite: bool = True
+
+
+KERNEL_FACTS: dict[str, Kernel] = {
+    "gaussian": Kernel(lambda d, h: -d * d / (2 * h * h), math.exp(-0.5)),
+    "laplacian": Kernel(lambda d, h: -d / h, 1.0),
+    "cauchy": Kernel(lambda d, h: -F.log1p((d / h) * (d / h)), 3 * math.sqrt(3) / 8),
+    "linear": Kernel(lambda d, h: F.log(F.greatest(F.lit(0.0), 1 - d / h)), 1.0, compact=True, positive_definite=False),
+}
+
 #: Kernels of a distance column at a bandwidth.
 KERNELS: dict[str, Callable[[Column, Column], Column]] = {
     "gaussian": lambda d, h: F.exp(-d * d / (2 * h * h)),

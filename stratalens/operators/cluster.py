@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -362,6 +363,28 @@ def hdbscan(points: DataFrame, min_points: int = 5, min_size: int = 5, metric: s
     return rows.groupBy().applyInPandas(one, "id long, label long")
 
 
+@dataclass(frozen=True)
+class Density:
+    """How a density session is made and scored; ``noise`` "cluster" counts what is left out as one more cluster."""
+
+    min_points: int = 5
+    min_size: int = 5
+    metric: str = "euclidean"
+    noise: str = "cluster"
+
+
+def density_session(points: DataFrame, truth: DataFrame | None = None, settings: Density = Density()) -> tuple[DataFrame, dict[str, float]]:
+    """(labels, scores): the exact density clustering, its coverage, and its agreement with ``truth`` (id, label)."""
+    from .evaluate import EXTERNAL, score
+
+    labels = saved(hdbscan(points, settings.min_points, settings.min_size, settings.metric), "density")
+    r = labels.agg(F.avg((F.col("label") >= 0).cast("int")).alias("coverage"), F.count_distinct(F.when(F.col("label") >= 0, F.col("label"))).alias("clusters")).first()
+    scores = {"coverage": r["coverage"] or 0.0, "clusters": float(r["clusters"])}
+    if truth is not None:
+        scores |= {name: score(name, labels, truth, noise=settings.noise) for name in EXTERNAL}
+    return labels, scores
+
+
 def threshold_partition(edges: DataFrame, nodes: DataFrame, value: str, theta: float) -> DataFrame:
     """(id, label): components of the edges whose value exceeds ``theta``; isolated nodes are -1."""
     c = components(edges.where(F.col(value) > theta).select("src", "dst"), nodes)
