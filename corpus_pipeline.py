@@ -1,7 +1,8 @@
 """Corpus preparation in five stages, each written as Parquet and read by the next.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all
-but the last return the columns of ``documents``.
+but the last return the columns of ``documents``, and any other columns with them, whatever
+their names. No rows give none. A null or empty text has no words: the first stage rejects it.
 """
 
 from __future__ import annotations
@@ -21,27 +22,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or a certified cutoff reject go."""
+    """Documents that the base rules or a certified cutoff reject go; rows with one doc_id are judged each on its own."""
     return quality.keep_good(docs, _table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest doc_id."""
+    """One document of each near-duplicate group stays: the one with the smallest doc_id.
+
+    Different texts under one doc_id are different documents; of rows equal in both one
+    stays; rows without a doc_id all stay.
+    """
     return ngram_join.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of the benchmark go."""
+    """Documents that hold a window of the benchmark go; rows are judged each on its own, with or without a doc_id."""
     return decontaminate.keep_clean(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and disclosing terms are replaced in the texts; n_chars follows."""
+    """Personal data and disclosing terms are replaced in the texts; n_chars follows; every row stays, null texts stay null."""
     return pii.sanitise(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The remaining documents in sequences of 2048 tokens."""
+    """The remaining documents in sequences of 2048 tokens; rows with one doc_id are packed each on its own."""
     return packing.pack(docs)
 
 
