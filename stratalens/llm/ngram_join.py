@@ -46,13 +46,15 @@ SMALL, RATIO = 16, 16 / 9
 SHARE = 0.4
 #: A link to a busy signature's first holder is tried if so many signatures speak for it.
 SUPPORT = 4
-HOLD = 300_000
+HOLD = 200_000
 #: Signatures of a bucket that are compared at a time.
 PART = 40_000
 #: Counts of elements by cell that are compared before sets are.
 CELLS = 256
 #: Sets in a block of the last comparison.
 LEFT_BLOCK = 1024
+#: Elements whose columns of that comparison are held at a time.
+SLICE = 2048
 
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -548,14 +550,17 @@ def _links_between(left: list[tuple], right: list[tuple]) -> tuple[np.ndarray, n
     (da, ca, na, xa), (db, cb, nb, xb) = sides
     both = np.intersect1d(xa, xb)  # elements on one side only are common to no pair
     shared = np.zeros((len(da), len(db)), np.float32)
-    row_a, row_b = np.repeat(np.arange(len(da)), na), np.repeat(np.arange(len(db)), nb)
-    at_a, at_b = np.searchsorted(both, xa), np.searchsorted(both, xb)
-    in_a, in_b = (at < len(both) for at in (at_a, at_b))
-    in_a[in_a] = both[at_a[in_a]] == xa[in_a]
-    in_b[in_b] = both[at_b[in_b]] == xb[in_b]
-    for lo in range(0, len(both), 4096):  # elements a slice at a time: bounded memory
-        p, q = in_a & (at_a >= lo) & (at_a < lo + 4096), in_b & (at_b >= lo) & (at_b < lo + 4096)
-        width = min(4096, len(both) - lo)
+
+    def common_ones(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(set, place in ``both``) of the elements that are there, in 32 bits."""
+        i = np.flatnonzero(np.isin(x, both))
+        return np.repeat(np.arange(len(n), dtype=np.int32), n)[i], np.searchsorted(both, x[i]).astype(np.int32)
+
+    (row_a, at_a), (row_b, at_b) = common_ones(xa, na), common_ones(xb, nb)
+    del xa, xb, sides
+    for lo in range(0, len(both), SLICE):  # elements a slice at a time: bounded memory
+        p, q = (at_a >= lo) & (at_a < lo + SLICE), (at_b >= lo) & (at_b < lo + SLICE)
+        width = min(SLICE, len(both) - lo)
         m, k = np.zeros((len(da), width), np.float32), np.zeros((len(db), width), np.float32)
         m[row_a[p], at_a[p] - lo] = 1
         k[row_b[q], at_b[q] - lo] = 1
