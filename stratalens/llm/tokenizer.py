@@ -20,13 +20,12 @@ import numpy as np
 
 #: Pieces that stay cached in a worker, and those learnt later, which are dropped together
 #: (memory bounds, not limits on input).
-STAY, PASSING = 300_000, 100_000
+STAY, PASSING = 450_000, 100_000
 
 _L = "A-Za-zÀ-ÖØ-öø-ɏ"
 _OTHER = re.compile(rf"[^\t-\r -~{_L}]")
 # The last of several white-space characters before a letter is a token of its own.
 _PIECES = re.compile(rf" ?[{_L}]+|[^{_L}]+?(?:(?<=')[{_L}]+|(?=[\t-\r ]?[{_L}])|\Z)")
-_RUN = re.compile(rf" ?[{_L}]+")
 _CUT = re.compile(rf"(?<=[!-~{_L}])(?= [!-~{_L}])")
 #: The string of the vocabulary's special token; texts that hold it are cut at spaces only.
 _SPECIAL = "<|"
@@ -47,7 +46,7 @@ class _Pieces(dict):
         self.passing: list[str] = []
 
     def __missing__(self, piece: str) -> bytes:
-        if _RUN.fullmatch(piece):
+        if (piece[1:] if piece[0] == " " else piece).isalpha():  # letters, with or without a space before them
             e = self.run.encode_batch_fast([piece], add_special_tokens=False)[0]
         else:
             e = self.whole.encode(piece, add_special_tokens=False)
