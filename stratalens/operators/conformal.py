@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -219,12 +220,19 @@ def rank_law(n: int, m: int, order: int) -> np.ndarray:
 
 def batch_ranks(n: int, m: int, order: int, below: float, above: float) -> tuple[int, int, float]:
     """(lower rank, upper rank, coverage): the batch's order statistic lies between the scores before the lower rank and at the upper one."""
-    p = rank_law(n, m, order)
-    c = np.cumsum(p)
-    upper = int(np.flatnonzero(1 - c <= above + 1e-12)[0]) + 1
-    under = np.flatnonzero(c <= below + 1e-12)  # ranks that may be given up below
-    lower = int(under[-1]) + 2 if len(under) else 1
-    return lower, upper, float(p[lower - 1 : upper].sum())
+    total = math.comb(n + m, m)
+
+    def upto(k: int) -> int:
+        """Of ``total`` arrangements, those with a rank of at most k: ``order`` or more test scores before the k-th calibration score."""
+        if k <= 0 or k > n:
+            return total if k > n else 0
+        return sum(math.comb(k - 1 + j, j) * math.comb(n - k + m - j, m - j) for j in range(order, m + 1))
+
+    # whole numbers: logarithms of factorials lose nine digits at a million scores
+    over, under = Fraction(above + 1e-12) * total, Fraction(below + 1e-12) * total
+    upper = 1 + bisect_left(range(1, n + 1), True, key=lambda k: total - upto(k) <= over)
+    lower = bisect_left(range(1, n + 2), True, key=lambda k: upto(k) > under) + 1  # ranks before may be given up
+    return lower, upper, (upto(upper) - upto(lower - 1)) / total
 
 
 def batch_quantile(scores: DataFrame, m: int, order: int, below: float, above: float) -> DataFrame:

@@ -46,6 +46,14 @@ def test_rank_law_and_boxes(n, m):
     assert cf.box_coverage(n, m, box) >= 0.5
 
 
+def test_batch_ranks_of_many_scores_are_exact():
+    n = 1_196_460
+    lo, hi, c = cf.batch_ranks(n, 5, 3, 0.05, 0.05)
+    # of five test scores, three or more before the k-th of n
+    upto = lambda k: sum(math.comb(k - 1 + j, j) * math.comb(n - k + 5 - j, 5 - j) for j in (3, 4, 5))
+    assert (lo, hi) == (226_437, 970_025) and abs(c - (upto(hi) - upto(lo - 1)) / math.comb(n + 5, 5)) < 1e-14
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.sampled_from([0.0, 0.1, 0.25, 0.5, 0.9, 1.0]), min_size=1, max_size=12), st.floats(0.02, 0.98))
 def test_loss_bound(losses, x):
