@@ -107,6 +107,15 @@ def test_rules_reject_what_labels_call_bad(spark):
     assert all(r["kept"] for r in quality.quality_rules(frame(spark, rows), labels.where("doc_id < 20")).collect())
 
 
+def test_all_labels_count(spark):
+    n = 210_000
+    d = spark.range(n).selectExpr("id AS doc_id", "'en' AS stratum", "array_join(transform(sequence(1, 10), k -> concat(id, '_', k)), ' ') AS _text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "CAST(1 AS INT) AS quality")
+    assert quality.graded(d, labels).count() == n
+    some = d.where("doc_id < 500"), labels.where("doc_id < 400")
+    assert quality.graded(*some, sent=10).count() == 400  # by a shuffle
+
+
 def test_something_is_certified_on_the_driver_tables(spark):
     """The method rejects documents beyond the base rules there, and no good one."""
     sf = "/root/testdata/sf0.01"
