@@ -270,7 +270,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alp
     return judge(with_counts(d, ["doc_id", "stratum"]), cutoffs(d, labels, alpha, delta, max_labels))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05, max_labels: int | None = 200_000) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05, max_labels: int | None = None) -> DataFrame:
     """The rows of ``docs`` that pass, with their columns, whatever they are called; texts are not shuffled."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), F.col("text").cast("string").alias("_text"))
     cut = cutoffs(d, labels, alpha, delta, max_labels)

@@ -116,6 +116,13 @@ def test_all_labels_count(spark):
     assert quality.graded(*some, sent=10).count() == 400  # by a shuffle
 
 
+def test_kept_rows_rest_on_all_labels(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(quality, "graded", lambda d, labels, most, old=quality.graded: (asked.append(most), old(d, labels, most))[1])
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.keep_good(frame(spark, [(0, " ".join("abcdefghijkl"), "en", "")]), labels).count() == 1 and asked == [None]
+
+
 def test_something_is_certified_on_the_driver_tables(spark):
     """The method rejects documents beyond the base rules there, and no good one."""
     sf = "/root/testdata/sf0.01"
