@@ -1,4 +1,4 @@
-"""Laplacian spectra of graphs of bounded size, and smoothing of signals on graphs of any size."""
+"""Laplacian spectra of graphs of bounded size, connectivities and smoothing of signals on graphs of any size."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import saved
+from .graph import roots
 from .neighbours import symmetric
 
 #: Nodes that one group's dense eigenproblem may have.
@@ -43,9 +44,64 @@ def bottom_eigenpairs(edges: DataFrame, k: int, normalised: bool = False) -> Dat
     return edges.groupBy("group").applyInPandas(one, "group long, index int, value double, id long, entry double")
 
 
+def _second_value(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, steps: int = 200, tolerance: float = 1e-12) -> float:
+    """The second least eigenvalue of a sparse Laplacian: Lanczos steps on its inverse beside the constant, each solved by conjugate gradients."""
+    live = w > 0
+    a, b, w = a[live], b[live], w[live]
+    if roots(n, a, b).any():
+        return 0.0  # more than one component
+    degree = np.bincount(a, w, n) + np.bincount(b, w, n)
+
+    def lap(x: np.ndarray) -> np.ndarray:
+        return degree * x - np.bincount(a, w * x[b], n) - np.bincount(b, w * x[a], n)
+
+    def solve(y: np.ndarray) -> np.ndarray:
+        x, r = np.zeros(n), y.copy()
+        z = r / degree
+        p, rz, goal = z, r @ z, 1e-13 * np.linalg.norm(y)
+        for _ in range(20 * n):
+            q = lap(p)
+            step = rz / (p @ q)
+            x, r = x + step * p, r - step * q
+            if np.linalg.norm(r) <= goal:
+                break
+            z = r / degree
+            rz, old = r @ z, rz
+            p = z + rz / old * p
+        return x - x.mean()
+
+    q = np.random.default_rng(0).standard_normal(n)
+    q -= q.mean()
+    basis, off, diag, best = [q / np.linalg.norm(q)], [], [], np.inf
+    for _ in range(min(steps, n - 1)):
+        y = solve(basis[-1])
+        diag.append(float(y @ basis[-1]))
+        q = np.stack(basis)
+        for _ in range(2):
+            y = y - q.T @ (q @ y)
+        ritz, v = np.linalg.eigh(np.diag(diag) + np.diag(off, 1) + np.diag(off, -1))
+        size = float(np.linalg.norm(y))
+        # what the Ritz pair leaves over bounds its error
+        best, done = 1 / ritz[-1], size * abs(v[-1, -1]) <= tolerance * ritz[-1]
+        if done or size <= 1e-14 * ritz[-1]:
+            break
+        off.append(size)
+        basis.append(y / size)
+    return float(best)
+
+
 def algebraic_connectivity(edges: DataFrame) -> DataFrame:
-    """(group, connectivity): the second least eigenvalue."""
-    return bottom_eigenpairs(edges, 2).where(F.col("index") == 1).groupBy("group").agg(F.first("value").alias("connectivity"))
+    """(group, connectivity): the second least eigenvalue; a group of more than ``DENSE`` nodes is worked on as a sparse matrix."""
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        ids, at = np.unique(np.r_[g["src"], g["dst"]], return_inverse=True)
+        if len(ids) > DENSE:
+            value = [_second_value(at[: len(g)], at[len(g) :], g["w"].to_numpy(float), len(ids))]
+        else:
+            value = np.linalg.eigvalsh(_laplacian(g, False)[1])[1:2]
+        return pd.DataFrame({"group": g["group"].iloc[: len(value)], "connectivity": value})
+
+    return edges.groupBy("group").applyInPandas(one, "group long, connectivity double")
 
 
 def effective_resistance(edges: DataFrame) -> DataFrame:

@@ -47,3 +47,18 @@ def test_smoothing(spark):
     lap = np.array([[1, -1, 0, 0], [-1, 3, -2, 0], [0, -2, 2.5, -0.5], [0, 0, -0.5, 0.5]])
     got = {r["id"]: r["value"] for r in spectral.smooth(e, s, 0.4, tolerance=1e-10).collect()}
     assert np.allclose([got[i] for i in range(4)], np.linalg.solve(np.eye(4) + 0.4 * lap, b), atol=1e-6)
+
+
+def test_connectivity_of_large_groups(spark):
+    n = spectral.DENSE + 500
+    star = spark.range(1, n).selectExpr("CAST(1 AS LONG) AS group", "CAST(0 AS LONG) AS src", "id AS dst", "2.0D AS w")
+    apart = star.selectExpr("CAST(2 AS LONG) AS group", "src + dst % 2 AS src", "dst + 2 AS dst", "w")
+    got = {r["group"]: r["connectivity"] for r in spectral.algebraic_connectivity(star.unionByName(apart)).collect()}
+    assert np.isclose(got[1], 2.0, rtol=1e-9) and got[2] == 0
+    rng = np.random.default_rng(0)
+    a, b = np.r_[np.arange(399), rng.integers(0, 400, 800)], np.r_[np.arange(1, 400), rng.integers(0, 400, 800)]
+    w = rng.random(len(a))
+    lap = np.zeros((400, 400))
+    for i, j, x in zip(a, b, w, strict=True):
+        lap[[i, j, i, j], [i, j, j, i]] += np.array([x, x, -x, -x]) * (i != j)
+    assert np.isclose(spectral._second_value(a[a != b], b[a != b], w[a != b], 400), np.linalg.eigvalsh(lap)[1], rtol=1e-9)
