@@ -55,3 +55,19 @@ def test_diagram_distances(spark):
     d = spark.createDataFrame(rows, "group long, dim int, birth double, death double")
     assert [tuple(r) for r in g.diagram_distances(d).collect()] == [(0, 1, 0, 2.0)]
     assert g.diagram_distances(d, "bottleneck").where(F.col("distance") == 1.5).count() == 1
+
+
+def test_distances_of_many_bars(spark):
+    rng = np.random.default_rng(0)
+    for flat in (0, 1):
+        for _ in range(30):
+            a, b = (np.round(np.cumsum(rng.random((int(rng.integers(0, 9)), 2)) * [flat, 1], 1), 1) for _ in "ab")
+            for p in (1.0, 2.0):
+                c = g._costs(a, b) ** p
+                want = c[np.arange(len(c)), g.assignment(c)].sum() ** (1 / p)
+                small = min((sum(c[i, k] for i, k in enumerate(x)) for x in itertools.permutations(range(len(c)))), default=0.0) if len(c) < 7 else want**p
+                assert np.isclose(want**p, small) and np.isclose(g.wasserstein(a, b, p), want)
+    # in units of a half, shifted by a half: every bar moves, none is worth its way to the diagonal
+    rows = [(k, 0, 0.0, 100.0 + i + k / 2) for k in (0, 1) for i in range(600)] + [(k, 1, float(i), i + 0.25 + k / 4) for k in (0, 1) for i in range(600)]
+    d = spark.createDataFrame(rows, "group long, dim int, birth double, death double")
+    assert sorted(tuple(r) for r in g.diagram_distances(d).collect()) == [(0, 1, 0, 300.0), (0, 1, 1, 150.0)]
