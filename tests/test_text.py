@@ -172,3 +172,17 @@ def test_compression_and_tlsh_distance(spark):
     t = d.select(sketch.tlsh_column("a").alias("a"), sketch.tlsh_column("b").alias("b"), sketch.tlsh_column("c").alias("c"))
     r = t.select(sketch.tlsh_distance(F.col("a"), F.col("b")), sketch.tlsh_distance(F.col("a"), F.col("c"))).first()
     assert r[0] == 0 < r[1]
+
+
+def test_best_of_block_leaves_out_what_cannot_count(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(text, "HELD", 50)
+    rng = np.random.default_rng(0)
+    d, q = rng.integers(0, 4, (300, 6)).astype(float), rng.integers(1, 4, (7, 6)).astype(float)
+    start, query = np.arange(7) * 7, np.tile(np.arange(7), 6)
+    run = text._best_of_block(list(range(7)), {f"t{i}": i for i in range(6)}, start, query, q.T.ravel(), 3, True)
+    rows = pa.RecordBatch.from_pydict({"id": np.arange(300), "tokens": [[f"t{i}" for i in range(6)]] * 300, "weights": d.tolist()})
+    got = sorted(zip(*(c.to_pylist() for b in run([rows]) for c in b.columns)))
+    s = d @ q.T
+    assert got == sorted((j, i, s[i, j]) for j in range(7) for i in sorted((i for i in range(300) if i != j), key=lambda i: (-s[i, j], i))[:3])
