@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratalens.operators import sketch, text
+from stratalens.operators import contexts, sketch, text
 
 DOCS = [(0, "The cat sat on the mat, the CAT!"), (1, "a dog sat"), (2, None), (3, "  "), (4, "naïve café_1 ２ cat")]
 
@@ -186,3 +186,52 @@ def test_best_of_block_leaves_out_what_cannot_count(monkeypatch):
     got = sorted(zip(*(c.to_pylist() for b in run([rows]) for c in b.columns)))
     s = d @ q.T
     assert got == sorted((j, i, s[i, j]) for j in range(7) for i in sorted((i for i in range(300) if i != j), key=lambda i: (-s[i, j], i))[:3])
+
+
+def brute_neighbours(texts, k, window=5):
+    cells = Counter()
+    for t in map(toks, texts):
+        for i in range(len(t)):
+            for j in range(i + 1, min(len(t), i + window + 1)):
+                cells[t[i], t[j]] += 2
+                cells[t[j], t[i]] += 2
+    m = Counter()
+    for (a, _), n in cells.items():
+        m[a] += n
+    total, best = sum(m.values()), {}
+    for (a, b), n in cells.items():
+        best.setdefault(a, []).append((-round(max(0.0, math.log(n * total / (m[a] * m[b] + 1e-10))), 9), b, n))
+    return {(a, b, n, -p, i + 1) for a, rows in best.items() for i, (p, b, n) in enumerate(sorted(rows)[:k])}
+
+
+@pytest.mark.parametrize("chunk, spread", [(60, 20), (1 << 21, 1 << 22)])
+def test_ppmi_best(spark, monkeypatch, chunk, spread):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in rng.zipf(1.3, 4000) % 900]
+    texts = [" ".join(words[i : i + int(n)]) for i, n in zip(range(0, 4000, 20), rng.integers(0, 40, 200))]
+    texts += [None, "", "alone", "x x x x x x x", "é ñ é z" * 3, *texts[:9], " ".join(words[:900])]
+    monkeypatch.setattr(contexts, "SPREAD", spread)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {tuple(r) for r in contexts.ppmi_best(d, 3, chunk=chunk).collect()}
+    want = brute_neighbours(texts, 3)
+    assert {r[:3] + r[4:] for r in got} == {r[:3] + r[4:] for r in want}
+    assert np.allclose([r[3] for r in sorted(got)], [r[3] for r in sorted(want)], atol=2e-9)
+    assert contexts.ppmi_best(d.where("text = 'alone'")).count() == contexts.ppmi_best(d.where("false")).count() == 0
+
+
+def test_ppmi_writes_less_than_its_pairs(spark, monkeypatch):
+    """What is kept on disk between the steps, against a row for each pair of words from either side."""
+    rng, sizes, save = np.random.default_rng(5), {}, contexts.saved
+    texts = [" ".join(f"w{i}" for i in rng.zipf(1.2, 400) % 20000) for _ in range(200)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+
+    def measured(df, name, *rest):
+        out = save(df, name, *rest)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out.inputFiles()[0]).getParent()
+        sizes[name] = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
+        return out
+
+    monkeypatch.setattr(contexts, "saved", measured)
+    contexts.ppmi_best(d)
+    measured(text.cooccurrence(d), "pairs")
+    assert sum(sizes[n] for n in ("coded", "words", "cells", "best")) < sizes["pairs"]
