@@ -29,6 +29,9 @@ _PIECES = re.compile(rf" ?[{_L}]+|[^{_L}]+?(?:(?<=')[{_L}]+|(?=[\t-\r ]?[{_L}])|
 _CUT = re.compile(rf"(?<=[!-~{_L}])(?= [!-~{_L}])")
 #: The string of the vocabulary's special token; texts that hold it are cut at spaces only.
 _SPECIAL = "<|"
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The character that stands for each byte in a byte-level vocabulary: itself if visible, else one from 256 on.
+_BYTES = {b: b if b in _SEEN else 256 + b - sum(x < b for x in _SEEN) for b in range(256)}
 
 
 class _Pieces(dict):
@@ -43,14 +46,21 @@ class _Pieces(dict):
         self.run = Tokenizer.from_file(path)
         self.run.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.run.model._resize_cache(0)
+        # the model alone says the same if nothing else looks at letters
+        plain = self.run.normalizer is None and not any(t.content.strip().isalpha() for t in self.run.get_added_tokens_decoder().values())
+        self.tokenize = self.run.model.tokenize if plain else None
         self.passing: list[str] = []
 
     def __missing__(self, piece: str) -> bytes:
         if (piece[1:] if piece[0] == " " else piece).isalpha():  # letters, with or without a space before them
-            e = self.run.encode_batch_fast([piece], add_special_tokens=False)[0]
+            if self.tokenize:
+                known = piece.replace(" ", "Ġ") if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)
+                ids = [t.id for t in self.tokenize(known)]
+            else:
+                ids = self.run.encode_batch_fast([piece], add_special_tokens=False)[0].ids
         else:
-            e = self.whole.encode(piece, add_special_tokens=False)
-        out = self[piece] = array("I", e.ids).tobytes()
+            ids = self.whole.encode(piece, add_special_tokens=False).ids
+        out = self[piece] = array("I", ids).tobytes()
         if len(self) > STAY:
             self.passing.append(piece)
             if len(self.passing) > PASSING:

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from stratalens.llm import packing, simple8b, token_output
-from stratalens.llm.tokenizer import default_path, encoder
+from stratalens.llm.tokenizer import PieceEncoder, default_path, encoder
 
 TEXTS = [
     None, "", " ", "a", "Hello, world's  best\n\n thing'll <|endoftext|> end", "x" * 50_000, "the cat " * 5_000,
@@ -44,6 +44,29 @@ def test_pieces_on_odd_texts():
     assert [x.tolist() for x in e.encode(texts)] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_runs_of_letters_need_the_model_only(monkeypatch):
+    e = PieceEncoder(default_path())
+    monkeypatch.setattr(e.pieces, "run", None)  # the whole library takes over twice as long for each new word
+    texts = ["Some words, überall où Ångström", "日本語", " Ġødegård ŭ ÿ", "a" * 3000 + " " + "éß" * 500]
+    assert [x.tolist() for x in e.encode(texts)] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_pieces_equal_a_library_with_more_steps(tmp_path):
+    """Where a normaliser or a token of letters has a say, the model alone is not asked."""
+    from tokenizers import AddedToken, Tokenizer, normalizers
+
+    for k in range(2):
+        t = Tokenizer.from_file(default_path())
+        if k:
+            t.add_tokens([AddedToken("zqx")])
+        else:
+            t.normalizer = normalizers.Lowercase()
+        t.save(str(tmp_path / f"{k}.json"))
+        e = PieceEncoder(str(tmp_path / f"{k}.json"))
+        assert e.pieces.tokenize is None
+        assert e.encode(["A Word", "zqx"])[k].tolist() == t.encode(["A Word", "zqx"][k], add_special_tokens=False).ids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 50_256), st.integers(0, 2**64 - 1)), max_size=300), st.sampled_from([7, 64, 1024]))
 def test_simple8b_round_trip(values, block):
