@@ -27,7 +27,7 @@ from .text import tokens
 CHUNK = 1 << 20
 #: Pairs of places, counted from both sides, for each group of cells, and of one word in one group.
 GROUP, SPREAD = 1 << 24, 1 << 22
-#: Passes over the blocks, each of which shuffles its share of them.
+#: Passes over chunks and over blocks, each of which shuffles its share of them.
 PASSES = 4
 #: More than Spark's rounding to nine digits and the logarithm's error can move a value.
 SLACK = 3e-9
@@ -274,13 +274,18 @@ def ppmi_best(docs: DataFrame, k: int = 5, window: int = 5, digits: int = 9, tex
     texts = coded.where("ids IS NOT NULL").select("chunk", "ids", "lengths", "n_ids", "n_texts")
     names = coded.where("token IS NOT NULL").select(F.col("chunk").alias("of_chunk"), "place", "token").join(words, "token").select("of_chunk", "place", "id")
     names = saved(names, "names", "zstd", True)
-    blocks = saved(texts.groupBy("chunk").cogroup(names.groupBy("of_chunk")).applyInArrow(cells, _ddl(_BLOCKS)), "cells", "snappy", True)
+    # a part of the chunks, then of the buckets, at a time, so that little is on disk twice
+    parts = []
+    for i in range(PASSES):
+        t, w = (x.where(F.pmod(F.xxhash64(c), F.lit(PASSES)) == i).groupBy(c) for x, c in ((texts, "chunk"), (names, "of_chunk")))
+        parts.append(saved(t.cogroup(w).applyInArrow(cells, _ddl(_BLOCKS)), "cells", "snappy", True))
     forget(coded)
     forget(names)
-    # a part of the buckets at a time, so that blocks are not on disk twice
-    parts = [saved(blocks.where(F.col("bucket") % PASSES == i).groupBy("bucket").applyInArrow(best, _ddl(_CELLS)), "best", "zstd", True) for i in range(PASSES)]
-    forget(blocks)
-    found = functools.reduce(DataFrame.unionAll, parts)
+    blocks = functools.reduce(DataFrame.unionAll, parts)
+    found = [saved(blocks.where(F.col("bucket") % PASSES == i).groupBy("bucket").applyInArrow(best, _ddl(_CELLS)), "best", "zstd", True) for i in range(PASSES)]
+    for part in parts:
+        forget(part)
+    parts, found = found, functools.reduce(DataFrame.unionAll, found)
     named = saved(found.join(words.select(F.col("id").alias("b"), F.col("token").alias("token_b")), "b").select("a", "token_b", "n", "v"), "named", "zstd", True)
     for part in parts:
         forget(part)

@@ -228,7 +228,7 @@ def test_ppmi_writes_less_than_its_pairs(spark, monkeypatch):
     def measured(df, name, *rest):
         out = save(df, name, *rest)
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out.inputFiles()[0]).getParent()
-        sizes[name] = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
+        sizes[name] = sizes.get(name, 0) + hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
         return out
 
     monkeypatch.setattr(contexts, "saved", measured)
