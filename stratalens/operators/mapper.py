@@ -131,7 +131,7 @@ def by_density(min_points: int = 5, min_size: int = 5, keep_noise: bool = True)
         d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
         core = np.sort(d + np.where(np.eye(n) > 0, np.inf, 0), 1)[:, min(min_points, n - 1) - 1]
         ids = np.arange(n)
-        tree = merge_tree([(w, a, b) for a, b, w in _prim(ids, lambda i: np.maximum(d[i], np.maximum(core[i], core)))], ids.tolist())
+        tree = merge_tree([(w, a, b) for a, b, w in _prim(ids, lambda i, js: np.maximum(d[i, js], np.maximum(core[i], core[js])), lambda i, best: np.maximum(core[i], core) <= best)], ids.tolist())
         label = condense(tree, n, min_size)
         return np.where(label < 0, label.max() + 1, label) if keep_noise else label
 

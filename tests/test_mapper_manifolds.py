@@ -125,3 +125,11 @@ def test_frames(spark):
     p = spark.createDataFrame(x, "id long, features array<double>")
     f = mapper.frames(p, mapper.coordinate(p), 0.4, linkage_clusters, [0.3, 1.0, 3.0], 3)
     assert sorted(tuple(r) for r in mapper.component_bars(f).collect()) == [(0.3, 3.0), (0.3, math.inf)]
+
+
+def test_density_of_a_cell():
+    own = np.random.default_rng(1)
+    label = mapper.by_density()(np.r_[own.normal(0, 0.1, (20, 2)), own.normal(5, 0.1, (20, 2))])
+    a, b = (np.bincount(half).argmax() for half in (label[:20], label[20:]))
+    assert a != b and (label[:20] == a).sum() >= 15 and (label[20:] == b).sum() >= 15 and not (label[:20] == b).any() and not (label[20:] == a).any()
+    assert (mapper.by_density()(np.ones((12, 2))) >= 0).all()
